@@ -108,8 +108,9 @@ def ragged_curve(long: DataFrame, value: str = "is_correct", by: list[str] | Non
 def rate_by_difficulty(long: DataFrame, n: int = 12, levels=(1, 2, 3)) -> DataFrame:
     """Q-18: correct rate per (difficulty level, position) on the full level x
     position grid (null where no answer has that level there)."""
-    grid = long.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("pos")).crossJoin(
-        long.sparkSession.createDataFrame([(int(lv),) for lv in levels], "difficulty_level int"))
+    grid = long.sparkSession.range(1, n + 1).select(
+        F.col("id").cast("int").alias("pos"),
+        F.explode(F.array(*[F.lit(int(lv)) for lv in levels])).alias("difficulty_level"))
     g = long.filter(F.col("pos") <= n).groupBy("difficulty_level", "pos").agg(F.avg("is_correct").alias("rate"))
     return grid.join(g, on=["difficulty_level", "pos"], how="left")
 
