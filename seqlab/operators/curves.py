@@ -134,11 +134,13 @@ def first_n_profile(long: DataFrame, n: int = 12, keys: list[str] | None = None)
         *[F.count_if(F.col("difficulty_level") == lv).alias(f"n_level{lv}") for lv in (1, 2, 3)])
 
 
-def session_totals(wlong: DataFrame, n: int = 12) -> DataFrame:
-    """Q-22: per whole session the null-safe sum of all gaps (lead gap included),
-    the answer count, the over-n flag and the sum of gaps at items 1..n."""
+def session_totals(wlong: DataFrame, n: int = 12, include_lead_gap: bool = True) -> DataFrame:
+    """Q-22: per whole session the null-safe sum of gaps (the lead gap before the
+    first answer included by default, D-12), the answer count, the over-n flag and
+    the sum of gaps at items 1..n."""
+    gap = F.col("time_diff") if include_lead_gap else F.when(F.col("spos") >= 2, F.col("time_diff"))
     return wlong.groupBy(*SESSION_KEYS, "experiment_mode", "n_questions").agg(
-        F.coalesce(F.sum("time_diff"), F.lit(0.0)).alias("total_length"),
+        F.coalesce(F.sum(gap), F.lit(0.0)).alias("total_length"),
         F.sum(F.when((F.col("spos") >= 2) & (F.col("spos") <= n + 1), F.col("time_diff"))).alias("gap_1_n"),
     ).withColumn("over_n", (F.col("n_questions") > n).cast("int"))
 

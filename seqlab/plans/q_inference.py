@@ -1 +1,359 @@
-"""placeholder"""
+"""Registered queries: DiD, contrasts, adjusted and median contrasts, fixed effects (I-01..I-12)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seqlab.functions.timecols import seconds_between
+from seqlab.operators import curves as C
+from seqlab.operators import inference as I
+from seqlab.operators import sequences as S
+from seqlab.operators.sections import SECTION_KEYS
+from seqlab.plans import pipeline as PL
+from seqlab.plans.oracle import register, with_ctes
+from seqlab.plans.q_curves import valid_long, wlong
+from seqlab.plans.q_sequences import N, frames
+from seqlab.plans.registry import query
+
+MODEL_COLS = ["term", "coef", "se", "t", "df"]
+
+
+def rounded(df, cols=("coef", "se", "t")):
+    return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _fin(rows: str) -> str:
+    return (f"SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(CASE WHEN se > 0 THEN coef / se END, 6) AS t, "
+            f"CAST(dfree AS BIGINT) AS df FROM (SELECT term, coef, sqrt(CASE WHEN dfree > 0 THEN rss / dfree END * vf) AS se, "
+            f"dfree FROM ({rows}))")
+
+
+def did_sql(name: str, obs: str, base: str) -> str:
+    """Saturated DiD in SQL; ``obs`` yields (arm, t, y); ``base`` is the baseline label."""
+    register(f"{name}_o", f"{name}_o AS ({obs})")
+    refs = ", ".join(f"MAX(CASE WHEN CAST(arm AS VARCHAR) = '{base}' THEN {x} END) OVER () AS b_{x}"
+                     for x in ("n0", "n1", "m0", "m1"))
+    register(f"{name}_c", f"""{name}_c AS (
+  SELECT *, {refs}, SUM(n0 + n1) OVER () - 2 * COUNT(*) OVER () AS dfree,
+         SUM(n0 * v0 + n1 * v1) OVER () AS rss, CAST(arm AS VARCHAR) = '{base}' AS isb
+  FROM (SELECT arm, COUNT(*) FILTER (WHERE t = 0) AS n0, COUNT(*) FILTER (WHERE t = 1) AS n1,
+               AVG(y) FILTER (WHERE t = 0) AS m0, AVG(y) FILTER (WHERE t = 1) AS m1,
+               var_pop(y) FILTER (WHERE t = 0) AS v0, var_pop(y) FILTER (WHERE t = 1) AS v1
+        FROM {name}_o GROUP BY arm))""")
+    c = f"{name}_c"
+    lab = "CAST(arm AS VARCHAR)"
+    rows = f"""SELECT 'Intercept' AS term, m0 AS coef, 1.0 / NULLIF(n0, 0) AS vf, rss, dfree FROM {c} WHERE isb
+  UNION ALL SELECT 'time_binary', m1 - m0, 1.0 / NULLIF(n0, 0) + 1.0 / NULLIF(n1, 0), rss, dfree FROM {c} WHERE isb
+  UNION ALL SELECT 'arm[' || {lab} || ']', m0 - b_m0, 1.0 / NULLIF(n0, 0) + 1.0 / NULLIF(b_n0, 0), rss, dfree FROM {c} WHERE NOT isb
+  UNION ALL SELECT 'time_binary:arm[' || {lab} || ']', (m1 - m0) - (b_m1 - b_m0),
+    1.0 / NULLIF(n0, 0) + 1.0 / NULLIF(n1, 0) + 1.0 / NULLIF(b_n0, 0) + 1.0 / NULLIF(b_n1, 0), rss, dfree FROM {c} WHERE NOT isb"""
+    return with_ctes(_fin(rows))
+
+
+def contrast_sql(name: str, obs: str, base: str) -> str:
+    """One-way contrast in SQL; ``obs`` yields (arm, y)."""
+    register(f"{name}_o", f"{name}_o AS ({obs})")
+    register(f"{name}_c", f"""{name}_c AS (
+  SELECT *, MAX(CASE WHEN CAST(arm AS VARCHAR) = '{base}' THEN n END) OVER () AS b_n,
+         MAX(CASE WHEN CAST(arm AS VARCHAR) = '{base}' THEN m END) OVER () AS b_m,
+         SUM(n) OVER () - COUNT(*) OVER () AS dfree, SUM(n * v) OVER () AS rss, CAST(arm AS VARCHAR) = '{base}' AS isb
+  FROM (SELECT arm, COUNT(*) AS n, AVG(y) AS m, var_pop(y) AS v FROM {name}_o WHERE y IS NOT NULL GROUP BY arm))""")
+    c = f"{name}_c"
+    rows = f"""SELECT CASE WHEN isb THEN 'Intercept' ELSE 'arm[' || CAST(arm AS VARCHAR) || ']' END AS term,
+    CASE WHEN isb THEN m ELSE m - b_m END AS coef,
+    CASE WHEN isb THEN 1.0 / NULLIF(n, 0) ELSE 1.0 / NULLIF(n, 0) + 1.0 / NULLIF(b_n, 0) END AS vf, rss, dfree FROM {c}"""
+    return with_ctes(_fin(rows))
+
+
+def _within_sql(src: str, group: str) -> str:
+    return f"""SELECT {group} AS g, COUNT(*) AS n, AVG(y) AS my, AVG(x1) AS m1, AVG(x2) AS m2,
+    covar_pop(x1, x1) * COUNT(*) AS s11, covar_pop(x2, x2) * COUNT(*) AS s22, covar_pop(x1, x2) * COUNT(*) AS s12,
+    covar_pop(x1, y) * COUNT(*) AS s1y, covar_pop(x2, y) * COUNT(*) AS s2y, covar_pop(y, y) * COUNT(*) AS syy
+  FROM {src} GROUP BY {group}"""
+
+
+def _pooled_sql(name: str, inner: str) -> None:
+    sums = ", ".join(f"SUM({x}) OVER () AS P{x[1:]}" for x in ("s11", "s22", "s12", "s1y", "s2y", "syy"))
+    register(f"{name}_p0", f"{name}_p0 AS (SELECT *, {sums}, SUM(n) OVER () AS NN, COUNT(*) OVER () AS GG FROM ({inner}))")
+    det = "NULLIF(P11 * P22 - P12 * P12, 0)"
+    register(f"{name}_p1", f"""{name}_p1 AS (SELECT *, P22 / {det} AS i11, P11 / {det} AS i22, -P12 / {det} AS i12
+    FROM {name}_p0)""")
+    register(f"{name}_p", f"""{name}_p AS (SELECT *, Pyy - b1 * P1y - b2 * P2y AS rss FROM (
+    SELECT *, i11 * P1y + i12 * P2y AS b1, i12 * P1y + i22 * P2y AS b2 FROM {name}_p1))""")
+
+
+def adjusted_sql(name: str, obs: str, base: str, x1: str, x2: str) -> str:
+    """``obs`` yields (arm, y, x1, x2) without nulls."""
+    register(f"{name}_o", f"{name}_o AS ({obs})")
+    _pooled_sql(name, _within_sql(f"{name}_o", "arm"))
+    register(f"{name}_a", f"""{name}_a AS (SELECT *, MAX(CASE WHEN isb THEN n END) OVER () AS b_n,
+    MAX(CASE WHEN isb THEN a END) OVER () AS b_a, MAX(CASE WHEN isb THEN m1 END) OVER () AS b_m1,
+    MAX(CASE WHEN isb THEN m2 END) OVER () AS b_m2, NN - GG - 2 AS dfree FROM (
+    SELECT *, my - b1 * m1 - b2 * m2 AS a, CAST(g AS VARCHAR) = '{base}' AS isb FROM {name}_p))""")
+    a = f"{name}_a"
+    q = "(i11 * {u} * {u} + 2 * i12 * {u} * {v} + i22 * {v} * {v})"
+    rows = f"""SELECT 'Intercept' AS term, a AS coef, 1.0 / n + {q.format(u='m1', v='m2')} AS vf, rss, dfree FROM {a} WHERE isb
+  UNION ALL SELECT '{x1}', b1, i11, rss, dfree FROM {a} WHERE isb
+  UNION ALL SELECT '{x2}', b2, i22, rss, dfree FROM {a} WHERE isb
+  UNION ALL SELECT 'arm[' || CAST(g AS VARCHAR) || ']', a - b_a,
+    1.0 / n + 1.0 / b_n + {q.format(u='(m1 - b_m1)', v='(m2 - b_m2)')}, rss, dfree FROM {a} WHERE NOT isb"""
+    return with_ctes(_fin(rows))
+
+
+# ---------------------------------------------------------------------------------------------------
+# Cohort: valid sections outside arm 0, baseline arm 1 (the published DiD setting).
+
+def _valid_no0(spark, root):
+    return valid_long(spark, root).filter(F.col("experiment_mode") != 0)
+
+
+def _obs_sql(pre: int, post: int, where: str = "experiment_mode <> 0", src: str = "vlong", arm: str = "experiment_mode") -> str:
+    return (f"SELECT {arm} AS arm, CASE WHEN pos = {post} THEN 1 ELSE 0 END AS t, CAST(is_correct AS DOUBLE) AS y "
+            f"FROM {src} WHERE pos IN ({pre}, {post}) AND is_correct IS NOT NULL AND {where}")
+
+
+def _did_query(pre: int, post: int):
+    def fn(spark, root):
+        obs = I.did_observations(_valid_no0(spark, root), pre, post)
+        return rounded(I.did(obs, PL.P.baseline_arm))
+    fn.__doc__ = f"I-01: DiD of correctness between questions {pre} and {post}, arms 2 and 3 against arm 1."
+    return fn
+
+
+for _pre, _post in [(1, 10), (2, 11), (2, 12)]:
+    query(f"did_{_pre}_{_post}", did_sql(f"did{_pre}{_post}", _obs_sql(_pre, _post), "1"))(_did_query(_pre, _post))
+
+
+def _external(spark, root):
+    long, first, ctrl, chk = frames(spark, root)
+    v = valid_long(spark, root).withColumn("experiment_mode", F.col("experiment_mode").cast("string"))
+    b = PL.long_data(long, N).filter(F.col("experiment_mode") == -1).withColumn("experiment_mode", F.lit("non-filter"))
+    return v.unionByName(b)
+
+
+register("ext_long", """ext_long AS (
+  SELECT user_id, gamecharacter_id, session_id, section_id, pos, is_correct, CAST(experiment_mode AS VARCHAR) AS lab FROM vlong
+  UNION ALL SELECT user_id, gamecharacter_id, session_id, section_id, pos, is_correct, 'non-filter' FROM ld WHERE experiment_mode = -1)""")
+register("ext_pairs", """ext_pairs AS (
+  SELECT * FROM ext_long e WHERE pos IN (2, 11) AND EXISTS (
+    SELECT 1 FROM ext_long f WHERE f.user_id = e.user_id AND f.gamecharacter_id = e.gamecharacter_id
+      AND f.session_id = e.session_id AND f.section_id = e.section_id AND f.pos IN (2, 11) AND f.is_correct IS NOT NULL
+    GROUP BY f.user_id HAVING COUNT(*) = 2))""")
+
+
+@query("did_external_baseline", did_sql("didext", _obs_sql(2, 11, "TRUE", "ext_pairs", "lab"), "non-filter"))
+def did_external_baseline(spark, root):
+    """I-02 + T-05 + F-10: valid arms 0..3 against the unfiltered baseline cohort
+    (arm -1 relabelled 'non-filter'), questions 2 and 11, pairs with both values."""
+    obs = I.did_observations(_external(spark, root), 2, 11, drop="pair")
+    return rounded(I.did(obs, "non-filter"))
+
+
+@query("did_group_means", with_ctes("""SELECT CAST(arm AS VARCHAR) AS experiment_mode, round(mean_pre, 6) AS mean_pre,
+  round(mean_post, 6) AS mean_post, round(mean_post - mean_pre, 6) AS diff,
+  round((mean_post - mean_pre) - MAX(CASE WHEN CAST(arm AS VARCHAR) = 'non-filter' THEN mean_post - mean_pre END) OVER (), 6) AS did_effect
+FROM (SELECT arm, AVG(y) FILTER (WHERE t = 0) AS mean_pre, AVG(y) FILTER (WHERE t = 1) AS mean_post FROM didext_o GROUP BY arm)"""))
+def did_group_means(spark, root):
+    """I-02: group means before and after, difference, effect against the baseline cohort."""
+    obs = I.did_observations(_external(spark, root), 2, 11, drop="pair")
+    g = I.did_group_means(obs, "non-filter")
+    return g.select(F.col("experiment_mode").cast("string").alias("experiment_mode"),
+                    *[F.round(F.col(c), 6).alias(c) for c in ["mean_pre", "mean_post", "diff", "did_effect"]])
+
+
+@query("did_fit_stats", with_ctes("""SELECT CAST(N AS BIGINT) AS n_obs, CAST(N - k AS BIGINT) AS df_resid,
+  round(1 - rss / (syy - sy * sy / N), 6) AS r2,
+  round(1 - (rss / (syy - sy * sy / N)) * (N - 1) / (N - k), 6) AS adj_r2,
+  round(((syy - sy * sy / N) - rss) / (k - 1) / (rss / (N - k)), 6) AS f_stat
+FROM (SELECT SUM(n) AS N, SUM(s) AS sy, SUM(ss) AS syy, SUM(ss - s * s / n) AS rss, COUNT(*) AS k
+      FROM (SELECT arm, t, COUNT(*) AS n, SUM(y) AS s, SUM(y * y) AS ss FROM did110_o GROUP BY arm, t))"""))
+def did_fit_stats(spark, root):
+    """I-11: N, residual df, R2, adjusted R2 and F of the questions 1-10 DiD model."""
+    obs = I.did_observations(_valid_no0(spark, root), 1, 10)
+    return rounded(I.fit_stats(obs, None), ("r2", "adj_r2", "f_stat"))
+
+
+def _position_obs(long, pos: int):
+    return long.filter(F.col("pos") == pos).select("experiment_mode", F.col("is_correct").cast("double").alias("y"))
+
+
+def _pos_sql(pos: int, src: str = "vlong", where: str = "experiment_mode <> 0", arm: str = "experiment_mode"):
+    return f"SELECT {arm} AS arm, CAST(is_correct AS DOUBLE) AS y FROM {src} WHERE pos = {pos} AND {where}"
+
+
+@query("contrast_q12", contrast_sql("cq12", _pos_sql(12), "1"))
+def contrast_q12(spark, root):
+    """I-03: correctness at question 12 by arm against arm 1 (valid, arms 1..3)."""
+    return rounded(I.contrast(_position_obs(_valid_no0(spark, root), 12), PL.P.baseline_arm))
+
+
+@query("contrast_q1", contrast_sql("cq1", _pos_sql(1), "1"))
+def contrast_q1(spark, root):
+    """I-03: correctness at question 1 by arm against arm 1 (valid, arms 1..3)."""
+    return rounded(I.contrast(_position_obs(_valid_no0(spark, root), 1), PL.P.baseline_arm))
+
+
+register("rf12long", """rf12long AS (SELECT l.* FROM long l JOIN raw_f12 v ON l.user_id = v.user_id
+  AND l.gamecharacter_id = v.gamecharacter_id AND l.session_id = v.session_id AND l.section_id = v.section_id)""")
+
+
+@query("contrast_q2_tolerant", contrast_sql("cq2t", _pos_sql(2, "rf12long", "TRUE"), "1"))
+def contrast_q2_tolerant(spark, root):
+    """I-03 on the tolerant-valid cohort (any length): correctness at question 2."""
+    long, first, ctrl, chk = frames(spark, root)
+    keys = S.seq_valid_tolerant(chk.filter(F.col("experiment_mode") != -1), N).filter(f"seq_valid_less{N}inc")
+    rows = first.join(keys.select(*SECTION_KEYS), on=SECTION_KEYS, how="left_semi")
+    return rounded(I.contrast(_position_obs(rows, 2), PL.P.baseline_arm))
+
+
+def _adj_rows(long, target: int):
+    w = long.filter(F.col("pos").isin(1, 2, target)).groupBy(*SECTION_KEYS, "experiment_mode").agg(
+        *[F.max(F.when(F.col("pos") == p, F.col("is_correct"))).alias(f"q_{p}_corr") for p in (1, 2, target)])
+    return w
+
+
+_ADJ_SQL = """SELECT experiment_mode AS arm, CAST(MAX(CASE WHEN pos = {t} THEN is_correct END) AS DOUBLE) AS y,
+  CAST(MAX(CASE WHEN pos = 1 THEN is_correct END) AS DOUBLE) AS x1, CAST(MAX(CASE WHEN pos = 2 THEN is_correct END) AS DOUBLE) AS x2
+FROM vlong WHERE experiment_mode <> 0 AND pos IN (1, 2, {t})
+GROUP BY user_id, gamecharacter_id, session_id, section_id, experiment_mode"""
+
+
+@query("adjusted_q12", adjusted_sql("adj12", f"SELECT * FROM ({_ADJ_SQL.format(t=12)}) WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL",
+                                    "1", "q_1_corr", "q_2_corr"))
+def adjusted_q12(spark, root):
+    """I-04: q_12 ~ C(arm, ref 1) + q_1 + q_2 on the valid cohort without arm 0."""
+    w = _adj_rows(_valid_no0(spark, root), 12)
+    return rounded(I.adjusted_contrast(w, PL.P.baseline_arm, "q_12_corr", "q_1_corr", "q_2_corr"))
+
+
+def _pooled_long(spark, root):
+    v = _valid_no0(spark, root)
+    return v.withColumn("experiment_mode", F.when(F.col("experiment_mode") == 1, 0).otherwise(1))
+
+
+_POOL_ARM = "CASE WHEN experiment_mode = 1 THEN 0 ELSE 1 END"
+
+
+@query("pooled_did", did_sql("pool110", _obs_sql(1, 10, arm=_POOL_ARM), "0"))
+def pooled_did(spark, root):
+    """I-10 + F-13: arms 2 and 3 merged against arm 1 (recoded 1 -> 0, others -> 1), DiD 1-10."""
+    return rounded(I.did(I.did_observations(_pooled_long(spark, root), 1, 10), 0))
+
+
+@query("pooled_contrast_q12", contrast_sql("poolc12", _pos_sql(12, arm=_POOL_ARM), "0"))
+def pooled_contrast_q12(spark, root):
+    """I-10: merged arms, correctness at question 12."""
+    return rounded(I.contrast(_position_obs(_pooled_long(spark, root), 12), 0))
+
+
+register("vsteps_all", f"""vsteps_all AS (
+  SELECT *, date_diff('microsecond', LAG(created_at) OVER w, created_at) / 1000000.0 AS delta,
+         date_diff('microsecond', FIRST(created_at) OVER w, created_at) / 1000000.0 AS acc
+  FROM vlong WHERE pos <= {N}
+  WINDOW w AS (PARTITION BY user_id, gamecharacter_id, session_id, section_id ORDER BY pos
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+_MED_PARTS = [("delta_q10", "delta", 10), ("delta_q11", "delta", 11), ("delta_q12", "delta", 12), ("acc_q12", "acc", 12)]
+
+
+@query("median_contrast", with_ctes(" UNION ALL ".join(f"""SELECT '{o}' AS outcome,
+  CASE WHEN experiment_mode = 1 THEN 'Intercept' ELSE 'arm[' || CAST(experiment_mode AS VARCHAR) || ']' END AS term,
+  round(CASE WHEN experiment_mode = 1 THEN med ELSE med - MAX(CASE WHEN experiment_mode = 1 THEN med END) OVER () END, 6) AS coef, n
+FROM (SELECT experiment_mode, quantile_cont({v}, 0.5) AS med, COUNT(*) AS n FROM vsteps_all
+      WHERE pos = {p} AND {v} IS NOT NULL GROUP BY experiment_mode)""" for o, v, p in _MED_PARTS)))
+def median_contrast(spark, root):
+    """I-06: median regression of step time into questions 10, 11, 12 and of the time
+    from question 1 to 12 on arm dummies (ref arm 1) = differences of group medians."""
+    st = C.step_times(valid_long(spark, root), N)
+    parts = []
+    for o, v, p in _MED_PARTS:
+        m = I.median_contrast(st.filter(F.col("pos") == p), PL.P.baseline_arm, v)
+        parts.append(m.select(F.lit(o).alias("outcome"), "term", F.round("coef", 6).alias("coef"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+register("len_sess", f"""len_sess AS (
+  SELECT experiment_mode, COALESCE(SUM(CASE WHEN spos >= 2 THEN time_diff END), 0.0) AS total_length, COUNT(*) AS q_number
+  FROM wlong WHERE n_questions >= {N} GROUP BY user_id, gamecharacter_id, session_id, experiment_mode, n_questions)""")
+
+
+def _len_sessions(spark, root, max_total: float | None = 3 * 3600):
+    t = C.session_totals(wlong(spark, root), N, include_lead_gap=False).filter(F.col("n_questions") >= N)
+    t = t.filter(F.col("experiment_mode") != -1)
+    return t if max_total is None else t.filter(F.col("total_length") <= max_total)
+
+
+def _length_contrast(spark, root, max_total: float | None = 3 * 3600):
+    """I-05: total session minutes and question count on arm (ref arm 0), sessions
+    with at least 12 answers, at most 3 hours, inside an arm.  The total here leaves
+    out the lead gap (D-12): with the 3600-minute session gap every lead gap is
+    longer than 3 hours, so including it would empty the cohort."""
+    t = _len_sessions(spark, root, max_total)
+    a = I.contrast(t.select("experiment_mode", (F.col("total_length") / 60).alias("y")), 0)
+    b = I.contrast(t.select("experiment_mode", F.col("n_questions").cast("double").alias("y")), 0)
+    return rounded(a.select(F.lit("minutes").alias("outcome"), "*").unionByName(
+        b.select(F.lit("q_number").alias("outcome"), "*")))
+
+
+contrast_sql("lenmin", "SELECT experiment_mode AS arm, total_length / 60 AS y FROM len_sess "
+                       "WHERE experiment_mode <> -1 AND total_length <= 10800", "0")
+contrast_sql("lenq", "SELECT experiment_mode AS arm, CAST(q_number AS DOUBLE) AS y FROM len_sess "
+                     "WHERE experiment_mode <> -1 AND total_length <= 10800", "0")
+
+
+def _fin_named(name: str, label: str) -> str:
+    c = f"{name}_c"
+    rows = f"""SELECT CASE WHEN isb THEN 'Intercept' ELSE 'arm[' || CAST(arm AS VARCHAR) || ']' END AS term,
+    CASE WHEN isb THEN m ELSE m - b_m END AS coef,
+    CASE WHEN isb THEN 1.0 / NULLIF(n, 0) ELSE 1.0 / NULLIF(n, 0) + 1.0 / NULLIF(b_n, 0) END AS vf, rss, dfree FROM {c}"""
+    return f"SELECT '{label}' AS outcome, * FROM ({_fin(rows)})"
+
+
+from seqlab.plans.registry import ORACLE, QUERIES  # noqa: E402
+
+QUERIES.pop("length_contrast", None)
+ORACLE.pop("length_contrast", None)
+query("length_contrast", with_ctes(_fin_named("lenmin", "minutes") + " UNION ALL " + _fin_named("lenq", "q_number")))(
+    _length_contrast)
+
+
+register("fe_rows", """fe_rows AS (
+  SELECT section_id, user_id, ln(time_diff) AS y, CAST(difficulty_level = 2 AS DOUBLE) AS x1,
+         CAST(difficulty_level = 3 AS DOUBLE) AS x2
+  FROM in_sessions WHERE time_diff <= 1800 AND time_diff <> 0 AND time_diff IS NOT NULL
+    AND difficulty_level IS NOT NULL AND section_id IS NOT NULL)""")
+_pooled_sql("fe1", _within_sql("fe_rows", "section_id"))
+
+
+def fe_rows(spark, root, log: bool = True):
+    """F-09 + F-10 + X-07: answer-level gaps <= 30 min, non-zero, nulls dropped."""
+    s = PL.in_sessions(spark, root)
+    s = s.filter((F.col("time_diff") <= 1800) & (F.col("time_diff") != 0)).na.drop(
+        subset=["time_diff", "difficulty_level", "section_id"])
+    y = F.ln("time_diff") if log else F.col("time_diff")
+    return s.select("section_id", "user_id", "is_correct", "time_diff", "difficulty_level", y.alias("y"),
+                    (F.col("difficulty_level") == 2).cast("double").alias("x1"),
+                    (F.col("difficulty_level") == 3).cast("double").alias("x2"))
+
+
+@query("log_gap_section_fe", with_ctes("SELECT * FROM (" + _fin(
+    "SELECT 'difficulty[2]' AS term, b1 AS coef, i11 AS vf, rss, NN - GG - 2 AS dfree FROM (SELECT * FROM fe1_p LIMIT 1) "
+    "UNION ALL SELECT 'difficulty[3]', b2, i22, rss, NN - GG - 2 FROM (SELECT * FROM fe1_p LIMIT 1)") + ")"))
+def log_gap_section_fe(spark, root):
+    """I-07: ln(gap) ~ C(difficulty, ref 1) + C(section): slopes by exact
+    within-section demeaning (section effects absorbed)."""
+    out = I.within_two_regressors(fe_rows(spark, root), "section_id", "y", "x1", "x2")
+    out = out.withColumn("term", F.when(F.col("term") == "x1", "difficulty[2]").otherwise("difficulty[3]"))
+    return rounded(out)
+
+
+contrast_sql("lenmin_all", "SELECT experiment_mode AS arm, total_length / 60 AS y FROM len_sess WHERE experiment_mode <> -1", "0")
+contrast_sql("lenq_all", "SELECT experiment_mode AS arm, CAST(q_number AS DOUBLE) AS y FROM len_sess WHERE experiment_mode <> -1", "0")
+
+
+@query("length_contrast_uncapped", with_ctes(_fin_named("lenmin_all", "minutes") + " UNION ALL "
+                                            + _fin_named("lenq_all", "q_number")))
+def length_contrast_uncapped(spark, root):
+    """I-05 without the 3-hour cap (F-09 is optional): every session of 12+ answers in an arm."""
+    return _length_contrast(spark, root, None)
