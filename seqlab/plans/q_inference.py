@@ -357,3 +357,33 @@ contrast_sql("lenq_all", "SELECT experiment_mode AS arm, CAST(q_number AS DOUBLE
 def length_contrast_uncapped(spark, root):
     """I-05 without the 3-hour cap (F-09 is optional): every session of 12+ answers in an arm."""
     return _length_contrast(spark, root, None)
+
+
+# --- iterative models: no SQL oracle (rows-only check); exactness is covered in tests/ ----------
+
+@query("gap_twoway_fe")
+def gap_twoway_fe(spark, root):
+    """I-08: gap ~ difficulty | section + user, alternating projections to 1e-8."""
+    from seqlab.operators.fixed_effects import twoway_fe
+    rows = fe_rows(spark, root, log=False)
+    out = twoway_fe(rows, "y", "x1", "x2", "section_id", "user_id")
+    out = out.withColumn("term", F.when(F.col("term") == "x1", "difficulty[2]").otherwise("difficulty[3]"))
+    return rounded(out)
+
+
+@query("correct_fe_logit")
+def correct_fe_logit(spark, root):
+    """I-09: is_correct ~ gap | difficulty + section + user (logit, separated levels dropped)."""
+    from seqlab.operators.fixed_effects import fe_logit
+    rows = fe_rows(spark, root, log=False)
+    return rounded(fe_logit(rows, "is_correct", "time_diff", ["difficulty_level", "section_id", "user_id"]),
+                   ("coef",))
+
+
+@query("did_pvalues")
+def did_pvalues(spark, root):
+    """I-11: the questions 1-10 DiD table with two-sided p-values."""
+    from seqlab.functions.distributions import p_value
+    obs = I.did_observations(_valid_no0(spark, root), 1, 10)
+    d = I.did(obs, PL.P.baseline_arm)
+    return rounded(d.withColumn("p", p_value("t", "df")), ("coef", "se", "t", "p"))
