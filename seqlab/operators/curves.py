@@ -40,14 +40,24 @@ def difficulty_mix(long: DataFrame, n: int = 12, levels=(1, 2, 3), by: list[str]
                     (F.col("_c") / F.col("_nn")).alias("share"))
 
 
-def position_mean_se(long: DataFrame, value: str, n: int = 12, by: list[str] | None = None,
-                     pos: str = "pos") -> DataFrame:
+def position_mean_se(long: DataFrame, value, n: int = 12, by: list[str] | None = None,
+                     pos: str = "pos", names: list[str] | None = None) -> DataFrame:
     """Q-13: mean over non-null values and SE = population std / sqrt(all rows at
-    the position, nulls included) (D-14)."""
+    the position, nulls included) (D-14).  Several values share one aggregate:
+    columns ``mean_<name>``/``se_<name>``; a single value gives ``mean``/``se``."""
     by = by if by is not None else ["experiment_mode"]
-    g = long.filter(F.col(pos) <= n).groupBy(*by, pos).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("_sd"), F.count(F.lit(1)).alias("_n"))
-    return g.select(*by, pos, "mean", (F.col("_sd") / F.sqrt("_n")).alias("se"))
+    values = [value] if isinstance(value, str) else list(value)
+    single = isinstance(value, str) and names is None
+    names = names or values
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for v, nm in zip(values, names):
+        aggs += [F.avg(v).alias(f"_m_{nm}"), F.stddev_pop(v).alias(f"_sd_{nm}")]
+    g = long.filter(F.col(pos) <= n).groupBy(*by, pos).agg(*aggs)
+    cols = []
+    for nm in names:
+        m, se = ("mean", "se") if single else (f"mean_{nm}", f"se_{nm}")
+        cols += [F.col(f"_m_{nm}").alias(m), (F.col(f"_sd_{nm}") / F.sqrt("_n")).alias(se)]
+    return g.select(*by, pos, *cols)
 
 
 def band(curve: DataFrame, z: float = 1.96) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ class Params:
     n: int = 12
     valid_len: int = 2
     baseline_arm: int = 1
+    persist: bool = True
 
 
 P = Params()
@@ -64,13 +66,20 @@ def cohort(spark: SparkSession, root: str) -> DataFrame:
               .withColumn("manual_book_vol", volume_code("book_volume_name")))
 
 
+def _keep(df: DataFrame, p: Params) -> DataFrame:
+    """Persist a frame that several branches of a query (and later queries) read.
+    MEMORY_AND_DISK spills instead of failing; a lost block is recomputed from
+    lineage.  Identical plans share one cache entry."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if p.persist else df
+
+
 def in_sessions(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
-    return assign_sessions(cohort(spark, root), gap_seconds=p.gap_minutes * 60, flavour=p.flavour)
+    return _keep(assign_sessions(cohort(spark, root), gap_seconds=p.gap_minutes * 60, flavour=p.flavour), p)
 
 
 def long_table(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
     """One row per answer: section keys, pos, q_len, experiment_mode and the answer fields."""
-    return split_by_section(in_sessions(spark, root, p))
+    return _keep(split_by_section(in_sessions(spark, root, p)), p)
 
 
 def sections(spark: SparkSession, root: str, p: Params = P) -> DataFrame:

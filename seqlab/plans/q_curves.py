@@ -68,9 +68,7 @@ def position_curve(spark, root):
     """Q-13: correctness and difficulty by position, mean and SE, per arm (first
     sessions with at least 12 answers)."""
     ld = PL.long_data(PL.long_table(spark, root), N)
-    a = C.position_mean_se(ld, "is_correct", N).withColumnRenamed("mean", "mean_correct").withColumnRenamed("se", "se_correct")
-    b = C.position_mean_se(ld, "difficulty_level", N).withColumnRenamed("mean", "mean_difficulty").withColumnRenamed("se", "se_difficulty")
-    j = a.join(b, on=["experiment_mode", "pos"])
+    j = C.position_mean_se(ld, ["is_correct", "difficulty_level"], N, names=["correct", "difficulty"])
     return j.select("experiment_mode", "pos", *[r6(F.col(c)).alias(c) for c in
                                                 ["mean_correct", "se_correct", "mean_difficulty", "se_difficulty"]])
 
