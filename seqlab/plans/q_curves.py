@@ -19,6 +19,12 @@ def r6(c):
     return F.round(c, 6)
 
 
+def r3(c):
+    """Time values (seconds) are compared at millisecond precision: sums of
+    microsecond-derived doubles differ in the last bits between engines."""
+    return F.round(c, 3)
+
+
 register("raw_f12", f"raw_f12 AS (SELECT * FROM chk WHERE experiment_mode <> -1 AND {ok_sql('least(q_len, 12)')})")
 register("vlong", f"vlong AS (SELECT l.* FROM long l JOIN valid_rows v ON {ON4})")
 register("wlong", """wlong AS (
@@ -85,10 +91,10 @@ def baseline_curve(spark, root):
     return out.select("pos", *[r6(F.col(c)).alias(c) for c in ["mean", "se", "lower", "upper"]])
 
 
-@query("gap_curve", with_ctes(f"""SELECT g.experiment_mode, g.j, round(g.mean_gap, 6) AS mean_gap,
-  round(g.sd / sqrt(s.ns), 6) AS se_gap,
-  round(SUM(g.mean_gap) OVER (PARTITION BY g.experiment_mode ORDER BY g.j), 6) AS cum_gap,
-  round(SUM(g.sd / sqrt(s.ns)) OVER (PARTITION BY g.experiment_mode ORDER BY g.j), 6) AS cum_se
+@query("gap_curve", with_ctes(f"""SELECT g.experiment_mode, g.j, round(g.mean_gap, 3) AS mean_gap,
+  round(g.sd / sqrt(s.ns), 3) AS se_gap,
+  round(SUM(g.mean_gap) OVER (PARTITION BY g.experiment_mode ORDER BY g.j), 3) AS cum_gap,
+  round(SUM(g.sd / sqrt(s.ns)) OVER (PARTITION BY g.experiment_mode ORDER BY g.j), 3) AS cum_se
 FROM (SELECT experiment_mode, spos - 1 AS j, AVG(time_diff) AS mean_gap, stddev_pop(time_diff) AS sd
       FROM wlong WHERE n_questions >= {N} AND spos BETWEEN 2 AND {N + 1} GROUP BY experiment_mode, spos - 1) g
 JOIN (SELECT experiment_mode, COUNT(*) AS ns FROM wlong WHERE n_questions >= {N} AND spos = 1
@@ -96,7 +102,7 @@ JOIN (SELECT experiment_mode, COUNT(*) AS ns FROM wlong WHERE n_questions >= {N}
 def gap_curve(spark, root):
     """Q-15 + W-06: mean and SE of answer gaps by question and their running sums."""
     out = C.gap_curve(wlong(spark, root), N)
-    return out.select("experiment_mode", "j", *[r6(F.col(c)).alias(c) for c in ["mean_gap", "se_gap", "cum_gap", "cum_se"]])
+    return out.select("experiment_mode", "j", *[r3(F.col(c)).alias(c) for c in ["mean_gap", "se_gap", "cum_gap", "cum_se"]])
 
 
 register("vsteps", f"""vsteps AS (
@@ -108,23 +114,23 @@ register("vsteps", f"""vsteps AS (
 
 
 @query("step_median", with_ctes(
-    "SELECT experiment_mode, pos, round(quantile_cont(delta, 0.5), 6) AS median_delta "
+    "SELECT experiment_mode, pos, round(quantile_cont(delta, 0.5), 3) AS median_delta "
     "FROM vsteps WHERE pos >= 2 GROUP BY experiment_mode, pos"))
 def step_median(spark, root):
     """Q-16: median time spent on question p (p = 2..12) by arm, valid cohort."""
     st = C.step_times(valid_long(spark, root), N)
     out = C.median_by_position(st, "delta")
-    return out.select("experiment_mode", "pos", r6(F.col("median_delta")).alias("median_delta"))
+    return out.select("experiment_mode", "pos", r3(F.col("median_delta")).alias("median_delta"))
 
 
 @query("accumulated_median", with_ctes(
-    "SELECT experiment_mode, pos, round(quantile_cont(acc, 0.5), 6) AS median_acc "
+    "SELECT experiment_mode, pos, round(quantile_cont(acc, 0.5), 3) AS median_acc "
     "FROM vsteps WHERE pos >= 2 GROUP BY experiment_mode, pos"))
 def accumulated_median(spark, root):
     """Q-16: median time from question 1 to question p by arm, valid cohort."""
     st = C.step_times(valid_long(spark, root), N)
     out = C.median_by_position(st, "acc")
-    return out.select("experiment_mode", "pos", r6(F.col("median_acc")).alias("median_acc"))
+    return out.select("experiment_mode", "pos", r3(F.col("median_acc")).alias("median_acc"))
 
 
 @query("ragged_curve", with_ctes("""SELECT experiment_mode, pos, round(AVG(is_correct), 6) AS mean,
@@ -184,15 +190,15 @@ def difficulty_counts(spark, root):
 
 
 @query("session_totals", with_ctes(f"""SELECT user_id, gamecharacter_id, session_id, experiment_mode, n_questions,
-  round(COALESCE(SUM(time_diff), 0.0), 6) AS total_length,
-  round(SUM(CASE WHEN spos BETWEEN 2 AND {N + 1} THEN time_diff END), 6) AS gap_1_n,
+  round(COALESCE(SUM(time_diff), 0.0), 3) AS total_length,
+  round(SUM(CASE WHEN spos BETWEEN 2 AND {N + 1} THEN time_diff END), 3) AS gap_1_n,
   CAST(n_questions > {N} AS INTEGER) AS over_n
 FROM wlong GROUP BY user_id, gamecharacter_id, session_id, experiment_mode, n_questions"""))
 def session_totals(spark, root):
     """Q-22 + F-15: total time, count, over-12 flag and time over items 1..12 per session."""
     out = C.session_totals(wlong(spark, root), N)
     return out.select("user_id", "gamecharacter_id", "session_id", "experiment_mode", "n_questions",
-                      r6(F.col("total_length")).alias("total_length"), r6(F.col("gap_1_n")).alias("gap_1_n"), "over_n")
+                      r3(F.col("total_length")).alias("total_length"), r3(F.col("gap_1_n")).alias("gap_1_n"), "over_n")
 
 
 @query("head_tail", with_ctes("""SELECT section, round(AVG(head_corr), 6) AS head_mean,

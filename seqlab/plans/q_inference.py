@@ -17,12 +17,13 @@ from seqlab.plans.registry import query
 MODEL_COLS = ["term", "coef", "se", "t", "df"]
 
 
-def rounded(df, cols=("coef", "se", "t")):
-    return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+def rounded(df, cols=("coef", "se", "t"), digits: int = 6):
+    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def _fin(rows: str) -> str:
-    return (f"SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(CASE WHEN se > 0 THEN coef / se END, 6) AS t, "
+def _fin(rows: str, digits: int = 6) -> str:
+    d = digits
+    return (f"SELECT term, round(coef, {d}) AS coef, round(se, {d}) AS se, round(CASE WHEN se > 0 THEN coef / se END, {d}) AS t, "
             f"CAST(dfree AS BIGINT) AS df FROM (SELECT term, coef, sqrt(CASE WHEN dfree > 0 THEN rss / dfree END * vf) AS se, "
             f"dfree FROM ({rows}))")
 
@@ -256,7 +257,7 @@ _MED_PARTS = [("delta_q10", "delta", 10), ("delta_q11", "delta", 11), ("delta_q1
 
 @query("median_contrast", with_ctes(" UNION ALL ".join(f"""SELECT '{o}' AS outcome,
   CASE WHEN experiment_mode = 1 THEN 'Intercept' ELSE 'arm[' || CAST(experiment_mode AS VARCHAR) || ']' END AS term,
-  round(CASE WHEN experiment_mode = 1 THEN med ELSE med - MAX(CASE WHEN experiment_mode = 1 THEN med END) OVER () END, 6) AS coef, n
+  round(CASE WHEN experiment_mode = 1 THEN med ELSE med - MAX(CASE WHEN experiment_mode = 1 THEN med END) OVER () END, 3) AS coef, n
 FROM (SELECT experiment_mode, quantile_cont({v}, 0.5) AS med, COUNT(*) AS n FROM vsteps_all
       WHERE pos = {p} AND {v} IS NOT NULL GROUP BY experiment_mode)""" for o, v, p in _MED_PARTS)))
 def median_contrast(spark, root):
@@ -266,7 +267,7 @@ def median_contrast(spark, root):
     parts = []
     for o, v, p in _MED_PARTS:
         m = I.median_contrast(st.filter(F.col("pos") == p), PL.P.baseline_arm, v)
-        parts.append(m.select(F.lit(o).alias("outcome"), "term", F.round("coef", 6).alias("coef"), "n"))
+        parts.append(m.select(F.lit(o).alias("outcome"), "term", F.round("coef", 3).alias("coef"), "n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -293,7 +294,7 @@ def _length_contrast(spark, root, max_total: float | None = 3 * 3600):
     a = I.contrast(t.select("experiment_mode", (F.col("total_length") / 60).alias("y")), 0)
     b = I.contrast(t.select("experiment_mode", F.col("n_questions").cast("double").alias("y")), 0)
     return rounded(a.select(F.lit("minutes").alias("outcome"), "*").unionByName(
-        b.select(F.lit("q_number").alias("outcome"), "*")))
+        b.select(F.lit("q_number").alias("outcome"), "*")), digits=3)
 
 
 contrast_sql("lenmin", "SELECT experiment_mode AS arm, total_length / 60 AS y FROM len_sess "
@@ -307,7 +308,7 @@ def _fin_named(name: str, label: str) -> str:
     rows = f"""SELECT CASE WHEN isb THEN 'Intercept' ELSE 'arm[' || CAST(arm AS VARCHAR) || ']' END AS term,
     CASE WHEN isb THEN m ELSE m - b_m END AS coef,
     CASE WHEN isb THEN 1.0 / NULLIF(n, 0) ELSE 1.0 / NULLIF(n, 0) + 1.0 / NULLIF(b_n, 0) END AS vf, rss, dfree FROM {c}"""
-    return f"SELECT '{label}' AS outcome, * FROM ({_fin(rows)})"
+    return f"SELECT '{label}' AS outcome, * FROM ({_fin(rows, 3)})"
 
 
 from seqlab.plans.registry import ORACLE, QUERIES  # noqa: E402

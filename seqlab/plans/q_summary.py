@@ -170,12 +170,12 @@ def max_session_start(spark, root):
 
 @query("zero_gap_count", with_ctes(
     "SELECT COUNT(*) FILTER (WHERE time_diff = 0) AS zero_gaps, COUNT(time_diff) AS gaps, "
-    "round(AVG(time_diff), 6) AS mean_gap FROM in_sessions"))
+    "round(AVG(time_diff), 3) AS mean_gap FROM in_sessions"))
 def zero_gap_count(spark, root):
     """G-21 + I-12: answers with a zero gap, gaps counted, overall mean gap."""
     s = PL.in_sessions(spark, root)
     return s.agg(F.count_if(F.col("time_diff") == 0).alias("zero_gaps"), F.count("time_diff").alias("gaps"),
-                 r6(F.avg("time_diff")).alias("mean_gap"))
+                 F.round(F.avg("time_diff"), 3).alias("mean_gap"))
 
 
 @query("head_sections", with_ctes(
