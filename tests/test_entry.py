@@ -24,7 +24,7 @@ def test_oracle_keys_are_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 60
-    assert set(q) - set(o) == {"gap_twoway_fe", "correct_fe_logit", "did_pvalues"}
+    assert set(q) - set(o) == {"gap_twoway_fe", "correct_fe_logit", "did_pvalues", "sample_sessions"}
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()) if os.environ.get("SEQLAB_FULL_ORACLE") else SUBSET)
