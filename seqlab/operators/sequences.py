@@ -56,13 +56,19 @@ def modal_control(long_data: DataFrame, n: int = 12) -> DataFrame:
             .groupBy(*CTRL_KEYS, "pos").agg(F.mode("question_id", True).alias("cq")))
 
 
-def first_mismatch(long: DataFrame, ctrl: DataFrame, n: int = 12) -> DataFrame:
+def first_mismatch(long: DataFrame, ctrl: DataFrame, n: int = 12, carry: list[str] | None = None) -> DataFrame:
     """One row per section row: ``has_control`` and ``first_mismatch`` (first pos <= n
-    whose question differs from the control, null when none; J-09, Q-03)."""
+    whose question differs from the control, null when none; J-09, Q-03).
+
+    ``carry`` fields of the first n answers ride along in the same aggregate as a
+    ``first_n`` array of structs (at most n elements), so cohorts defined by
+    validity can be expanded with ``inline`` instead of a join back."""
     keys = ctrl.select(*CTRL_KEYS).distinct().withColumn("has_control", F.lit(True))
     ln = long.filter(F.col("pos") <= n).join(ctrl, on=[*CTRL_KEYS, "pos"], how="left")
-    per = ln.groupBy(*SECTION_KEYS, "experiment_mode", "q_len").agg(
-        F.min(F.when(~F.col("question_id").eqNullSafe(F.col("cq")), F.col("pos"))).alias("first_mismatch"))
+    aggs = [F.min(F.when(~F.col("question_id").eqNullSafe(F.col("cq")), F.col("pos"))).alias("first_mismatch")]
+    if carry:
+        aggs.append(F.array_sort(F.collect_list(F.struct("pos", *carry))).alias("first_n"))
+    per = ln.groupBy(*SECTION_KEYS, "experiment_mode", "q_len").agg(*aggs)
     return (per.join(keys, on=CTRL_KEYS, how="left")
             .withColumn("has_control", F.coalesce(F.col("has_control"), F.lit(False))))
 

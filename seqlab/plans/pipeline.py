@@ -59,13 +59,6 @@ def enriched(spark: SparkSession, root: str) -> DataFrame:
                           adapter.question_structure(ev), adapter.gc_course(ev))
 
 
-def cohort(spark: SparkSession, root: str) -> DataFrame:
-    """Enriched answers of the cohort, with ``created_at`` and ``manual_book_vol``."""
-    df = cohort_filter(enriched(spark, root))
-    return (df.withColumn("created_at", parse_timestamp(F.col("created_at_utc8")))
-              .withColumn("manual_book_vol", volume_code("book_volume_name")))
-
-
 def _keep(df: DataFrame, p: Params) -> DataFrame:
     """Persist a frame that several branches of a query (and later queries) read.
     MEMORY_AND_DISK spills instead of failing; a lost block is recomputed from
@@ -73,8 +66,18 @@ def _keep(df: DataFrame, p: Params) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK) if p.persist else df
 
 
+def cohort(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
+    """Enriched answers of the cohort, with ``created_at`` and ``manual_book_vol``.
+    Persisted: the sessionizer reads it in two branches (bucket statistics and the
+    main window) whose pruned columns differ, so without it the enrichment joins
+    would run twice."""
+    df = cohort_filter(enriched(spark, root))
+    return _keep(df.withColumn("created_at", parse_timestamp(F.col("created_at_utc8")))
+                   .withColumn("manual_book_vol", volume_code("book_volume_name")), p)
+
+
 def in_sessions(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
-    return _keep(assign_sessions(cohort(spark, root), gap_seconds=p.gap_minutes * 60, flavour=p.flavour), p)
+    return _keep(assign_sessions(cohort(spark, root, p), gap_seconds=p.gap_minutes * 60, flavour=p.flavour), p)
 
 
 def long_table(spark: SparkSession, root: str, p: Params = P) -> DataFrame:

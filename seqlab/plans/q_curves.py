@@ -8,7 +8,7 @@ from seqlab.operators import sequences as S
 from seqlab.operators.sections import SECTION_KEYS
 from seqlab.plans import pipeline as PL
 from seqlab.plans.oracle import register, with_ctes
-from seqlab.plans.q_sequences import N, frames, ok_sql, valid_keys
+from seqlab.plans.q_sequences import N, first_n_long, frames, ok_sql, valid_keys, valid_rows
 from seqlab.plans.registry import query
 
 ON4 = ("l.user_id = v.user_id AND l.gamecharacter_id = v.gamecharacter_id AND l.session_id = v.session_id "
@@ -37,8 +37,8 @@ register("wlong", """wlong AS (
 
 
 def valid_long(spark, root):
-    long, first, ctrl, chk = frames(spark, root)
-    return first.join(valid_keys(chk), on=SECTION_KEYS, how="left_semi")
+    """First n answers of the valid cohort in long form (from the validity aggregate)."""
+    return first_n_long(valid_rows(frames(spark, root)[3]))
 
 
 def wlong(spark, root):

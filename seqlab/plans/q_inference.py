@@ -128,7 +128,7 @@ def _external(spark, root):
     long, first, ctrl, chk = frames(spark, root)
     v = valid_long(spark, root).withColumn("experiment_mode", F.col("experiment_mode").cast("string"))
     b = PL.long_data(long, N).filter(F.col("experiment_mode") == -1).withColumn("experiment_mode", F.lit("non-filter"))
-    return v.unionByName(b)
+    return v.unionByName(b.select(*v.columns))
 
 
 register("ext_long", """ext_long AS (

@@ -43,18 +43,30 @@ def frames(spark, root):
     long = PL.long_table(spark, root)
     first = PL.first_sessions(long)
     ctrl = S.modal_control(PL.long_data(long, N), N)
-    chk = S.first_mismatch(first, ctrl, N)
+    chk = S.first_mismatch(first, ctrl, N, carry=CARRY)
     return long, first, ctrl, chk
 
 
+# fields of the first n answers carried with each section row (see S.first_mismatch)
+CARRY = ["id", "question_id", "is_correct", "difficulty_level", "created_at"]
+
+
+def valid_rows(chk):
+    """Section rows of the ``valid`` cohort (prefix of ``valid_len`` equals the control)."""
+    return S.seq_valid(experiment_checked(chk), VL).filter("seq_valid")
+
+
+def first_n_long(rows):
+    """Expand the carried first-n answers of section rows into long form."""
+    return rows.select(*SECTION_KEYS, "experiment_mode", "q_len", F.inline("first_n"))
+
+
 def experiment_checked(chk):
     return chk.filter((F.col("q_len") >= N) & (F.col("experiment_mode") != -1))
 
 
 def valid_keys(chk):
-    """Section rows of the ``valid`` cohort (prefix of ``valid_len`` equals the control)."""
-    e = S.seq_valid(experiment_checked(chk), VL)
-    return e.filter("seq_valid").select(*SECTION_KEYS)
+    return valid_rows(chk).select(*SECTION_KEYS)
 
 
 @query("control_sequences", with_ctes("SELECT section_id, experiment_mode, pos, cq FROM ctrl"))
@@ -185,6 +197,5 @@ FROM long l JOIN valid_rows v ON l.user_id = v.user_id AND l.gamecharacter_id =
 WHERE l.pos IN (1, 10)"""))
 def melt_positions(spark, root):
     """Q-24: q_1_corr and q_10_corr of the valid cohort in long form."""
-    long, first, ctrl, chk = frames(spark, root)
-    v = first.join(valid_keys(chk), on=SECTION_KEYS, how="left_semi")
+    v = first_n_long(valid_rows(frames(spark, root)[3]))
     return S.melt_positions(v, [1, 10], "is_correct", ["user_id", "section_id", "experiment_mode"])
