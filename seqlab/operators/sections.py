@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlab.operators.sessions import DAY, _bucket, _field, _running_offset
+from seqlab.operators.sessions import BUCKET, _bucket, _field, _running_offset
 
 SESSION_KEYS = ["user_id", "gamecharacter_id", "session_id"]
 SECTION_KEYS = SESSION_KEYS + ["section_id"]
 
 
 def number_within(df: DataFrame, keys: list[str], ts: str = "created_at", tiebreak: str = "id",
-                  pos: str = "pos", total: str = "q_len", bucket_seconds: int = DAY) -> DataFrame:
+                  pos: str = "pos", total: str = "q_len", bucket_seconds: int = BUCKET) -> DataFrame:
     """Add ``pos`` (1-based, order (ts asc nulls last, id)) and ``total`` per group."""
     r = df.withColumn("_pb", _bucket(ts, bucket_seconds))
     w = Window.partitionBy(*keys, "_pb").orderBy(F.col(ts).asc_nulls_last(), F.col(tiebreak))
@@ -40,7 +40,7 @@ def session_arm(df: DataFrame, keys: list[str] = SESSION_KEYS, col: str = "exper
 
 
 def split_by_section(answers: DataFrame, ts: str = "created_at", tiebreak: str = "id",
-                     bucket_seconds: int = DAY) -> DataFrame:
+                     bucket_seconds: int = BUCKET) -> DataFrame:
     """Q-01 in long form: one row per answer with ``pos`` and ``q_len`` inside its
     (user, character, session, section), and the session's arm as
     ``experiment_mode`` (the arm is the whole session's mode, not the section's).

@@ -4,7 +4,7 @@ Skew-safe design
 ----------------
 A window partitioned by (user, character) would put one very active user
 into a single task.  Instead every run is cut into fixed time buckets
-(``bucket_seconds``, default one day):
+(``bucket_seconds``, default one hour):
 
 1. ``lag(ts)`` inside (key, bucket)              -> local previous time
 2. per (key, bucket): first/last time, inner breaks (hash aggregate, no
@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.timecols import epoch_micros, micros_between, seconds_between
 
+# Width of the time buckets that split a key's run across tasks.  A window task
+# holds at most (peak answers per second of one key) x BUCKET rows, whatever the
+# key's total volume; the per-key bucket table holds (time span / BUCKET) rows.
+BUCKET = 3_600
 DAY = 86_400
 
 
@@ -51,7 +55,7 @@ def assign_sessions(
     ts: str = "created_at",
     tiebreak: str = "id",
     null_ts: str = "drop",
-    bucket_seconds: int = DAY,
+    bucket_seconds: int = BUCKET,
 ) -> DataFrame:
     """Add ``prev_time``, ``time_diff`` (s), ``new_session`` and ``session_id``.
 
