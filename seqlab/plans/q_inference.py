@@ -388,3 +388,29 @@ def did_pvalues(spark, root):
     obs = I.did_observations(_valid_no0(spark, root), 1, 10)
     d = I.did(obs, PL.P.baseline_arm)
     return rounded(d.withColumn("p", p_value("t", "df")), ("coef", "se", "t", "p"))
+
+
+register("mf", f"""mf AS (SELECT experiment_mode, total_length / 60 AS minutes, CAST(q_number AS DOUBLE) AS q_number
+  FROM len_sess WHERE experiment_mode <> -1)""")
+
+
+@query("model_frame_summary", with_ctes(" UNION ALL ".join(f"""SELECT '{v}' AS variable,
+  (SELECT string_agg(CAST(experiment_mode AS VARCHAR), ',' ORDER BY experiment_mode)
+     FROM (SELECT DISTINCT experiment_mode FROM mf)) AS levels,
+  COUNT({v}) AS count, round(AVG({v}), 3) AS mean, round(stddev_samp({v}), 3) AS std, round(MIN({v}), 3) AS min,
+  round(quantile_cont({v}, 0.5), 3) AS p50, round(MAX({v}), 3) AS max FROM mf""" for v in ("minutes", "q_number"))))
+def model_frame_summary(spark, root):
+    """G-20: levels of the arm factor and a summary of the I-05 model frame."""
+    from seqlab.operators import summary as M
+    t = _len_sessions(spark, root, None).select(
+        "experiment_mode", (F.col("total_length") / 60).alias("minutes"), F.col("n_questions").cast("double").alias("q_number"))
+    levels = M.distinct_sorted(t, "experiment_mode").agg(
+        F.array_join(F.array_sort(F.collect_list(F.col("experiment_mode").cast("int"))).cast("array<string>"), ",")
+    ).scalar()
+    parts = []
+    for v in ("minutes", "q_number"):
+        parts.append(t.agg(F.lit(v).alias("variable"), levels.alias("levels"), F.count(v).alias("count"),
+                           F.round(F.avg(v), 3).alias("mean"), F.round(F.stddev_samp(v), 3).alias("std"),
+                           F.round(F.min(v), 3).alias("min"), F.round(F.percentile(F.col(v), 0.5), 3).alias("p50"),
+                           F.round(F.max(v), 3).alias("max")))
+    return parts[0].unionByName(parts[1])
