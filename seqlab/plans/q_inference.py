@@ -414,3 +414,45 @@ def model_frame_summary(spark, root):
                            F.round(F.min(v), 3).alias("min"), F.round(F.percentile(F.col(v), 0.5), 3).alias("p50"),
                            F.round(F.max(v), 3).alias("max")))
     return parts[0].unionByName(parts[1])
+
+
+# --- the remaining positions the published analysis fits ---------------------------------------
+
+def _contrast_query(pos: int, pooled: bool):
+    def fn(spark, root):
+        src = _pooled_long(spark, root) if pooled else _valid_no0(spark, root)
+        return rounded(I.contrast(_position_obs(src, pos), 0 if pooled else PL.P.baseline_arm))
+    fn.__doc__ = f"I-03{' / I-10' if pooled else ''}: correctness at question {pos} by arm."
+    return fn
+
+
+for _p in (2, 10, 11):
+    query(f"contrast_q{_p}", contrast_sql(f"cq{_p}", _pos_sql(_p), "1"))(_contrast_query(_p, False))
+for _p in (1, 2, 10, 11):
+    query(f"pooled_contrast_q{_p}", contrast_sql(f"poolc{_p}", _pos_sql(_p, arm=_POOL_ARM), "0"))(_contrast_query(_p, True))
+
+
+def _pooled_did_query(pre: int, post: int):
+    def fn(spark, root):
+        return rounded(I.did(I.did_observations(_pooled_long(spark, root), pre, post), 0))
+    fn.__doc__ = f"I-10: merged arms, DiD between questions {pre} and {post}."
+    return fn
+
+
+for _pre, _post in [(2, 11), (2, 12)]:
+    query(f"pooled_did_{_pre}_{_post}", did_sql(f"pool{_pre}{_post}", _obs_sql(_pre, _post, arm=_POOL_ARM), "0"))(
+        _pooled_did_query(_pre, _post))
+
+
+def _adjusted_query(target: int):
+    def fn(spark, root):
+        w = _adj_rows(_valid_no0(spark, root), target)
+        return rounded(I.adjusted_contrast(w, PL.P.baseline_arm, f"q_{target}_corr", "q_1_corr", "q_2_corr"))
+    fn.__doc__ = f"I-04: q_{target} ~ C(arm, ref 1) + q_1 + q_2 on the valid cohort without arm 0."
+    return fn
+
+
+for _t in (10, 11):
+    query(f"adjusted_q{_t}", adjusted_sql(
+        f"adj{_t}", f"SELECT * FROM ({_ADJ_SQL.format(t=_t)}) WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL",
+        "1", "q_1_corr", "q_2_corr"))(_adjusted_query(_t))
