@@ -100,8 +100,9 @@ def step_times(long: DataFrame, n: int = 12, keys: list[str] | None = None, ts:
 
 def median_by_position(steps: DataFrame, value: str, by: list[str] | None = None, pos: str = "pos") -> DataFrame:
     """Q-16: exact median (midpoint for even counts) per (arm, position), nulls ignored."""
+    from seqlab.operators.quantiles import exact_quantiles
     by = by if by is not None else ["experiment_mode"]
-    return steps.groupBy(*by, pos).agg(F.percentile(F.col(value), 0.5).alias(f"median_{value}"))
+    return exact_quantiles(steps, value, [*by, pos], (0.5,), [f"median_{value}"])
 
 
 def ragged_curve(long: DataFrame, value: str = "is_correct", by: list[str] | None = None,

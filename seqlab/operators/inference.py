@@ -181,14 +181,17 @@ def within_two_regressors(df: DataFrame, group: str, y: str, x1: str, x2: str, e
     return _finish(rows, F.when(F.col("dfree") > 0, F.col("RSS") / F.col("dfree")), F.col("dfree"))
 
 
-def median_contrast(rows: DataFrame, baseline, value: str, arm: str = "experiment_mode") -> DataFrame:
+def median_contrast(rows: DataFrame, baseline, value: str, arm: str = "experiment_mode",
+                    by: list[str] | None = None) -> DataFrame:
     """I-06: median regression on arm dummies only = differences of group medians
-    (midpoint for even counts)."""
-    g = rows.filter(F.col(value).isNotNull()).groupBy(arm).agg(
-        F.percentile(F.col(value), 0.5).alias("med"), F.count(F.lit(1)).alias("n"))
+    (midpoint for even counts), per extra grouping ``by`` (e.g. outcome)."""
+    from seqlab.operators.quantiles import exact_quantiles
+    by = by or []
+    g = exact_quantiles(rows, value, [*by, arm], (0.5,), ["med"], count_name="n")
     isb = _label(arm) == F.lit(str(baseline))
-    g = g.withColumn("b_med", F.max(F.when(isb, F.col("med"))).over(_all()))
-    return g.select(F.when(isb, F.lit("Intercept")).otherwise(F.concat(F.lit("arm["), _label(arm), F.lit("]"))).alias("term"),
+    w = Window.partitionBy(*by) if by else _all()
+    g = g.withColumn("b_med", F.max(F.when(isb, F.col("med"))).over(w))
+    return g.select(*by, F.when(isb, F.lit("Intercept")).otherwise(F.concat(F.lit("arm["), _label(arm), F.lit("]"))).alias("term"),
                     F.when(isb, F.col("med")).otherwise(F.col("med") - F.col("b_med")).alias("coef"), "n")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.scalar import answer_letter
+from seqlab.operators.quantiles import exact_quantiles
 
 
 def frequency(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
@@ -26,13 +27,14 @@ def crosstab(df: DataFrame, row: str, col: str, values: list, names: list[str] |
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """G-08: count, mean, sample std, min, quartiles (linear interpolation), max."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """G-08: count, mean, sample std, min, quartiles (linear interpolation), max.
+    Quartiles come from the skew-safe exact quantile operator."""
     g = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
                             F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"),
-                            q.alias("_q"), F.max(value).cast("double").alias("max"))
-    return g.select(*by, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                    F.col("_q")[2].alias("p75"), "max")
+                            F.max(value).cast("double").alias("max"))
+    q = exact_quantiles(df, value, by, (0.25, 0.5, 0.75), ["p25", "p50", "p75"])
+    j = g.join(q, on=by, how="left")
+    return j.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
@@ -50,8 +52,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 def box_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """G-13: quartiles, 1.5 IQR whiskers (most extreme values inside the fences)
     and the number of outliers per group."""
-    q = df.groupBy(*by).agg(F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(df, value, by, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = df.select(*by, value).join(q, on=by, how="inner")

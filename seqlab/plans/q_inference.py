@@ -262,16 +262,15 @@ FROM (SELECT experiment_mode, quantile_cont({v}, 0.5) AS med, COUNT(*) AS n FROM
       WHERE pos = {p} AND {v} IS NOT NULL GROUP BY experiment_mode)""" for o, v, p in _MED_PARTS)))
 def median_contrast(spark, root):
     """I-06: median regression of step time into questions 10, 11, 12 and of the time
-    from question 1 to 12 on arm dummies (ref arm 1) = differences of group medians."""
-    st = C.step_times(valid_long(spark, root), N)
-    parts = []
-    for o, v, p in _MED_PARTS:
-        m = I.median_contrast(st.filter(F.col("pos") == p), PL.P.baseline_arm, v)
-        parts.append(m.select(F.lit(o).alias("outcome"), "term", F.round("coef", 3).alias("coef"), "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from question 1 to 12 on arm dummies (ref arm 1) = differences of group medians.
+    The four outcomes are stacked and share one quantile pass."""
+    st = C.step_times(valid_long(spark, root), N).filter(F.col("pos").isin(10, 11, 12))
+    pairs = F.array(
+        F.struct(F.concat(F.lit("delta_q"), F.col("pos").cast("string")).alias("outcome"), F.col("delta").alias("x")),
+        F.struct(F.when(F.col("pos") == 12, F.lit("acc_q12")).alias("outcome"), F.col("acc").alias("x")))
+    stacked = st.select("experiment_mode", F.inline(pairs)).filter(F.col("outcome").isNotNull())
+    m = I.median_contrast(stacked, PL.P.baseline_arm, "x", by=["outcome"])
+    return m.select("outcome", "term", F.round("coef", 3).alias("coef"), "n")
 
 
 register("len_sess", f"""len_sess AS (
@@ -407,11 +406,13 @@ def model_frame_summary(spark, root):
     levels = M.distinct_sorted(t, "experiment_mode").agg(
         F.array_join(F.array_sort(F.collect_list(F.col("experiment_mode").cast("int"))).cast("array<string>"), ",")
     ).scalar()
+    from seqlab.operators.quantiles import exact_quantiles
     parts = []
     for v in ("minutes", "q_number"):
-        parts.append(t.agg(F.lit(v).alias("variable"), levels.alias("levels"), F.count(v).alias("count"),
+        med = exact_quantiles(t, v, [], (0.5,), ["_p50"])
+        parts.append(t.withColumn("_p50", med.scalar()).agg(F.lit(v).alias("variable"), levels.alias("levels"), F.count(v).alias("count"),
                            F.round(F.avg(v), 3).alias("mean"), F.round(F.stddev_samp(v), 3).alias("std"),
-                           F.round(F.min(v), 3).alias("min"), F.round(F.percentile(F.col(v), 0.5), 3).alias("p50"),
+                           F.round(F.min(v), 3).alias("min"), F.round(F.first("_p50"), 3).alias("p50"),
                            F.round(F.max(v), 3).alias("max")))
     return parts[0].unionByName(parts[1])
 

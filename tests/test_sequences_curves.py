@@ -103,3 +103,21 @@ def test_volume_codes(spark):
     df = spark.createDataFrame([("ㄧ年級",), ("一年級",), ("總複習",), ("五年級上",)], "v string")
     got = [(r[0], r[1]) for r in df.select(volume_code("v"), volume_code("v", strict=True)).collect()]
     assert got == [(1, 1), (1, 0), (0, 0), (5, 5)]
+
+
+def test_exact_quantiles_match_percentile(spark):
+    """Skew-safe quantiles equal Spark's percentile, with a hot group and ties."""
+    import random
+    from seqlab.operators.quantiles import exact_quantiles
+    rnd = random.Random(1)
+    rows = [(0, float(rnd.randint(0, 50))) for _ in range(5000)] + [(1, float(v)) for v in (1, 2, 3, 10)] + \
+           [(2, 7.0)] + [(3, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in
+           exact_quantiles(df, "v", ["g"], (0.25, 0.5, 0.9), ["a", "b", "c"], partitions=7).collect()}
+    exp = {r["g"]: tuple(r["q"]) for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q")).collect() if r["q"] is not None}
+    assert set(got) == {0, 1, 2}
+    for k in got:
+        assert got[k] == pytest.approx(exp[k])
+    assert got[1][1] == 2.5
