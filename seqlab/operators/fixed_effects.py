@@ -13,7 +13,8 @@ default clusters by the first effect instead; stated, not reproduced).
 
 I-09 ``is_correct ~ gap | difficulty + section + user`` (logit): levels whose
 outcomes are all equal are dropped (repeated until stable, as fixest does);
-the effects enter as one-hot columns of a Spark ML ``LogisticRegression``
+the levels are numbered on the executors (distinct + zipWithIndex, no label
+list on the driver) and enter as one-hot columns of a Spark ML ``LogisticRegression``
 without regularisation; the gap is standardised for conditioning and its
 coefficient reported on the original scale.
 """
@@ -90,23 +91,33 @@ def drop_separated(df: DataFrame, y: str, fes: list[str], max_iter: int = 20):
     return cur, total - cur.count()
 
 
+def level_index(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Consecutive 0-based ids for the distinct values of ``col``, assigned on the
+    executors (distinct + zipWithIndex); nothing is collected to the driver."""
+    levels = df.select(col).distinct().orderBy(col)
+    rdd = levels.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+    return df.sparkSession.createDataFrame(rdd, f"{col} {dict(levels.dtypes)[col]}, {out} long")
+
+
 def fe_logit(df: DataFrame, y: str, x: str, fes: list[str], max_iter: int = 100) -> DataFrame:
     """I-09: logit of y on x with fixed effects as one-hot columns (Spark ML)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 
     checkpoint_dir(df.sparkSession)
     data, removed = drop_separated(df.select(y, x, *fes).na.drop(), y, fes)
+    for fe in fes:
+        data = data.join(level_index(data, fe, f"_i_{fe}"), on=fe, how="inner")
+    data = data.withColumn("label", F.col(y).cast("double"))
     stats = data.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd")).first()
     mu, sd = stats["mu"], stats["sd"] or 1.0
-    data = data.withColumn("_xs", (F.col(x) - F.lit(mu)) / F.lit(sd)).withColumn("label", F.col(y).cast("double"))
-    idx = [StringIndexer(inputCol=fe, outputCol=f"_i_{fe}", stringOrderType="alphabetAsc") for fe in fes]
+    data = data.withColumn("_xs", (F.col(x) - F.lit(mu)) / F.lit(sd))
     enc = OneHotEncoder(inputCols=[f"_i_{fe}" for fe in fes], outputCols=[f"_o_{fe}" for fe in fes], dropLast=True)
     asm = VectorAssembler(inputCols=["_xs"] + [f"_o_{fe}" for fe in fes], outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.0, elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-10)
-    model = Pipeline(stages=[*idx, enc, asm, lr]).fit(data)
+    model = Pipeline(stages=[enc, asm, lr]).fit(data)
     lrm = model.stages[-1]
     coef = float(lrm.coefficients[0]) / sd
     n_obs = data.count()
