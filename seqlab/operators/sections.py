@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlab.operators.sessions import BUCKET, _bucket, _field, _running_offset
+from seqlab.operators.sessions import BUCKET, MAX_BUCKET_ROWS, _field, _running_offset, split_buckets
 
 SESSION_KEYS = ["user_id", "gamecharacter_id", "session_id"]
 SECTION_KEYS = SESSION_KEYS + ["section_id"]
 
 
 def number_within(df: DataFrame, keys: list[str], ts: str = "created_at", tiebreak: str = "id",
-                  pos: str = "pos", total: str = "q_len", bucket_seconds: int = BUCKET) -> DataFrame:
+                  pos: str = "pos", total: str = "q_len", bucket_seconds: int = BUCKET,
+                  max_bucket_rows: int | None = MAX_BUCKET_ROWS) -> DataFrame:
     """Add ``pos`` (1-based, order (ts asc nulls last, id)) and ``total`` per group."""
-    r = df.withColumn("_pb", _bucket(ts, bucket_seconds))
+    r = split_buckets(df, keys, ts, bucket_seconds, max_bucket_rows, out="_pb")
     w = Window.partitionBy(*keys, "_pb").orderBy(F.col(ts).asc_nulls_last(), F.col(tiebreak))
     r = r.withColumn("_lpos", F.row_number().over(w))
     cnt = r.groupBy(*keys, "_pb").agg(F.count(F.lit(1)).alias("_n"))

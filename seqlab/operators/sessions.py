@@ -4,7 +4,7 @@ Skew-safe design
 ----------------
 A window partitioned by (user, character) would put one very active user
 into a single task.  Instead every run is cut into fixed time buckets
-(``bucket_seconds``, default one hour):
+(``bucket_seconds``, default one minute):
 
 1. ``lag(ts)`` inside (key, bucket)              -> local previous time
 2. per (key, bucket): first/last time, inner breaks (hash aggregate, no
@@ -26,8 +26,9 @@ from seqlab.functions.timecols import epoch_micros, micros_between, seconds_betw
 
 # Width of the time buckets that split a key's run across tasks.  A window task
 # holds at most (peak answers per second of one key) x BUCKET rows, whatever the
-# key's total volume; the per-key bucket table holds (time span / BUCKET) rows.
-BUCKET = 3_600
+# key's total volume; the per-key bucket table holds at most one row per active
+# minute (525,600 a year).  Keys with extreme rates can also set max_bucket_rows.
+BUCKET = 60
 DAY = 86_400
 
 
@@ -40,6 +41,33 @@ def _bucket(ts: str, bucket_seconds: int) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(int(bucket_seconds) * 1_000_000)).cast("long")
 
 
+SUB_BITS = 20  # a bucket splits into at most 2**20 sub-buckets
+MAX_BUCKET_ROWS = None  # opt-in: count-based splitting of bursting buckets
+
+
+def split_buckets(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int = BUCKET,
+                  max_bucket_rows: int | None = MAX_BUCKET_ROWS, out: str = "_b") -> DataFrame:
+    """Add a bucket id ordered like time within ``keys``.  A (key, bucket) with
+    more than ``max_bucket_rows`` rows is cut into f = ceil(rows / max) equal
+    time slices, so one key bursting inside one bucket is still spread over
+    tasks.  The hot list comes from one narrow partial aggregate and has at most
+    rows / max_bucket_rows entries, so AQE broadcasts it and the rows are not
+    shuffled for it."""
+    coarse = _bucket(ts, bucket_seconds)
+    x = df.withColumn("_cb", coarse)
+    if not max_bucket_rows:
+        return x.withColumn(out, F.col("_cb") * F.lit(1 << SUB_BITS)).drop("_cb")
+    hot = (x.groupBy(*keys, "_cb").agg(F.count(F.lit(1)).alias("_cnt"))
+           .filter(F.col("_cnt") > max_bucket_rows)
+           .select(*keys, "_cb", F.least(F.ceil(F.col("_cnt") / F.lit(max_bucket_rows)),
+                                         F.lit((1 << SUB_BITS) - 1)).cast("long").alias("_f")))
+    x = x.join(hot, on=[*keys, "_cb"], how="left")
+    width_us = int(bucket_seconds) * 1_000_000
+    offset = epoch_micros(ts) - F.col("_cb") * F.lit(width_us)
+    sub = F.when(F.col("_f").isNull(), F.lit(0)).otherwise(F.floor(offset * F.col("_f") / F.lit(width_us)))
+    return x.withColumn(out, F.col("_cb") * F.lit(1 << SUB_BITS) + sub.cast("long")).drop("_cb", "_f")
+
+
 def _running_offset(small: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over earlier ``order`` rows of the same key (0 for the first)."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -56,6 +84,7 @@ def assign_sessions(
     tiebreak: str = "id",
     null_ts: str = "drop",
     bucket_seconds: int = BUCKET,
+    max_bucket_rows: int | None = MAX_BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``prev_time``, ``time_diff`` (s), ``new_session`` and ``session_id``.
 
@@ -65,7 +94,9 @@ def assign_sessions(
     null_ts: ``drop`` (default), ``new`` (every null-time row opens a session, as
     pandas) or ``join`` (first null row joins the last session, as SQL) (D-03).
     A new session starts when there is no previous time or the gap is strictly
-    greater than ``gap_seconds`` (W-03).
+    greater than ``gap_seconds`` (W-03).  ``bucket_seconds`` / ``max_bucket_rows``
+    control how a key's run is cut across tasks (``split_buckets``); results do not
+    depend on them.
     """
     if flavour not in ("per_character", "user_global"):
         raise ValueError(f"unknown flavour {flavour!r}")
@@ -77,7 +108,9 @@ def assign_sessions(
     base = df.filter(F.col(user).isNotNull() & F.col(character).isNotNull())  # D-04
     timed = base.filter(F.col(ts).isNotNull())
 
-    r1 = timed.withColumn("_b", _bucket(ts, bucket_seconds))
+    # per-user numbering needs one bucket layout for all characters of a user
+    split_keys = keys if flavour == "per_character" else [user]
+    r1 = split_buckets(timed, split_keys, ts, bucket_seconds, max_bucket_rows)
     w_local = Window.partitionBy(*keys, "_b").orderBy(F.col(ts).asc_nulls_last(), F.col(tiebreak))
     r1 = r1.withColumn("_prev_local", F.lag(ts).over(w_local))
 

@@ -56,14 +56,14 @@ def test_null_items_kept_in_arrays(spark):
 
 
 @pytest.mark.parametrize("flavour", ["per_character", "user_global"])
-@pytest.mark.parametrize("bucket", [3600, 86400])
-def test_bucketed_equals_plain_window(spark, flavour, bucket):
+@pytest.mark.parametrize("bucket,max_rows", [(3600, None), (86400, 5_000_000), (86400, 3)])
+def test_bucketed_equals_plain_window(spark, flavour, bucket, max_rows):
     """The skew-safe bucketed plan gives exactly the textbook window result,
     also when sessions cross many bucket boundaries (1-hour buckets, 12-hour gap)."""
     from seqlab.sources.adapter import answer_log
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     a = answer_log(ev).withColumnRenamed("created_at_utc8", "created_at")
-    got = assign_sessions(a, gap_seconds=12 * 3600, flavour=flavour, bucket_seconds=bucket)
+    got = assign_sessions(a, gap_seconds=12 * 3600, flavour=flavour, bucket_seconds=bucket, max_bucket_rows=max_rows)
     exp = assign_sessions_plain(a, gap_seconds=12 * 3600, flavour=flavour)
     cols = ["id", "session_id", "new_session", "time_diff"]
     diff = got.select(*cols).exceptAll(exp.select(*cols)).count() + exp.select(*cols).exceptAll(got.select(*cols)).count()
@@ -97,3 +97,28 @@ def test_shuffle_partitions_do_not_change_result(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_burst_inside_one_bucket_is_split(spark):
+    """A key whose rows all fall inside one bucket is cut into time slices."""
+    rows = [(i, 1, 10, T0 + timedelta(seconds=i), 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = assign_sessions(df, gap_seconds=600, bucket_seconds=86400, max_bucket_rows=100).withColumn(
+            "_p", F.spark_partition_id())
+        parts = got.groupBy("_p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 1
+    assert got.agg(F.max("session_id"), F.min("session_id")).first() == (1, 1)
+
+
+def test_positions_with_split_buckets(spark):
+    from seqlab.operators.sections import number_within
+    rows = [(i, 1, 10, T0 + timedelta(seconds=(i * 7919) % 5000), 1) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("session_id", F.lit(1)).withColumn("section_id", F.lit(0))
+    keys = ["user_id", "gamecharacter_id", "session_id", "section_id"]
+    got = number_within(df, keys, max_bucket_rows=20).select("id", "pos", "q_len").orderBy("pos").collect()
+    exp = sorted(rows, key=lambda r: (r[3], r[0]))
+    assert [r["id"] for r in got] == [r[0] for r in exp] and all(r["q_len"] == 500 for r in got)
