@@ -59,11 +59,12 @@ def enriched(spark: SparkSession, root: str) -> DataFrame:
                           adapter.question_structure(ev), adapter.gc_course(ev))
 
 
-def _keep(df: DataFrame, p: Params) -> DataFrame:
+def _keep(df: DataFrame, p: Params, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist a frame that several branches of a query (and later queries) read.
-    MEMORY_AND_DISK spills instead of failing; a lost block is recomputed from
-    lineage.  Identical plans share one cache entry."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if p.persist else df
+    MEMORY_AND_DISK: under memory pressure execution memory evicts cached blocks
+    to local disk, so caching never fails a job; a lost block is recomputed from
+    lineage; identical plans share one cache entry."""
+    return df.persist(level) if p.persist else df
 
 
 def cohort(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
@@ -85,6 +86,18 @@ def long_table(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
     return _keep(split_by_section(in_sessions(spark, root, p)), p)
 
 
+def materialize_long_table(spark: SparkSession, root: str, p: Params = P, path: str | None = None) -> DataFrame:
+    """Write the long table once, partitioned by arm, to a shared folder (default:
+    under ``spark.checkpoint.dir``) and return a reader over it.  For production
+    runs where many analyses follow: the lineage is cut, a lost executor costs
+    nothing, and later scans prune partitions and columns."""
+    from seqlab.session import checkpoint_dir
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/seqlab_long_table"
+    split_by_section(in_sessions(spark, root, p)).write.mode("overwrite").partitionBy(
+        "experiment_mode").parquet(path)
+    return spark.read.parquet(path)
+
+
 def sections(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
     return section_rows(long_table(spark, root, p))
 

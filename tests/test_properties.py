@@ -60,3 +60,14 @@ def test_input_order_does_not_matter(spark):
     a = assign_sessions(c, gap_seconds=3600 * 60).select("id", "session_id")
     b = assign_sessions(c.orderBy(F.rand(11)).repartition(5), gap_seconds=3600 * 60).select("id", "session_id")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_materialized_long_table_equals_lazy(spark):
+    import tempfile
+    p = PL.Params(persist=False)
+    path = tempfile.mkdtemp(prefix="seqlab-long-") + "/t"
+    m = PL.materialize_long_table(spark, "/root/testdata/sf0.001", p, path)
+    lazy = PL.long_table(spark, "/root/testdata/sf0.001", p)
+    cols = ["id", "session_id", "pos", "q_len", "experiment_mode"]
+    assert m.select(*cols).exceptAll(lazy.select(*cols)).count() == 0
+    assert m.count() == lazy.count()
