@@ -195,7 +195,7 @@ def median_contrast(rows: DataFrame, baseline, value: str, arm: str = "experimen
                     F.when(isb, F.col("med")).otherwise(F.col("med") - F.col("b_med")).alias("coef"), "n")
 
 
-def fit_stats(obs: DataFrame, model_rows: DataFrame, n_coef: int | None = None, arm: str = "experiment_mode") -> DataFrame:
+def fit_stats(obs: DataFrame, arm: str = "experiment_mode") -> DataFrame:
     """I-11 for the saturated DiD: N, df, R2, adjusted R2, F from the same sums."""
     both = obs.groupBy(arm, "time_binary").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
                                                 F.sum(F.col("y") * F.col("y")).alias("syy"))

@@ -170,7 +170,7 @@ FROM (SELECT SUM(n) AS N, SUM(s) AS sy, SUM(ss) AS syy, SUM(ss - s * s / n) AS r
 def did_fit_stats(spark, root):
     """I-11: N, residual df, R2, adjusted R2 and F of the questions 1-10 DiD model."""
     obs = I.did_observations(_valid_no0(spark, root), 1, 10)
-    return rounded(I.fit_stats(obs, None), ("r2", "adj_r2", "f_stat"))
+    return rounded(I.fit_stats(obs), ("r2", "adj_r2", "f_stat"))
 
 
 def _position_obs(long, pos: int):

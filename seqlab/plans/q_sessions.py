@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlab.functions.scalar import array_text, volume_code, answer_letter
+from seqlab.functions.scalar import array_text, volume_code
 from seqlab.functions.timecols import parse_timestamp, ts_text
 from seqlab.operators import enrich as E
 from seqlab.operators.sessions import assign_sessions, session_table
 from seqlab.plans import pipeline as PL
-from seqlab.plans.oracle import register, session_ctes, with_ctes, mode_cte
+from seqlab.plans.oracle import mode_cte, register, session_ctes, volume_case, with_ctes
 from seqlab.plans.registry import query
 from seqlab.sources import adapter
 
@@ -202,8 +202,8 @@ def session_modes(spark, root):
 
 
 @query("volume_codes", with_ctes(
-    f"SELECT book_volume_name, {__import__('seqlab.plans.oracle', fromlist=['x']).volume_case('book_volume_name')} AS vol, "
-    f"{__import__('seqlab.plans.oracle', fromlist=['x']).volume_case('book_volume_name', True)} AS vol_strict, "
+    f"SELECT book_volume_name, {volume_case('book_volume_name')} AS vol, "
+    f"{volume_case('book_volume_name', True)} AS vol_strict, "
     "COUNT(*) AS n FROM enriched GROUP BY book_volume_name"))
 def volume_codes(spark, root):
     """X-05 / D-16: volume number from the volume name, lenient and strict."""
