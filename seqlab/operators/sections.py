@@ -58,10 +58,17 @@ def section_rows(long: DataFrame, ts: str = "created_at") -> DataFrame:
                                                  F.col(ts).alias("create_at"))
 
 
-def section_arrays(long: DataFrame, fields: list[str], ts: str = "created_at", tiebreak: str = "id") -> DataFrame:
-    """Q-01 as published: parallel arrays per (session, section) in time order."""
+def section_arrays(long: DataFrame, fields: list[str], ts: str = "created_at", tiebreak: str = "id",
+                   chunk_size: int | None = None) -> DataFrame:
+    """Q-01 as published: parallel arrays per (session, section) in time order.
+    ``chunk_size`` emits rows (section, ``chunk``) of at most that many elements
+    instead, so no row or task has to hold an unbounded section."""
     st = F.struct(F.col("pos"), *[F.col(f) for f in fields])
-    out = long.groupBy(*SECTION_KEYS, "q_len", "experiment_mode").agg(F.array_sort(F.collect_list(st)).alias("_a"))
+    keys = [*SECTION_KEYS, "q_len", "experiment_mode"]
+    if chunk_size:
+        long = long.withColumn("chunk", ((F.col("pos") - 1) / F.lit(int(chunk_size))).cast("int"))
+        keys.append("chunk")
+    out = long.groupBy(*keys).agg(F.array_sort(F.collect_list(st)).alias("_a"))
     for f in fields:
         out = out.withColumn(f, F.transform("_a", _field(f)))
     return out.drop("_a")

@@ -207,6 +207,7 @@ def session_table(
     first_cols: dict[str, str] | None = None,
     mode_cols: dict[str, str] | None = None,
     unit: str = "seconds",
+    chunk_size: int | None = None,
 ) -> DataFrame:
     """G-02..G-05: one row per session.
 
@@ -215,7 +216,9 @@ def session_table(
     ``first_cols``: value at the earliest (ts, id) (D-11, ``min_by``).
     ``mode_cols``: most frequent value, lowest on ties, null if all null (G-05).
     Scalars are computed with partial (map-side) aggregation; only the arrays
-    need the whole session in one task, and only when asked for.
+    need the whole session in one task, and only when asked for.  ``chunk_size``
+    bounds that too: arrays are emitted as rows (session, ``chunk``) of at most
+    ``chunk_size`` elements, positions coming from the skew-safe ``number_within``.
     """
     keys = list(keys)
     order = F.struct(F.col(ts).isNull(), F.col(ts), F.col(tiebreak))
@@ -232,6 +235,16 @@ def session_table(
         fields = [F.col(ts).alias("_t"), F.col(tiebreak).alias("_i")] + [
             F.col(src).alias(f"_a{j}") for j, src in enumerate(array_cols.values())]
         aggs.append(F.array_sort(F.collect_list(F.struct(*fields))).alias("_arr"))
+    if array_cols and chunk_size:
+        from seqlab.operators.sections import number_within
+        scalars = session_table(df, tuple(keys), ts, tiebreak, None, first_cols, mode_cols, unit)
+        pos = number_within(df, keys, ts=ts, tiebreak=tiebreak, pos="_pos", total="_tot")
+        pos = pos.withColumn("chunk", ((F.col("_pos") - 1) / F.lit(int(chunk_size))).cast("int"))
+        st = F.struct(F.col("_pos"), *[F.col(src).alias(f"_a{j}") for j, src in enumerate(array_cols.values())])
+        arr = pos.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(st)).alias("_arr"))
+        for j, name in enumerate(array_cols):
+            arr = arr.withColumn(name, F.transform("_arr", _field(f"_a{j}")))
+        return scalars.join(arr.drop("_arr"), on=keys, how="inner")
     out = df.groupBy(*keys).agg(*aggs)
     scale = 60.0 if unit == "minutes" else 1.0
     out = out.withColumn("session_length", seconds_between("start_time", "end_time") / F.lit(scale))

@@ -122,3 +122,13 @@ def test_positions_with_split_buckets(spark):
     got = number_within(df, keys, max_bucket_rows=20).select("id", "pos", "q_len").orderBy("pos").collect()
     exp = sorted(rows, key=lambda r: (r[3], r[0]))
     assert [r["id"] for r in got] == [r[0] for r in exp] and all(r["q_len"] == 500 for r in got)
+
+
+def test_chunked_session_arrays(spark):
+    rows = [(i, 1, 10, T0 + timedelta(seconds=i), i % 2) for i in range(25)]
+    df = assign_sessions(spark.createDataFrame(rows, SCHEMA), gap_seconds=600)
+    whole = session_table(df, array_cols={"vs": "v", "ids": "id"}).first()
+    parts = session_table(df, array_cols={"vs": "v", "ids": "id"}, chunk_size=10).orderBy("chunk").collect()
+    assert [len(p["ids"]) for p in parts] == [10, 10, 5]
+    assert sum((p["ids"] for p in parts), []) == whole["ids"] and sum((p["vs"] for p in parts), []) == whole["vs"]
+    assert all(p["n_questions"] == 25 for p in parts)
