@@ -59,6 +59,29 @@ def enriched(spark: SparkSession, root: str) -> DataFrame:
                           adapter.question_structure(ev), adapter.gc_course(ev))
 
 
+_MEMO: dict = {}
+
+
+def reset() -> None:
+    """Forget memoized pipeline frames (e.g. after the input files changed)."""
+    _MEMO.clear()
+
+
+def _memo(spark: SparkSession, key: tuple, build, p: Params | None = None) -> DataFrame:
+    """Build a shared pipeline frame once per Spark application and input.
+    Query builders call the pipeline many times; rebuilding the same plan costs
+    thousands of py4j calls.  Persisted frames re-register their cache entry on
+    every lookup (a no-op when present), so a cleared cache is rebuilt lazily."""
+    k = (spark.sparkContext.applicationId, id(spark), key)
+    df = _MEMO.get(k)
+    if df is None:
+        df = build()
+        _MEMO[k] = df
+    elif p is not None and p.persist:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def _keep(df: DataFrame, p: Params, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist a frame that several branches of a query (and later queries) read.
     MEMORY_AND_DISK: under memory pressure execution memory evicts cached blocks
@@ -72,18 +95,21 @@ def cohort(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
     Persisted: the sessionizer reads it in two branches (bucket statistics and the
     main window) whose pruned columns differ, so without it the enrichment joins
     would run twice."""
-    df = cohort_filter(enriched(spark, root))
-    return _keep(df.withColumn("created_at", parse_timestamp(F.col("created_at_utc8")))
-                   .withColumn("manual_book_vol", volume_code("book_volume_name")), p)
+    def build():
+        df = cohort_filter(enriched(spark, root))
+        return _keep(df.withColumns({"created_at": parse_timestamp(F.col("created_at_utc8")),
+                                     "manual_book_vol": volume_code("book_volume_name")}), p)
+    return _memo(spark, ("cohort", root, p), build, p)
 
 
 def in_sessions(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
-    return _keep(assign_sessions(cohort(spark, root, p), gap_seconds=p.gap_minutes * 60, flavour=p.flavour), p)
+    return _memo(spark, ("in_sessions", root, p), lambda: _keep(
+        assign_sessions(cohort(spark, root, p), gap_seconds=p.gap_minutes * 60, flavour=p.flavour), p), p)
 
 
 def long_table(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
     """One row per answer: section keys, pos, q_len, experiment_mode and the answer fields."""
-    return _keep(split_by_section(in_sessions(spark, root, p)), p)
+    return _memo(spark, ("long", root, p), lambda: _keep(split_by_section(in_sessions(spark, root, p)), p), p)
 
 
 def materialize_long_table(spark: SparkSession, root: str, p: Params = P, path: str | None = None) -> DataFrame:

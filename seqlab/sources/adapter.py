@@ -13,8 +13,7 @@ map side before the shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # The controlled course ids (15 of them) and the cohort defaults.
 CONTROLLED_COURSES = list(range(15))
@@ -25,72 +24,57 @@ COHORT_SUBJECT = "math"
 VOLUME_NAMES = ["六年級", "五年級", "四年級", "三年級", "二年級", "一年級", "總複習"]
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+_K = "CAST(get_json_object(props, '$.k') AS INT)"
+_VOL_ARRAY = "array(" + ", ".join(f"'{v}'" for v in VOLUME_NAMES) + ")"
 
 
 def answer_log(events: DataFrame) -> DataFrame:
-    """Answer log: id, user, character, question, section, correctness, answer text."""
-    q = (_k() % 8).cast("long")
-    uid = F.col("user_id")
-    eid = F.col("event_id")
-    return events.select(
-        eid.alias("id"),
-        uid.alias("user_id"),
-        F.when(uid % 3 == 0, uid * 10 + eid % 2).otherwise(uid * 10).alias("gamecharacter_id"),
-        q.alias("question_id"),
-        (q % 2).alias("section_id"),
-        F.when(F.col("value") >= 30, 1).otherwise(0).cast("int").alias("is_correct"),
-        F.concat(F.lit('["'), F.char((F.lit(65) + eid % 4).cast("int")), F.lit('"]')).alias("answer"),
-        (eid % 2).cast("int").alias("is_self_selected"),
-        F.col("ts").alias("created_at_utc8"),
+    """Answer log: id, user, character, question, section, correctness, answer text.
+    Written as SQL expressions (one JVM call per projection)."""
+    return events.selectExpr(
+        "event_id AS id",
+        "user_id",
+        "CASE WHEN user_id % 3 = 0 THEN user_id * 10 + event_id % 2 ELSE user_id * 10 END AS gamecharacter_id",
+        f"CAST({_K} % 8 AS BIGINT) AS question_id",
+        f"CAST({_K} % 8 % 2 AS BIGINT) AS section_id",
+        "CAST(CASE WHEN value >= 30 THEN 1 ELSE 0 END AS INT) AS is_correct",
+        "concat('[\"', char(CAST(65 + event_id % 4 AS INT)), '\"]') AS answer",
+        "CAST(event_id % 2 AS INT) AS is_self_selected",
+        "ts AS created_at_utc8",
     )
 
 
 def exp_log(events: DataFrame) -> DataFrame:
-    """Experiment (book-volume) log: answers of users outside ``user_id % 5 = 4``
-    with the experiment arm that was active for that answer."""
-    uid = F.col("user_id")
-    arm = F.when(F.col("id") % 4 == 0, (uid + 1) % 4).otherwise(uid % 4).cast("int")
-    return (
-        answer_log(events.filter(F.col("user_id") % 5 != 4))
-        .select("id", "user_id", "gamecharacter_id", "question_id", "section_id",
-                arm.alias("experiment_index"), "is_correct", "created_at_utc8")
-    )
+    """Experiment (book-volume) log: answers of the users in the experiment
+    population (all but ``user_id % 5 = 4``, a population definition, not a row
+    cap) with the experiment arm that was active for that answer."""
+    return answer_log(events.filter("user_id % 5 <> 4")).selectExpr(
+        "id", "user_id", "gamecharacter_id", "question_id", "section_id",
+        "CAST(CASE WHEN id % 4 = 0 THEN (user_id + 1) % 4 ELSE user_id % 4 END AS INT) AS experiment_index",
+        "is_correct", "created_at_utc8")
 
 
 def question_structure(events: DataFrame) -> DataFrame:
     """Question dimension over the distinct question ids."""
-    q = F.col("question_id")
-    vol = F.element_at(F.array(*[F.lit(v) for v in VOLUME_NAMES]), (q % 7 + 1).cast("int"))
-    return (
-        answer_log(events).select("question_id").distinct()
-        .select(
-            q,
-            (q % 2).alias("section_id"),
-            F.concat(F.lit("sec_"), (q % 2).cast("string")).alias("section_name"),
-            (q % 3 + 1).cast("int").alias("difficulty_level"),
-            F.when(q < 6, F.lit("math")).otherwise(F.lit("lang")).alias("subject_name"),
-            vol.alias("book_volume_name"),
-        )
+    return answer_log(events).select("question_id").distinct().selectExpr(
+        "question_id",
+        "question_id % 2 AS section_id",
+        "concat('sec_', CAST(question_id % 2 AS STRING)) AS section_name",
+        "CAST(question_id % 3 + 1 AS INT) AS difficulty_level",
+        "CASE WHEN question_id < 6 THEN 'math' ELSE 'lang' END AS subject_name",
+        f"element_at({_VOL_ARRAY}, CAST(question_id % 7 + 1 AS INT)) AS book_volume_name",
     )
 
 
 def user_info(events: DataFrame) -> DataFrame:
     """User dimension: grade and city.  The grade uses ``user_id // 4`` so that the
     grade-5 cohort is not tied to the arm (which follows ``user_id % 4``)."""
-    uid = F.col("user_id")
-    return (
-        events.select("user_id").distinct()
-        .select(uid, (F.lit(4) + F.floor(uid / 4) % 2).cast("int").alias("user_grade"),
-                F.concat(F.lit("city_"), (uid % 15).cast("string")).alias("school_city"))
-    )
+    return events.select("user_id").distinct().selectExpr(
+        "user_id", "CAST(4 + (user_id DIV 4) % 2 AS INT) AS user_grade",
+        "concat('city_', CAST(user_id % 15 AS STRING)) AS school_city")
 
 
 def gc_course(events: DataFrame) -> DataFrame:
     """Character -> course dimension."""
-    return (
-        answer_log(events).select("user_id", "gamecharacter_id").distinct()
-        .select("gamecharacter_id",
-                ((F.col("user_id") + F.col("gamecharacter_id")) % 20).alias("course_id"))
-    )
+    return answer_log(events).select("user_id", "gamecharacter_id").distinct().selectExpr(
+        "gamecharacter_id", "(user_id + gamecharacter_id) % 20 AS course_id")
