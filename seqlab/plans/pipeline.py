@@ -72,7 +72,11 @@ def _memo(spark: SparkSession, key: tuple, build, p: Params | None = None) -> Da
     Query builders call the pipeline many times; rebuilding the same plan costs
     thousands of py4j calls.  Persisted frames re-register their cache entry on
     every lookup (a no-op when present), so a cleared cache is rebuilt lazily."""
-    k = (spark.sparkContext.applicationId, id(spark), key)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
+        app = None
+    k = (app, id(spark), key)
     df = _MEMO.get(k)
     if df is None:
         df = build()
