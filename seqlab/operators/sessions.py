@@ -43,6 +43,7 @@ def _bucket(ts: str, bucket_seconds: int) -> Column:
 
 SUB_BITS = 20  # a bucket splits into at most 2**20 sub-buckets
 MAX_BUCKET_ROWS = None  # opt-in: count-based splitting of bursting buckets
+HOT_BROADCAST_ROWS = 1_000_000
 
 
 def split_buckets(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int = BUCKET,
@@ -51,8 +52,9 @@ def split_buckets(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int =
     more than ``max_bucket_rows`` rows is cut into f = ceil(rows / max) equal
     time slices, so one key bursting inside one bucket is still spread over
     tasks.  The hot list comes from one narrow partial aggregate and has at most
-    rows / max_bucket_rows entries, so AQE broadcasts it and the rows are not
-    shuffled for it."""
+    rows / max_bucket_rows entries; a bounded count proves it small before it is
+    broadcast (then the rows are not shuffled for it), otherwise it is joined
+    normally."""
     coarse = _bucket(ts, bucket_seconds)
     x = df.withColumn("_cb", coarse)
     if not max_bucket_rows:
@@ -61,6 +63,8 @@ def split_buckets(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int =
            .filter(F.col("_cnt") > max_bucket_rows)
            .select(*keys, "_cb", F.least(F.ceil(F.col("_cnt") / F.lit(max_bucket_rows)),
                                          F.lit((1 << SUB_BITS) - 1)).cast("long").alias("_f")))
+    if hot.limit(HOT_BROADCAST_ROWS + 1).count() <= HOT_BROADCAST_ROWS:
+        hot = F.broadcast(hot)
     x = x.join(hot, on=[*keys, "_cb"], how="left")
     width_us = int(bucket_seconds) * 1_000_000
     offset = epoch_micros(ts) - F.col("_cb") * F.lit(width_us)
