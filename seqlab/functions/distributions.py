@@ -15,6 +15,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+# Code from this module runs in Python workers; ship it by value so executors do
+# not need the package on their path.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 
 def _betacf(a: float, b: float, x: float, iters: int = 300, eps: float = 1e-15) -> float:
     tiny = 1e-300

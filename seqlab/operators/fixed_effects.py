@@ -25,6 +25,14 @@ from pyspark.sql import functions as F
 
 from seqlab.session import checkpoint_dir
 
+# Code from this module runs in Python workers; ship it by value so executors do
+# not need the package on their path.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 
 def twoway_demean(df: DataFrame, cols: list[str], fe1: str, fe2: str, tol: float = 1e-8,
                   max_rounds: int = 200, checkpoint_every: int = 1):
