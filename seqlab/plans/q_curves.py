@@ -214,3 +214,13 @@ def head_tail(spark, root):
     """Q-23: head (item 2) vs tail (item 12) correctness at difficulty 1, per first section."""
     out = C.head_tail(wlong(spark, root))
     return out.select("section", r6(F.col("head_mean")).alias("head_mean"), r6(F.col("tail_mean")).alias("tail_mean"), "n")
+
+
+@query("ragged_curve_std", with_ctes("""SELECT experiment_mode, pos, round(AVG(is_correct), 6) AS mean,
+  round(CASE WHEN COUNT(is_correct) = 1 THEN 0.0 ELSE stddev_pop(is_correct) END, 6) AS spread,
+  COUNT(is_correct) AS n
+FROM long WHERE session_id = 1 GROUP BY experiment_mode, pos"""))
+def ragged_curve_std(spark, root):
+    """Q-17, older variant: spread is the population std (not divided by sqrt(n))."""
+    out = C.ragged_curve(PL.first_sessions(PL.long_table(spark, root)), spread="std")
+    return out.select("experiment_mode", "pos", r6(F.col("mean")).alias("mean"), r6(F.col("spread")).alias("spread"), "n")

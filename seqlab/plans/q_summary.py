@@ -228,3 +228,17 @@ def section_lookup(spark, root):
     """F-16: point lookup of first-session rows of one section, with projection."""
     r = rawdata_rows(spark, root)
     return r.filter(F.col("section_id") == 1).select("user_id", "session_id", "experiment_mode", "q_len")
+
+
+@query("gap_histogram", with_ctes("""SELECT bin, round(lo + (bin - 1) * (hi - lo) / 10, 3) AS lo,
+  round(lo + bin * (hi - lo) / 10, 3) AS hi, COUNT(*) AS n FROM (
+  SELECT CAST(CASE WHEN r.hi = r.lo THEN 1 ELSE least(floor((x.time_diff - r.lo) / ((r.hi - r.lo) / 10)) + 1, 10) END AS INTEGER) AS bin,
+         r.lo, r.hi
+  FROM (SELECT time_diff FROM in_sessions WHERE time_diff < 120) x,
+       (SELECT MIN(time_diff) AS lo, MAX(time_diff) AS hi FROM in_sessions WHERE time_diff < 120) r)
+GROUP BY bin, lo, hi"""))
+def gap_histogram(spark, root):
+    """F-09 + G-12: ten equal bins of answer gaps shorter than 120 seconds."""
+    s = PL.in_sessions(spark, root).filter(F.col("time_diff") < 120)
+    h = M.histogram(s, "time_diff", 10)
+    return h.select("bin", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), "n")
