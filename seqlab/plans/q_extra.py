@@ -126,3 +126,24 @@ def millis_roundtrip(spark, root):
     a = PL.answer_log(spark, root)
     ms = F.floor(epoch_micros("created_at_utc8") / 1000)
     return a.select("id", ts_text(timestamp_from_millis(ms)).alias("created_ms"))
+
+
+register("mc_keep", """mc_keep AS (
+  SELECT s.user_id, s.gamecharacter_id, s.session_id, s.section_id
+  FROM mc_sub s LEFT JOIN mc_modes m ON s.experiment_mode = m.experiment_mode AND s.pos = m.pos
+  GROUP BY s.user_id, s.gamecharacter_id, s.session_id, s.section_id
+  HAVING SUM(CASE WHEN s.question_id = m.q_mode THEN 1 ELSE 0 END) = 6)""")
+register("mc_long", """mc_long AS (SELECT l.* FROM ld l JOIN mc_keep k ON l.user_id = k.user_id
+  AND l.gamecharacter_id = k.gamecharacter_id AND l.session_id = k.session_id AND l.section_id = k.section_id)""")
+
+
+@query("did_modal_conformant", did_sql("didmc", _obs_sql(1, 10, where="TRUE", src="mc_long"), "1"))
+def did_modal_conformant(spark, root):
+    """Q-20 + I-01: DiD 1-10 on first sections (>= 12 answers) whose questions match
+    their arm's modal question at positions 1, 2, 6, 10, 11, 12; all arms, ref arm 1."""
+    from seqlab.operators.sections import SECTION_KEYS
+    from seqlab.plans.q_sequences import _MC_POS
+    ld = PL.long_data(PL.long_table(spark, root), 12)
+    keep = S.modal_conformity(ld, _MC_POS).filter("all_mode").select(*SECTION_KEYS)
+    rows = ld.join(keep, on=SECTION_KEYS, how="left_semi")
+    return rounded(I.did(I.did_observations(rows, 1, 10), 1))
