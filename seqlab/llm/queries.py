@@ -67,3 +67,50 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.bpe import encode
     return _bpe_digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                public_tokenizers.PATTERN, keep=["doc_id"]))
+
+
+_OP5_SQL = rf"""
+with recursive items as (
+  select item_id, regexp_extract_all({LOWER_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, least(len(w), 10) as m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from items where len(w) > 0)),
+docs as (
+  select row_number() over () as r, doc_id,
+         coalesce(regexp_extract_all({LOWER_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) as w
+  from documents),
+sizes as (select distinct m from windows),
+found as (
+  select r, i, p.m, x.item_id from (
+    select r, m, i, array_to_string(w[i:i + m - 1], ' ') as s
+    from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i from docs, sizes where len(w) >= m)) p
+  join windows x on x.m = p.m and x.s = p.s),
+hits as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + m)) as k from found) group by r),
+named as (select r, list(distinct item_id::varchar order by item_id::varchar) as ids from found group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(ids), 0)::bigint as n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (r) left join named using (r)
+"""
+
+
+@query("op5_benchmark_decontamination", _OP5_SQL)
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.decontam import contaminated_words
+    found = contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def learned(modulus: int, held_out: int):
+    """Whether a document's label may be learned from: crc32 of its id decides."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != held_out
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.langid import classify, train
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, learned(3, 1))
+    return (classify(docs, model, keep=["doc_id"])
+            .select("doc_id", (~learned(3, 1)).alias("held_out"), "lang_pred", "score", "rejected"))
