@@ -114,3 +114,67 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, learned(3, 1))
     return (classify(docs, model, keep=["doc_id"])
             .select("doc_id", (~learned(3, 1)).alias("held_out"), "lang_pred", "score", "rejected"))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.quality import score, train
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(learned(4, 2) & F.col("quality").isNotNull()).select(
+        "doc_id", F.col("quality").alias("label"))
+    model = train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return (score(docs, model, keep=["doc_id"])
+            .select("doc_id", (~learned(4, 2)).alias("held_out"), "score",
+                    F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")))
+
+
+def _spans_sql(kind: int, pattern: str, ok: str, value: int = 0) -> str:
+    """DuckDB: (r, start, kind, end) of the matches that satisfy ``ok`` over m (match) and v (value)."""
+    p = pattern.replace("'", "''")
+    return f"""
+  select r, s as start, {kind} as kind, s + len(m) as "end" from (
+    select r, m, v, sum(len(gap)) over (partition by r order by i) + coalesce(sum(len(m)) over (
+      partition by r order by i rows between unbounded preceding and 1 preceding), 0) as s
+    from (select r, unnest(gaps) as gap, unnest(ms) as m, unnest(vs) as v, unnest(range(len(gaps))) as i from (
+      select r, regexp_split_to_array(t, '{p}') as gaps, regexp_extract_all(t, '{p}', 0) as ms,
+             regexp_extract_all(t, '{p}', {value}) as vs from docs)))
+  where m is not null and ({ok})"""
+
+
+def _op10_sql(scope: int = 200) -> str:
+    from seqlab.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, SECRET, SECRET_FORMS, USER
+    kinds = [(0, ASSIGN, "len(v) >= 6", 2), (1, ACCESS, "len(m) >= 20", 0), (2, HEX, "len(m) >= 24", 0), (3, USER, "true", 0),
+             (4, SECRET, " and ".join(f"regexp_matches(m, '{f}')" for f in SECRET_FORMS), 0), (5, ENDPOINT, "true", 0)]
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    spelled = f"""[{names}][kind + 1] || ':' || start || ':' || "end\""""
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+parts as materialized ({" union all ".join(_spans_sql(*k) for k in kinds)}),
+roles as (select *, case when kind in (1, 3) then 'id' when kind in (0, 2, 4) then 'secret' else 'endpoint' end as role from parts),
+linked as (
+  select a.r, a.start, a.kind, a."end" from roles a join roles b on a.r = b.r and abs(a.start - b.start) <= {scope}
+    and a.role <> b.role and b.role <> 'endpoint' where a.kind >= 3
+  group by a.r, a.start, a.kind, a."end", a.role having count(distinct b.role) >= if(a.role = 'endpoint', 2, 1)),
+shown as (select * from parts where kind < 3 union all select * from linked),
+rows_ as (
+  select r, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as b, count(*) filter (kind = 2) as c,
+         string_agg({spelled}, ',' order by start, kind) filter (kind < 3) as base,
+         string_agg({spelled}, ',' order by start, kind) as spans
+  from shown group by r)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join rows_ using (r)
+"""
+
+
+@query("op10_secret_scan", _op10_sql())
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.secrets import find_secrets, spelled
+    found = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        spelled(F.col("spans")).alias("spans"))
