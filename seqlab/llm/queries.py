@@ -178,3 +178,31 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                         F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         spelled(F.col("spans")).alias("spans"))
+
+
+def _op9_sql(containment: float = 0.8) -> str:
+    from seqlab.llm.licenses import NOTICES, SHINGLE, _shingles, _words, window_plan
+    grams = ", ".join(f"({i}, '{name}', '{' '.join(s)}', {len(_shingles(_words(notice)))}, {window_plan(notice)[0]}, {window_plan(notice)[1]})"
+                      for i, (name, notice) in enumerate(NOTICES) for s in sorted(_shingles(_words(notice))))
+    return f"""
+with t(i, license, s, n, size, step) as (values {grams}),
+docs as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as w from documents),
+d as (select r, p, array_to_string(w[p + 1:p + {SHINGLE}], ' ') as s
+      from (select r, w, unnest(range(0, len(w) - {SHINGLE - 1})) as p from docs where len(w) >= {SHINGLE})),
+m as (select r, p, i, license, n, size, step, s from d join t using (s)),
+win as (select r, i, license, n, s, unnest(range((greatest(ceil((p - size + {SHINGLE}) / step), 0) * step)::bigint, p + 1, step)) as q from m),
+ok as (select r, i, license, q from win group by r, i, license, n, q having count(distinct s) >= {containment} * n),
+best as (select r, count(*) as n_windows, list(distinct license order by license) as found from ok group by r)
+select doc_id, coalesce(len(found), 0)::int as n_licenses, coalesce(array_to_string(found, ','), '') as licenses,
+       coalesce(n_windows, 0) as n_windows
+from docs left join best using (r)
+"""
+
+
+@query("op9_license_scan", _op9_sql())
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.licenses import find_licenses
+    found = find_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return found.select("doc_id", F.size(names).alias("n_licenses"), F.array_join(names, ",").alias("licenses"),
+                        F.size("matches").cast("long").alias("n_windows"))
