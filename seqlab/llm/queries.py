@@ -206,3 +206,41 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
     return found.select("doc_id", F.size(names).alias("n_licenses"), F.array_join(names, ",").alias("licenses"),
                         F.size("matches").cast("long").alias("n_windows"))
+
+
+_OP3_SQL = r"""
+with turns as (select distinct conv_id, turn, role, coalesce(text, '') as text, floor(turn / 64)::bigint as chunk
+               from conversations where conv_id is not null),
+people as (select distinct conv_id, role as perspective from turns where role is not null and role <> 'system'),
+seen as (
+  select conv_id, perspective, chunk, turn, role, text, coalesce(role = perspective, false) as said,
+         '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system'
+           else 'user name=' || replace(coalesce(role, 'unknown'), '<|', '< |') end || chr(10) as head,
+         replace(text, '<|', '< |') || '<|im_end|>' as body
+  from turns join people using (conv_id)),
+placed as (
+  select *, sum(length(head) + length(body) + 1) over w - length(body) - 1 as s from seen
+  window w as (partition by conv_id, perspective, chunk order by turn nulls last, role, text rows unbounded preceding))
+select conv_id, perspective, chunk, count(*) as n_turns,
+       string_agg(head || body || chr(10), '' order by turn nulls last, role, text) as rendered,
+       coalesce(string_agg(s || ':' || (s + length(body)), ',' order by s) filter (said), '') as mask
+from placed group by conv_id, perspective, chunk
+"""
+
+
+@query("op3_chat_perspectives", _OP3_SQL)
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.chat import perspectives
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return perspectives(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "perspective", "chunk", "n_turns", "rendered", mask.alias("mask"))
+
+
+#: Shards of the registered sharding query.
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+
+
+@query("op2_sharding")
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.sharding import place
+    return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS, keep=["doc_id"])
