@@ -219,7 +219,11 @@ def verified_forest(ids: list[bytes], sets: list[np.ndarray], side: np.ndarray,
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``documents`` (see the module's text)."""
+    """doc_id, n_shingles, component_id, first, sig of every row of ``documents`` (see the module's text).
+
+    ``sig`` is the set's digest (null without words); ``first`` marks the rows
+    of the class that stands for its component.
+    """
     docs = documents.select("doc_id", "text")
     spark = docs.sparkSession
     weights = shingle_weights(docs, k)
@@ -276,9 +280,49 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     edges = blocks.groupBy("cluster", "i", "j").applyInArrow(verify, "a binary, b binary")
     linked = components(edges, "a", "b", "links").withColumnRenamed("vertex", "sig")
     named = member.select("sig", "doc_id").join(linked, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = named.join(lowest, "root").select("sig", "component_id")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
+    component = named.join(first, "root").select("sig", F.col("first.doc_id").alias("component_id"),
+                                                 F.col("first.sig").alias("first_sig"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sig")
     alone = "sig is null or doc_id is null"
-    return (out.where(f"not ({alone})").join(component, "sig").select("doc_id", "n_shingles", "component_id")
-            .unionByName(out.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+    single = out.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"), "sig")
+    return (out.where(f"not ({alone})").join(component, "sig").select(
+        "doc_id", "n_shingles", "component_id",
+        ((F.col("doc_id") == F.col("component_id")) & (F.col("sig") == F.col("first_sig"))).alias("first"), "sig").unionByName(single))
+
+
+def one_of_each_group(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of every group of linked documents: the one with the smallest doc_id.
+
+    All columns stay.  Documents without words and rows without doc_id stay;
+    equal rows are one document.  Only the ids of rows that go are gathered:
+    they are broadcast up to ``BROADCAST_ROWS`` and joined by a shuffle beyond.
+    """
+    found = written(jaccard_components(documents, k, percent), "components")
+    again = written(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n"))
+                    .where("n > 1").select("doc_id"), "again")
+    gone = written(found.where("not first").select("doc_id").join(again, "doc_id", "left_anti"), "gone")
+
+    def side(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+    kept = documents.join(side(gone), "doc_id", "left_anti")
+    if again.isEmpty():
+        return kept
+    # ids that several rows bear: those rows are told apart by their sets
+    ids = side(again)
+
+    def digests(batches):
+        for batch in batches:
+            for rows, raw, offsets, _ in _slices(batch, "text"):
+                value, _, first = shingle_sets(raw, offsets, k)
+                sig = [_digest(value[first[d]:first[d + 1]]) if first[d] < first[d + 1] else None for d in range(rows.num_rows)]
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(sig, pa.binary())], ["row", "sig"])
+
+    several = documents.join(ids, "doc_id", "left_semi").select(F.struct(*documents.columns).alias("row"), "text")
+    row_type = several.schema["row"].dataType.simpleString()
+    several = several.mapInArrow(digests, f"row {row_type}, sig binary").withColumn("doc_id", F.col("row.doc_id"))
+    firsts = found.where("first and sig is not null").select("doc_id", "sig").distinct()
+    chosen = (several.where("sig is not null").join(firsts, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).select("row.*")
+              .unionByName(several.where("sig is null").select("row.*")))
+    return kept.join(ids, "doc_id", "left_anti").select(*documents.columns).unionByName(chosen)

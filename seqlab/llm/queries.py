@@ -51,10 +51,11 @@ group by d.doc_id, s.n
 @query("op1_ngram_jaccard_join", _OP1_SQL)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.jaccard import jaccard_components
-    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    found = jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
-def _bpe_digests(encoded: DataFrame) -> DataFrame:
+def bpe_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
@@ -65,7 +66,7 @@ def _bpe_digests(encoded: DataFrame) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from seqlab.llm.bpe import encode
-    return _bpe_digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+    return bpe_digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                public_tokenizers.PATTERN, keep=["doc_id"]))
 
 
@@ -244,3 +245,26 @@ SHARDS = [f"shard-{i:03d}" for i in range(128)]
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.sharding import place
     return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS, keep=["doc_id"])
+
+
+_OP6_SQL = """
+with recursive ok as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from ok a join ok b
+  on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y),
+n as (select x, count(*) as n_links from links group by x),
+c as (select x, min(y) as y from reach group by x)
+select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(c.y, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(c.y, vec_id)) as kept
+from embeddings left join n on n.x = vec_id left join c on c.x = vec_id
+"""
+
+
+@query("op6_embedding_near_dedup", _OP6_SQL)
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.vecdedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
