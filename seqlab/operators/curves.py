@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from seqlab.operators.sections import SECTION_KEYS, SESSION_KEYS, number_within, session_arm
 
 
+#: Difficulty at the questions that every arm shares (F-08).
+DIFFICULTY_PATTERN = {1: 1, 2: 2, 10: 1, 11: 2, 12: 2}
+
+
 def whole_session_long(in_sessions: DataFrame, ts: str = "created_at", tiebreak: str = "id") -> DataFrame:
     """Long table of whole (unsplit) sessions: ``spos``, ``n_questions`` and the arm."""
     long = number_within(in_sessions, SESSION_KEYS, ts=ts, tiebreak=tiebreak, pos="spos", total="n_questions")
@@ -158,7 +162,8 @@ def session_totals(wlong: DataFrame, n: int = 12, include_lead_gap: bool = True)
 
 def head_tail(wlong: DataFrame, head: int = 2, tail: int = 12, level: int = 1, min_n: int = 10) -> DataFrame:
     """Q-23: correctness at 0-based items ``head`` and ``tail`` where both have
-    difficulty ``level``, per first section: mean head, mean tail, n (n > min_n)."""
+    difficulty ``level``, per first section: mean head, mean tail, n = sessions with
+    a non-null head answer (n > min_n)."""
     h, t = head + 1, tail + 1
     s = wlong.filter(F.col("n_questions") > tail)
     per = s.groupBy(*SESSION_KEYS).agg(
@@ -169,4 +174,4 @@ def head_tail(wlong: DataFrame, head: int = 2, tail: int = 12, level: int = 1, m
         F.max(F.when(F.col("spos") == 1, F.col("section_id"))).alias("section"))
     per = per.filter((F.col("head_diff") == level) & (F.col("tail_diff") == level))
     return per.groupBy("section").agg(F.avg("head_corr").alias("head_mean"), F.avg("tail_corr").alias("tail_mean"),
-                                      F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_n)
+                                      F.count("head_corr").alias("n")).filter(F.col("n") > min_n)

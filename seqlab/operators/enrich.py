@@ -28,8 +28,6 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left", broad
     to null keys like pandas merge (D-09); default is SQL semantics."""
     if broadcast == "checked":
         dim = checked_broadcast(dim, max_rows)
-    elif broadcast == "force":
-        dim = F.broadcast(dim)
     keys = [on] if isinstance(on, str) else list(on)
     if not null_safe:
         return fact.join(dim, on=keys, how=how)

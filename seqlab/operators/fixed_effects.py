@@ -13,27 +13,17 @@ default clusters by the first effect instead; stated, not reproduced).
 
 I-09 ``is_correct ~ gap | difficulty + section + user`` (logit): levels whose
 outcomes are all equal are dropped (repeated until stable, as fixest does);
-the levels are numbered on the executors (distinct + zipWithIndex, no label
-list on the driver) and enter as one-hot columns of a Spark ML ``LogisticRegression``
+the levels are numbered on the executors (no label list on the driver) and enter as one-hot columns of a Spark ML ``LogisticRegression``
 without regularisation; the gap is standardised for conditioning and its
 coefficient reported on the original scale.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlab.session import checkpoint_dir
 
-# Code from this module runs in Python workers; ship it by value so executors do
-# not need the package on their path.
-import sys as _sys  # noqa: E402
-
-from pyspark import cloudpickle as _cloudpickle  # noqa: E402
-
-_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-
-
 def twoway_demean(df: DataFrame, cols: list[str], fe1: str, fe2: str, tol: float = 1e-8,
                   max_rounds: int = 200, checkpoint_every: int = 1):
     """Return (demeaned frame, rounds, converged)."""
@@ -54,6 +44,8 @@ def twoway_demean(df: DataFrame, cols: list[str], fe1: str, fe2: str, tol: float
         if worst is None or worst < tol:
             converged = True
             break
+    if not converged:
+        raise RuntimeError(f"the two-way projection has not converged to {tol} in {max_rounds} rounds")
     return cur, rounds, converged
 
 
@@ -82,32 +74,39 @@ def twoway_fe(df: DataFrame, y: str, x1: str, x2: str, fe1: str, fe2: str, **kw)
                        F.lit(rounds).alias("rounds"), F.lit(converged).alias("converged"))
 
 
-def drop_separated(df: DataFrame, y: str, fes: list[str], max_iter: int = 20):
-    """Remove levels of any effect whose outcomes are all equal, until none is left.
+def drop_separated(df: DataFrame, y: str, fes: list[str]):
+    """Remove levels of any effect whose outcomes are all equal, until none is left
+    (every round but the last removes rows, so the loop ends).
     Returns (frame, number of removed rows)."""
-    total = df.count()
-    cur = df
-    for _ in range(max_iter):
-        before = cur.count()
+    checkpoint_dir(df.sparkSession)
+    cur = df.checkpoint(eager=True)
+    total = left = cur.count()
+    while True:
+        before = left
         for fe in fes:
             ok = cur.groupBy(fe).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi")).filter(
                 F.col("_lo") != F.col("_hi")).select(fe)
             cur = cur.join(ok, on=fe, how="left_semi")
         cur = cur.checkpoint(eager=True)
-        if cur.count() == before:
-            break
-    return cur, total - cur.count()
+        left = cur.count()
+        if left == before:
+            return cur, total - left
 
 
 def level_index(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Consecutive 0-based ids for the distinct values of ``col``, assigned on the
-    executors (distinct + zipWithIndex); nothing is collected to the driver."""
-    levels = df.select(col).distinct().orderBy(col)
-    rdd = levels.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return df.sparkSession.createDataFrame(rdd, f"{col} {dict(levels.dtypes)[col]}, {out} long")
-
-
-def fe_logit(df: DataFrame, y: str, x: str, fes: list[str], max_iter: int = 100) -> DataFrame:
+    """Consecutive 0-based ids for the distinct values of ``col``, with DataFrame operators:
+    ids within hash buckets of the values, after the number of values in earlier buckets."""
+    size = max(1, int(df.select(F.count_distinct(col)).first()[0] ** 0.5))
+    levels = df.select(col).distinct().withColumn("_b", F.pmod(F.xxhash64(col), F.lit(size)))
+    within = Window.partitionBy("_b").orderBy(col)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # about the root of the number of levels
+    offset = levels.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return levels.withColumn("_r", F.row_number().over(within) - 1).join(offset, "_b").select(
+        col, (F.col("_o") + F.col("_r")).alias(out))
+
+
+def fe_logit(df: DataFrame, y: str, x: str, fes: list[str], max_iter: int = 1000) -> DataFrame:
     """I-09: logit of y on x with fixed effects as one-hot columns (Spark ML)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -127,6 +126,8 @@ def fe_logit(df: DataFrame, y: str, x: str, fes: list[str], max_iter: int = 100)
                             standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-10)
     model = Pipeline(stages=[enc, asm, lr]).fit(data)
     lrm = model.stages[-1]
+    if lrm.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the logit has not converged in {max_iter} iterations")
     coef = float(lrm.coefficients[0]) / sd
     n_obs = data.count()
     spark = df.sparkSession

@@ -129,9 +129,14 @@ def _within_sums(df: DataFrame, group: str, y: str, x1: str, x2: str) -> DataFra
 
 
 def _pooled(c: DataFrame) -> DataFrame:
-    """Add pooled within sums, the 2x2 inverse, slopes and RSS (window over groups)."""
+    """Add pooled within sums, the 2x2 inverse, slopes and RSS (window over the few arms)."""
     c = c.select("*", *[F.sum(x).over(_all()).alias(f"P{x[1:]}") for x in ("s11", "s22", "s12", "s1y", "s2y", "syy")],
                  F.sum("n").over(_all()).alias("NN"), F.count(F.lit(1)).over(_all()).alias("GG"))
+    return _solved(c)
+
+
+def _solved(c: DataFrame) -> DataFrame:
+    """Add the 2x2 inverse, slopes and RSS to rows that hold the pooled sums."""
     det = F.col("P11") * F.col("P22") - F.col("P12") * F.col("P12")
     c = c.withColumn("det", det)
     c = c.withColumn("i11", F.try_divide(F.col("P22"), det)).withColumn(
@@ -172,7 +177,9 @@ def adjusted_contrast(rows: DataFrame, baseline, y: str, x1: str, x2: str, arm:
 def within_two_regressors(df: DataFrame, group: str, y: str, x1: str, x2: str, extra_absorbed: int = 0) -> DataFrame:
     """I-07: slopes of y on (x1, x2) with ``group`` fixed effects (exact one-way
     demeaning through group sums).  df = N - groups - 2 - extra_absorbed."""
-    c = _pooled(_within_sums(df, group, y, x1, x2)).limit(1)
+    g = _within_sums(df, group, y, x1, x2)
+    c = _solved(g.agg(*[F.sum(x).alias(f"P{x[1:]}") for x in ("s11", "s22", "s12", "s1y", "s2y", "syy")],
+                      F.sum("n").alias("NN"), F.count(F.lit(1)).alias("GG")))
     dfree = F.col("NN") - F.col("GG") - 2 - extra_absorbed
     rows = c.select(F.explode(F.array(
         F.struct(F.lit(x1).alias("term"), F.col("b1").alias("coef"), F.col("i11").alias("vf")),

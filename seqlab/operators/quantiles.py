@@ -4,14 +4,17 @@
 buffer; with groups like "arm" that is a quarter of the data.  Here:
 
 1. equal values collapse to (group, value, count) with a partial aggregate;
-2. the distinct values are range-partitioned by (group, value), so a large
-   group is spread over many balanced partitions (bounds come from sampling);
-3. inside each (group, range partition) a running sum gives local ranks, and
-   a one-row-per-(group, partition) table gives the offsets;
-4. only the values covering the interpolation ranks are kept and combined.
-
-The result equals ``percentile`` / ``quantile_cont`` (linear interpolation
-between the order statistics at floor and ceil of (n - 1) q).
+2. a histogram of ``BINS`` equal-width bins over the group's exact range gives,
+   by running sums over at most ``BINS`` rows, the bins that hold the
+   interpolation ranks; only their values go on;
+3. a second histogram narrows each of those bins in the same way;
+4. running sums inside a narrow bin give exact ranks.
+
+Bins are values computed from exact minima and maxima, so every branch of the
+plan agrees on them however Spark lays out or recomputes its partitions.  The
+result equals ``percentile`` / ``quantile_cont`` (linear interpolation between
+the order statistics at floor and ceil of (n - 1) q).  Null group keys form
+groups like any other.
 """
 from __future__ import annotations
 
@@ -20,39 +23,60 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BINS = 2048
+
+
+def _any(conditions):
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _narrow(x: DataFrame, keys: list[str], out: str, ranks) -> DataFrame:
+    """Keep the rows of ``x`` (keys, _v, _c, _off, _n) whose bin holds a rank; ``out`` is the bin."""
+    span = x.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    bin_no = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+    x = x.join(span, keys).withColumn(out, bin_no.cast("int")).drop("_lo", "_hi")
+    before = Window.partitionBy(*keys).orderBy(out).rowsBetween(Window.unboundedPreceding, -1)
+    bins = x.groupBy(*keys, out).agg(F.sum("_c").alias("_k"), F.first("_off").alias("_o"), F.first("_n").alias("_m"))
+    bins = bins.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    held = _any([(r(F.col("_m")) > F.col("_o")) & (r(F.col("_m")) <= F.col("_o") + F.col("_k")) for r in ranks])
+    bins = bins.filter(held).select(*keys, out, F.col("_o").alias("_off"))
+    return x.drop("_off").join(bins, [*keys, out])
+
 
 def exact_quantiles(df: DataFrame, value: str, by: list[str], qs=(0.5,), names: list[str] | None = None,
-                    partitions: int | None = None, count_name: str | None = None) -> DataFrame:
+                    count_name: str | None = None) -> DataFrame:
     """One row per group of ``by`` (groups with no non-null value are absent);
     ``count_name`` also returns the number of non-null values."""
     names = names or [f"q{int(round(q * 100))}" for q in qs]
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    x = x.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    x = x.repartitionByRange(parts, *[F.col(b) for b in by], F.col("_v")).withColumn("_p", F.spark_partition_id())
-    run = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_lc", F.sum("_c").over(run))
-    pc = x.groupBy(*by, "_p").agg(F.sum("_c").alias("_pc"))
-    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    pc = pc.withColumn("_off", F.coalesce(F.sum("_pc").over(before), F.lit(0))).withColumn(
-        "_n", F.sum("_pc").over(Window.partitionBy(*by)))
-    x = x.join(pc.select(*by, "_p", "_off", "_n"), on=[*by, "_p"], how="inner")
-    x = x.withColumn("_end", F.col("_off") + F.col("_lc")).withColumn("_start", F.col("_end") - F.col("_c") + 1)
+    # a struct compares its null fields as equal, so it is a null-safe join key
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    x = df.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    x = x.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    x = x.join(x.groupBy("_g").agg(F.sum("_c").alias("_n")), "_g").withColumn("_off", F.lit(0).cast("long"))
+
+    def position(q):
+        return lambda n: (n - 1) * float(q) + 1
+
+    ranks = [f for q in qs for f in (lambda n, q=q: F.floor(position(q)(n)), lambda n, q=q: F.ceil(position(q)(n)))]
+    x = _narrow(x, ["_g"], "_b1", ranks)
+    x = _narrow(x, ["_g", "_b1"], "_b2", ranks)
+    run = Window.partitionBy("_g", "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_end", F.col("_off") + F.sum("_c").over(run)).withColumn("_start", F.col("_end") - F.col("_c") + 1)
 
     def covers(r):
         return (F.col("_start") <= r) & (r <= F.col("_end"))
 
-    hs = [(F.col("_n") - 1) * float(q) + 1 for q in qs]
-    x = x.filter(reduce(lambda a, b: a | b, [covers(F.floor(h)) | covers(F.ceil(h)) for h in hs]))
+    hs = [position(q)(F.col("_n")) for q in qs]
+    x = x.filter(_any([covers(F.floor(h)) | covers(F.ceil(h)) for h in hs]))
     aggs = []
     for i, h in enumerate(hs):
         aggs += [F.max(F.when(covers(F.floor(h)), F.col("_v"))).alias(f"_lo{i}"),
                  F.max(F.when(covers(F.ceil(h)), F.col("_v"))).alias(f"_hi{i}"),
                  F.max(h).alias(f"_h{i}")]
     aggs.append(F.max("_n").alias("_count"))
-    g = x.groupBy(*by).agg(*aggs)
+    g = x.groupBy("_g").agg(*aggs)
     out = [F.col(f"_lo{i}") + (F.col(f"_h{i}") - F.floor(f"_h{i}")) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
            for i in range(len(qs))]
     extra = [F.col("_count").cast("long").alias(count_name)] if count_name else []
-    return g.select(*by, *[c.alias(n) for c, n in zip(out, names)], *extra)
+    return g.select(*[F.col("_g")[b].alias(b) for b in by], *[c.alias(n) for c, n in zip(out, names)], *extra)

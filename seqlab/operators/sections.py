@@ -27,7 +27,9 @@ def number_within(df: DataFrame, keys: list[str], ts: str = "created_at", tiebre
     cnt = r.groupBy(*keys, "_pb").agg(F.count(F.lit(1)).alias("_n"))
     cnt = _running_offset(cnt, keys, "_pb", "_n", "_poff")
     cnt = cnt.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)).cast("long"))
-    r = r.join(cnt.select(*keys, "_pb", "_poff", total), on=[*keys, "_pb"], how="inner")
+    # keys may be null (an answer without a section), so they are joined as one struct, whose null fields are equal
+    cnt = cnt.select(F.struct(*keys, "_pb").alias("_k"), "_poff", total)
+    r = r.withColumn("_k", F.struct(*keys, "_pb")).join(cnt, on="_k", how="inner").drop("_k")
     return r.withColumn(pos, (F.col("_poff") + F.col("_lpos")).cast("int")).drop("_pb", "_lpos", "_poff")
 
 

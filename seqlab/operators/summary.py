@@ -33,7 +33,8 @@ def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
                             F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"),
                             F.max(value).cast("double").alias("max"))
     q = exact_quantiles(df, value, by, (0.25, 0.5, 0.75), ["p25", "p50", "p75"])
-    j = g.join(q, on=by, how="left")
+    g, q = g.withColumn("_g", F.struct(*by)), q.select(F.struct(*by).alias("_g"), "p25", "p50", "p75")
+    j = g.join(q, on="_g", how="left")  # a struct key: null groups match
     return j.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -55,7 +56,8 @@ def box_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     q = exact_quantiles(df, value, by, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = df.select(*by, value).join(q, on=by, how="inner")
+    q = q.select(F.struct(*by).alias("_g"), "q1", "median", "q3", "_lo", "_hi")
+    j = df.select(*by, value, F.struct(*by).alias("_g")).join(q, on="_g", how="inner")
     inside = (F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi"))
     return j.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).cast("double").alias("whisker_low"),
@@ -70,8 +72,10 @@ def linear_trend(curve: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
 
 
 def letter_share(df: DataFrame, keys: list[str], answer: str = "answer", letter: str = "A") -> DataFrame:
-    """G-15: per group, share of answers whose letter (third character) is ``letter``."""
-    return df.groupBy(*keys).agg(F.avg((answer_letter(answer) == letter).cast("double")).alias("a_share"))
+    """G-15: per group, share of answers whose letter (third character) is ``letter``;
+    an answer without text counts as another letter."""
+    hit = F.coalesce(answer_letter(answer) == letter, F.lit(False))
+    return df.groupBy(*keys).agg(F.avg(hit.cast("double")).alias("a_share"))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -106,5 +110,6 @@ def positional_pattern(wide_or_long: DataFrame, pattern: dict[int, int], keys: l
 
 
 def homogeneity(df: DataFrame, keys: list[str], col: str = "section_id") -> DataFrame:
-    """F-12: session is homogeneous when all its sections are equal."""
-    return df.groupBy(*keys).agg((F.count_distinct(col) <= 1).alias("is_homo"))
+    """F-12: session is homogeneous when every section equals the first (a null equals a null)."""
+    n, filled = F.count(F.lit(1)), F.count(F.col(col))
+    return df.groupBy(*keys).agg(((filled == 0) | ((n == filled) & (F.min(col) == F.max(col)))).alias("is_homo"))

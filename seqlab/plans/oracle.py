@@ -61,16 +61,32 @@ def session_ctes(src: str, prefix: str, gap_minutes: float, flavour: str = "per_
 
 BASE: dict[str, str] = {}
 
-BASE["answer_log"] = f"""answer_log AS (
-  SELECT event_id AS id, user_id,
-         CASE WHEN user_id % 3 = 0 THEN user_id * 10 + event_id % 2 ELSE user_id * 10 END AS gamecharacter_id,
-         CAST({_K} % 8 AS BIGINT) AS question_id,
-         CAST({_K} % 8 % 2 AS BIGINT) AS section_id,
-         CAST(CASE WHEN value >= 30 THEN 1 ELSE 0 END AS INTEGER) AS is_correct,
-         concat('["', chr(CAST(65 + event_id % 4 AS INTEGER)), '"]') AS answer,
+_BLOCK = "(24 + user_id % 3 + user_id % 2)"
+
+BASE["answer_rank"] = f"""answer_rank AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, gamecharacter_id ORDER BY ts, event_id) - 1 AS r FROM (
+    SELECT event_id, user_id, value, ts, {_K} AS k,
+           CASE WHEN user_id % 3 = 0 THEN user_id * 10 + event_id % 2 ELSE user_id * 10 END AS gamecharacter_id FROM events))"""
+
+BASE["answer_spot"] = f"""answer_spot AS (
+  SELECT *, (CASE WHEN place <= first_len THEN 0 ELSE 1 END + block) % 2 AS section, user_id % 4 AS a,
+         CASE WHEN place <= first_len THEN place ELSE place - first_len END AS spot,
+         MIN(ts) OVER (PARTITION BY user_id, gamecharacter_id, block) AS block_start
+  FROM (SELECT *, 12 + user_id % 3 AS first_len, r // {_BLOCK} AS block, r % {_BLOCK} + 1 AS place FROM answer_rank))"""
+
+BASE["answer_log"] = """answer_log AS (
+  SELECT event_id AS id, user_id, gamecharacter_id,
+         CAST(2 * (CASE WHEN event_id % 53 = 0 OR (user_id % 5 = 3 AND spot >= 1 + user_id % 11) THEN k % 4
+                        WHEN spot IN (1, 10) THEN 0 WHEN spot IN (2, 11, 12) THEN 2
+                        ELSE (s * (a + 1) + a * (s // 2) + s // 3) % 3 END) + section AS BIGINT) AS question_id,
+         CAST(CASE WHEN event_id % 61 = 0 THEN NULL ELSE section END AS BIGINT) AS section_id,
+         CAST(CASE WHEN event_id % 37 = 0 THEN NULL WHEN value >= 30 THEN 1 ELSE 0 END AS INTEGER) AS is_correct,
+         CASE WHEN event_id % 29 = 0 THEN NULL ELSE concat('["', chr(CAST(65 + event_id % 4 AS INTEGER)), '"]') END AS answer,
          CAST(event_id % 2 AS INTEGER) AS is_self_selected,
-         ts AS created_at_utc8
-  FROM events)"""
+         CASE WHEN event_id % 101 = 0 THEN 'no time' ELSE strftime(block_start + to_seconds(
+           (place - 1 - CASE WHEN user_id % 6 = 1 AND place = 3 THEN 1 ELSE 0 END) * 90
+           + CASE WHEN user_id % 6 = 1 THEN 0 ELSE event_id % 60 END), '%Y-%m-%d %H:%M:%S.%f') END AS created_at_utc8
+  FROM (SELECT *, CASE WHEN spot > 12 THEN spot - 10 ELSE spot END AS s FROM answer_spot))"""
 
 BASE["exp_log"] = """exp_log AS (
   SELECT id, user_id, gamecharacter_id, question_id, section_id,
@@ -81,7 +97,7 @@ BASE["exp_log"] = """exp_log AS (
 BASE["question_structure"] = f"""question_structure AS (
   SELECT question_id, question_id % 2 AS section_id,
          'sec_' || CAST(question_id % 2 AS VARCHAR) AS section_name,
-         CAST(question_id % 3 + 1 AS INTEGER) AS difficulty_level,
+         CAST(CASE WHEN question_id <> 5 THEN question_id % 3 + 1 END AS INTEGER) AS difficulty_level,
          CASE WHEN question_id < 6 THEN 'math' ELSE 'lang' END AS subject_name,
          {_VOLUMES}[CAST(question_id % 7 + 1 AS INTEGER)] AS book_volume_name
   FROM (SELECT DISTINCT question_id FROM answer_log))"""
@@ -118,7 +134,7 @@ BASE["cohort"] = f"""cohort AS (
   FROM enriched
   WHERE user_grade = 5 AND subject_name = 'math' AND course_id IN ({_CONTROLLED}))"""
 
-BASE["in_sessions"] = session_ctes("cohort", "in_sessions", 3600)
+BASE["in_sessions"] = session_ctes("cohort", "in_sessions", 30)
 
 BASE["sess_arm"] = mode_cte("sess_arm", "in_sessions", ["user_id", "gamecharacter_id", "session_id"],
                             "experiment_index", "experiment_mode", fill="-1")

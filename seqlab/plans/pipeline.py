@@ -4,18 +4,19 @@ events -> adapter views -> enrich (J-06) -> cohort (F-02) -> volume code (X-05)
 -> sessions (W-01..W-05) -> long table with positions and arm (Q-01, Q-02)
 -> cohorts of the analysis notebook (F-04, F-05, F-06).
 
-Parameters shared by every registered query live in ``Params``: the gap is
-3600 minutes (the naive-session script's value; at 30 minutes the test data
-has almost one answer per session), sequences are 12 long, sessions are
-numbered per character.  ``valid_len`` is the prefix length used for the
-"valid" cohort; 2 keeps that cohort non-empty on the test data (the modal
-control sequences agree with few sessions beyond the second question).
+Parameters shared by every registered query live in ``Params``: the gap is 30
+minutes, sequences are 12 long and valid only if all 12 questions equal the
+control, sessions are numbered per character.
+
+The derived answer log, the sessionized cohort and the long table are written
+once per application and input to the shared folder and read back pruned, so
+plans stay short, a lost executor costs nothing, and queries share the work.
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +31,10 @@ from seqlab.sources.tables import read_table
 
 @dataclass(frozen=True)
 class Params:
-    gap_minutes: float = 3600
+    gap_minutes: float = 30
     flavour: str = "per_character"
     n: int = 12
-    valid_len: int = 2
     baseline_arm: int = 1
-    persist: bool = True
 
 
 P = Params()
@@ -45,86 +44,75 @@ def events(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "events")
 
 
-def answer_log(spark, root):
-    return adapter.answer_log(events(spark, root))
+def answer_log(spark: SparkSession, root: str) -> DataFrame:
+    """The derived answer log, written once: the published pipeline's main input."""
+    return _once(spark, ("answer_log", root), lambda: adapter.answer_log(events(spark, root)))
+
 
+def exp_log(spark: SparkSession, root: str) -> DataFrame:
+    return adapter.exp_log(answer_log(spark, root))
 
-def exp_log(spark, root):
-    return adapter.exp_log(events(spark, root))
+
+def question_structure(spark: SparkSession, root: str) -> DataFrame:
+    return adapter.question_structure(answer_log(spark, root))
 
 
 def enriched(spark: SparkSession, root: str) -> DataFrame:
     ev = events(spark, root)
-    return enrich_answers(adapter.answer_log(ev), adapter.user_info(ev), adapter.exp_log(ev),
-                          adapter.question_structure(ev), adapter.gc_course(ev))
+    return enrich_answers(answer_log(spark, root), adapter.user_info(ev), exp_log(spark, root),
+                          question_structure(spark, root), adapter.gc_course(ev))
 
 
 _MEMO: dict = {}
 
 
-def reset() -> None:
-    """Forget memoized pipeline frames (e.g. after the input files changed)."""
-    _MEMO.clear()
+def reset(inputs: bool = True) -> None:
+    """Forget the written tables, so that they are made anew (e.g. after the input files
+    changed); ``inputs=False`` keeps the derived answer log."""
+    for key in [k for k in _MEMO if inputs or k[1] != "answer_log"]:
+        del _MEMO[key]
 
 
-def _memo(spark: SparkSession, key: tuple, build, p: Params | None = None) -> DataFrame:
-    """Build a shared pipeline frame once per Spark application and input.
-    Query builders call the pipeline many times; rebuilding the same plan costs
-    thousands of py4j calls.  Persisted frames re-register their cache entry on
-    every lookup (a no-op when present), so a cleared cache is rebuilt lazily."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
-        app = None
-    k = (app, id(spark), key)
-    df = _MEMO.get(k)
-    if df is None:
+def _once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Write a shared table once per application and input, under ``spark.checkpoint.dir``, and read it back."""
+    from seqlab.session import checkpoint_dir
+    app = spark.sparkContext.applicationId
+    path = _MEMO.get((app, *key))
+    if path is None:
         df = build()
-        _MEMO[k] = df
-    elif p is not None and p.persist:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+        path = f"{checkpoint_dir(spark).rstrip('/')}/seqlab-{app}/{key[0]}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _MEMO[(app, *key)] = path
+        _SCHEMAS[path] = df.schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def _keep(df: DataFrame, p: Params, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Persist a frame that several branches of a query (and later queries) read.
-    MEMORY_AND_DISK: under memory pressure execution memory evicts cached blocks
-    to local disk, so caching never fails a job; a lost block is recomputed from
-    lineage; identical plans share one cache entry."""
-    return df.persist(level) if p.persist else df
+_SCHEMAS: dict = {}
 
 
 def cohort(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
-    """Enriched answers of the cohort, with ``created_at`` and ``manual_book_vol``.
-    Persisted: the sessionizer reads it in two branches (bucket statistics and the
-    main window) whose pruned columns differ, so without it the enrichment joins
-    would run twice."""
-    def build():
-        df = cohort_filter(enriched(spark, root))
-        return _keep(df.withColumns({"created_at": parse_timestamp(F.col("created_at_utc8")),
-                                     "manual_book_vol": volume_code("book_volume_name")}), p)
-    return _memo(spark, ("cohort", root, p), build, p)
+    """Enriched answers of the cohort, with ``created_at`` and ``manual_book_vol``; written, as the
+    sessionizer reads it in several branches."""
+    return _once(spark, ("cohort", root), lambda: cohort_filter(enriched(spark, root)).withColumns({
+        "created_at": parse_timestamp(F.col("created_at_utc8")), "manual_book_vol": volume_code("book_volume_name")}))
 
 
 def in_sessions(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
-    return _memo(spark, ("in_sessions", root, p), lambda: _keep(
-        assign_sessions(cohort(spark, root, p), gap_seconds=p.gap_minutes * 60, flavour=p.flavour), p), p)
+    return _once(spark, ("in_sessions", root, p), lambda: assign_sessions(
+        cohort(spark, root, p), gap_seconds=p.gap_minutes * 60, flavour=p.flavour))
 
 
 def long_table(spark: SparkSession, root: str, p: Params = P) -> DataFrame:
     """One row per answer: section keys, pos, q_len, experiment_mode and the answer fields."""
-    return _memo(spark, ("long", root, p), lambda: _keep(split_by_section(in_sessions(spark, root, p)), p), p)
+    return _once(spark, ("long", root, p), lambda: split_by_section(in_sessions(spark, root, p)))
 
 
 def materialize_long_table(spark: SparkSession, root: str, p: Params = P, path: str | None = None) -> DataFrame:
-    """Write the long table once, partitioned by arm, to a shared folder (default:
-    under ``spark.checkpoint.dir``) and return a reader over it.  For production
-    runs where many analyses follow: the lineage is cut, a lost executor costs
-    nothing, and later scans prune partitions and columns."""
+    """Write the long table partitioned by arm to a folder of the caller's choice (default:
+    under ``spark.checkpoint.dir``), for analyses in other applications."""
     from seqlab.session import checkpoint_dir
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/seqlab_long_table"
-    split_by_section(in_sessions(spark, root, p)).write.mode("overwrite").partitionBy(
-        "experiment_mode").parquet(path)
+    long_table(spark, root, p).write.mode("overwrite").partitionBy("experiment_mode").parquet(path)
     return spark.read.parquet(path)
 
 

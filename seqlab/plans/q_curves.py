@@ -201,19 +201,22 @@ def session_totals(spark, root):
                       r3(F.col("total_length")).alias("total_length"), r3(F.col("gap_1_n")).alias("gap_1_n"), "over_n")
 
 
-@query("head_tail", with_ctes("""SELECT section, round(AVG(head_corr), 6) AS head_mean,
-  round(AVG(tail_corr), 6) AS tail_mean, COUNT(*) AS n FROM (
+@query("head_tail", with_ctes("""SELECT level, CAST(section AS DOUBLE) AS section, round(AVG(head_corr), 6) AS head_mean,
+  round(AVG(tail_corr), 6) AS tail_mean, COUNT(head_corr) AS n FROM (
   SELECT user_id, gamecharacter_id, session_id,
          MAX(CASE WHEN spos = 3 THEN is_correct END) AS head_corr, MAX(CASE WHEN spos = 13 THEN is_correct END) AS tail_corr,
          MAX(CASE WHEN spos = 3 THEN difficulty_level END) AS head_diff,
          MAX(CASE WHEN spos = 13 THEN difficulty_level END) AS tail_diff,
          MAX(CASE WHEN spos = 1 THEN section_id END) AS section
   FROM wlong WHERE n_questions > 12 GROUP BY user_id, gamecharacter_id, session_id)
-WHERE head_diff = 1 AND tail_diff = 1 GROUP BY section HAVING COUNT(*) > 10"""))
+JOIN range(1, 4) l(level) ON head_diff = level AND tail_diff = level GROUP BY level, section HAVING COUNT(head_corr) > 10"""))
 def head_tail(spark, root):
-    """Q-23: head (item 2) vs tail (item 12) correctness at difficulty 1, per first section."""
-    out = C.head_tail(wlong(spark, root))
-    return out.select("section", r6(F.col("head_mean")).alias("head_mean"), r6(F.col("tail_mean")).alias("tail_mean"), "n")
+    """Q-23: head (item 2) vs tail (item 12) correctness at difficulty 1, 2 and 3, per first section."""
+    w = wlong(spark, root)
+    levels = [C.head_tail(w, level=v).withColumn("level", F.lit(v).cast("long")) for v in (1, 2, 3)]
+    out = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    return out.select("level", F.col("section").cast("double").alias("section"), r6(F.col("head_mean")).alias("head_mean"),
+                      r6(F.col("tail_mean")).alias("tail_mean"), "n")
 
 
 @query("ragged_curve_std", with_ctes("""SELECT experiment_mode, pos, round(AVG(is_correct), 6) AS mean,

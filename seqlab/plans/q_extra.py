@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlab.functions.timecols import epoch_micros, timestamp_from_millis, ts_text
+from seqlab.functions.timecols import epoch_micros, parse_timestamp, timestamp_from_millis, ts_text
 from seqlab.operators import enrich as E
 from seqlab.operators import inference as I
 from seqlab.operators import sequences as S
@@ -14,7 +14,6 @@ from seqlab.plans.oracle import register, with_ctes
 from seqlab.plans.q_inference import _valid_no0, did_sql, rounded, _obs_sql
 from seqlab.plans.q_sessions import _script_sessions
 from seqlab.plans.registry import query
-from seqlab.sources import adapter
 from seqlab.sources.tables import hash_sample
 
 
@@ -105,8 +104,7 @@ def distinct_answers(spark, root):
 FROM answer_log a LEFT JOIN exp_log e ON a.id = e.id"""))
 def enrich_by_id(spark, root):
     """J-03: the older enrichment, experiment arm joined on the answer id."""
-    ev = PL.events(spark, root)
-    j = adapter.answer_log(ev).join(adapter.exp_log(ev).select("id", "experiment_index"), "id", "left")
+    j = PL.answer_log(spark, root).join(PL.exp_log(spark, root).select("id", "experiment_index"), "id", "left")
     return j.select("id", "user_id", F.col("experiment_index").cast("double").alias("experiment_index"))
 
 
@@ -114,17 +112,17 @@ def enrich_by_id(spark, root):
     "SELECT section_name, arg_max(section_id, question_id) AS section_id FROM question_structure GROUP BY section_name"))
 def section_lookup_by_name(spark, root):
     """J-10: section name -> id, the last duplicate (highest question id) wins."""
-    q = adapter.question_structure(PL.events(spark, root))
+    q = PL.question_structure(spark, root)
     return S.section_id_lookup(q, order_col="question_id")
 
 
 @query("millis_roundtrip", with_ctes("""SELECT id,
-  strftime(make_timestamp(CAST(floor(epoch_us(created_at_utc8) / 1000) AS BIGINT) * 1000), '%Y-%m-%d %H:%M:%S.%f') AS created_ms
+  strftime(make_timestamp(CAST(floor(epoch_us(TRY_CAST(created_at_utc8 AS TIMESTAMP)) / 1000) AS BIGINT) * 1000), '%Y-%m-%d %H:%M:%S.%f') AS created_ms
 FROM answer_log"""))
 def millis_roundtrip(spark, root):
     """X-03 / D-13: epoch milliseconds -> timestamp (what a JSON round trip keeps)."""
     a = PL.answer_log(spark, root)
-    ms = F.floor(epoch_micros("created_at_utc8") / 1000)
+    ms = F.floor(epoch_micros(parse_timestamp("created_at_utc8")) / 1000)
     return a.select("id", ts_text(timestamp_from_millis(ms)).alias("created_ms"))
 
 

@@ -310,10 +310,6 @@ def _fin_named(name: str, label: str) -> str:
     return f"SELECT '{label}' AS outcome, * FROM ({_fin(rows, 3)})"
 
 
-from seqlab.plans.registry import ORACLE, QUERIES  # noqa: E402
-
-QUERIES.pop("length_contrast", None)
-ORACLE.pop("length_contrast", None)
 query("length_contrast", with_ctes(_fin_named("lenmin", "minutes") + " UNION ALL " + _fin_named("lenq", "q_number")))(
     _length_contrast)
 
@@ -457,3 +453,80 @@ for _t in (10, 11):
     query(f"adjusted_q{_t}", adjusted_sql(
         f"adj{_t}", f"SELECT * FROM ({_ADJ_SQL.format(t=_t)}) WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL",
         "1", "q_1_corr", "q_2_corr"))(_adjusted_query(_t))
+
+
+# --- I-02: every published scenario with every pair of questions ---------------------------------
+# Cohort: whole sessions whose modal subject is math and whose difficulty at questions
+# 1, 2, 10, 11, 12 follows the pattern; the baseline is every long session outside the experiment.
+
+_PAIRS = [(1, 10), (2, 11), (2, 12)]
+_SCENARIOS = {"arm1_nonfilter": (("1",), "non-filter"), "arms_ref1": (("0", "1", "2", "3"), "1"),
+              "arms_nonfilter": (("0", "2", "3"), "non-filter")}
+
+register("sc_cand", f"""sc_cand AS (
+  SELECT w.*, p.n_hits FROM wlong w JOIN (
+    SELECT user_id, gamecharacter_id, session_id,
+           SUM(CASE WHEN {" OR ".join(f"(spos = {k} AND difficulty_level = {v})" for k, v in C.DIFFICULTY_PATTERN.items())}
+               THEN 1 ELSE 0 END) AS n_hits
+    FROM wlong GROUP BY user_id, gamecharacter_id, session_id) p USING (user_id, gamecharacter_id, session_id)
+  JOIN pc_subj j USING (user_id, gamecharacter_id, session_id)
+  WHERE w.n_questions >= {N} AND j.subject_name_mode = 'math')""")
+register("sc_long", f"""sc_long AS (
+  SELECT user_id, gamecharacter_id, session_id, spos, is_correct,
+         CASE WHEN experiment_mode = -1 THEN 'non-filter' ELSE CAST(experiment_mode AS VARCHAR) END AS lab
+  FROM sc_cand WHERE experiment_mode = -1 OR n_hits = {len(C.DIFFICULTY_PATTERN)})""")
+register("sc_first", """sc_first AS (
+  SELECT user_id, gamecharacter_id, session_id, lab FROM sc_long WHERE spos = 1 AND is_correct = 1)""")
+
+
+def scenario_long(spark, root):
+    """Whole-session rows of the scenario cohorts, labelled by arm or 'non-filter'."""
+    from seqlab.operators.sessions import session_table
+    from seqlab.operators.summary import positional_pattern
+    keys = ["user_id", "gamecharacter_id", "session_id"]
+    w = wlong(spark, root).filter(F.col("n_questions") >= N)
+    math = session_table(PL.in_sessions(spark, root), mode_cols={"subject": "subject_name"}).filter("subject = 'math'")
+    w = w.join(math.select(*keys), keys, "left_semi")
+    kept = positional_pattern(w, C.DIFFICULTY_PATTERN, keys)
+    base = w.filter("experiment_mode = -1").withColumn("lab", F.lit("non-filter"))
+    arms = w.filter("experiment_mode <> -1").join(kept, keys, "left_semi").withColumn(
+        "lab", F.col("experiment_mode").cast("string"))
+    return base.unionByName(arms).select(*keys, F.col("spos").alias("pos"), "is_correct", "lab")
+
+
+def _scenario_obs(long, labels, base, pre, post):
+    rows = long.filter(F.col("lab").isin(*labels, base) & F.col("pos").isin(pre, post) & F.col("is_correct").isNotNull())
+    return rows.select(F.col("lab").alias("experiment_mode"), (F.col("pos") == post).cast("int").alias("time_binary"),
+                       F.col("is_correct").cast("double").alias("y"))
+
+
+def _scenario_query(labels, base, first_correct: bool = False):
+    def fn(spark, root):
+        long = scenario_long(spark, root)
+        if first_correct:
+            keys = ["user_id", "gamecharacter_id", "session_id"]
+            right = long.filter("pos = 1 AND is_correct = 1").select(*keys)
+            long = long.join(right, keys, "left_semi")
+        parts = [I.did(_scenario_obs(long, labels, base, a, b), base).withColumn("pair", F.lit(f"{a}-{b}")) for a, b in _PAIRS]
+        return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    fn.__doc__ = f"I-02: DiD of arms {', '.join(labels)} against {base}, question pairs 1-10, 2-11 and 2-12."
+    return fn
+
+
+def _scenario_sql(name, labels, base, first_correct: bool = False) -> str:
+    chosen = ", ".join(f"'{x}'" for x in {*labels, base})
+    only = (" AND (user_id, gamecharacter_id, session_id) IN (SELECT (user_id, gamecharacter_id, session_id) FROM sc_first)"
+            if first_correct else "")
+    parts = []
+    for a, b in _PAIRS:
+        sql = did_sql(f"sc_{name}_{a}_{b}", f"SELECT lab AS arm, CASE WHEN spos = {b} THEN 1 ELSE 0 END AS t, "
+                      f"CAST(is_correct AS DOUBLE) AS y FROM sc_long WHERE lab IN ({chosen}) AND spos IN ({a}, {b}) "
+                      f"AND is_correct IS NOT NULL{only}", base)
+        parts.append(f"SELECT '{a}-{b}' AS pair, * FROM (" + sql[sql.index("SELECT term, round(coef"):] + ")")
+    return with_ctes(" UNION ALL ".join(parts))
+
+
+for _name, (_labels, _base) in _SCENARIOS.items():
+    query(f"did_scenario_{_name}", _scenario_sql(_name, _labels, _base))(_scenario_query(_labels, _base))
+query("did_scenario_q1_correct", _scenario_sql("q1", ("0", "1", "2", "3"), "non-filter", True))(
+    _scenario_query(("0", "1", "2", "3"), "non-filter", True))

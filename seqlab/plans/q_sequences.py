@@ -12,8 +12,14 @@ from seqlab.plans.oracle import mode_cte, register, with_ctes
 from seqlab.plans.registry import query
 
 N = PL.P.n
-VL = PL.P.valid_len
 KEYS_SQL = "user_id, gamecharacter_id, session_id, section_id"
+# a section may be null, so it leaves a query as a double in both engines
+KEYS_OUT_SQL = "user_id, gamecharacter_id, session_id, CAST(section_id AS DOUBLE) AS section_id"
+
+
+def keys_out():
+    return [*SECTION_KEYS[:-1], F.col(SECTION_KEYS[-1]).cast("double").alias(SECTION_KEYS[-1])]
+
 
 register("ld", "ld AS (SELECT * FROM long WHERE session_id = 1 AND q_len >= 12)")
 register("ctrl", mode_cte("ctrl", "(SELECT * FROM ld WHERE experiment_mode <> -1 AND pos <= 12)",
@@ -30,7 +36,7 @@ register("chk", """chk AS (
   LEFT JOIN ctrl_keys k ON p.section_id = k.section_id AND p.experiment_mode = k.experiment_mode)""")
 register("expd", "expd AS (SELECT * FROM chk WHERE q_len >= 12 AND experiment_mode <> -1)")
 register("valid_rows", f"""valid_rows AS (
-  SELECT * FROM expd WHERE has_control AND (first_mismatch IS NULL OR first_mismatch > {VL}))""")
+  SELECT * FROM expd WHERE has_control AND (first_mismatch IS NULL OR first_mismatch > {N}))""")
 
 
 def ok_sql(k: str) -> str:
@@ -52,8 +58,8 @@ CARRY = ["id", "question_id", "is_correct", "difficulty_level", "created_at"]
 
 
 def valid_rows(chk):
-    """Section rows of the ``valid`` cohort (prefix of ``valid_len`` equals the control)."""
-    return S.seq_valid(experiment_checked(chk), VL).filter("seq_valid")
+    """Section rows of the ``valid`` cohort: all n questions equal the control."""
+    return S.seq_valid(experiment_checked(chk), N).filter("seq_valid")
 
 
 def first_n_long(rows):
@@ -89,7 +95,7 @@ def _arr_sql(col):
             f"lambda x: coalesce(CAST(x AS VARCHAR), 'null')), ',')")
 
 
-@query("section_split", with_ctes(f"""SELECT {KEYS_SQL}, q_len, experiment_mode,
+@query("section_split", with_ctes(f"""SELECT {KEYS_OUT_SQL}, q_len, experiment_mode,
   {_arr_sql('question_id')} AS question_id, {_arr_sql('is_correct')} AS is_correct,
   {_arr_sql('difficulty_level')} AS difficulty_level, {_arr_sql('experiment_index')} AS experiment_index,
   strftime(min(created_at), '%Y-%m-%d %H:%M:%S.%f') AS create_at
@@ -99,22 +105,21 @@ def section_split(spark, root):
     long = PL.long_table(spark, root).withColumn("_t", ts_text("created_at"))
     fields = ["question_id", "is_correct", "difficulty_level", "experiment_index", "_t"]
     out = section_arrays(long, fields)
-    return out.select(*SECTION_KEYS, "q_len", "experiment_mode",
+    return out.select(*keys_out(), "q_len", "experiment_mode",
                       *[array_text(c).alias(c) for c in fields[:-1]], F.get("_t", 0).alias("create_at"))
 
 
-@query("seq_valid", with_ctes(f"""SELECT {KEYS_SQL}, experiment_mode,
-  ({ok_sql(str(N))} AND q_len >= {N}) AS seq_valid, ({ok_sql(str(VL))} AND q_len >= {VL}) AS seq_valid_short
+@query("seq_valid", with_ctes(f"""SELECT {KEYS_OUT_SQL}, experiment_mode,
+  ({ok_sql(str(N))} AND q_len >= {N}) AS seq_valid
 FROM expd"""))
 def seq_valid(spark, root):
-    """Q-06: exact validity of the first 12 questions (and of the short prefix used for ``valid``)."""
+    """Q-06: exact validity of the first 12 questions."""
     e = experiment_checked(frames(spark, root)[3])
     e = S.seq_valid(e, N)
-    e = e.withColumn("seq_valid_short", S._ok_through(F.lit(VL)) & (F.col("q_len") >= VL))
-    return e.select(*SECTION_KEYS, "experiment_mode", "seq_valid", "seq_valid_short")
+    return e.select(*keys_out(), "experiment_mode", "seq_valid")
 
 
-@query("seq_valid_tolerant", with_ctes(f"""SELECT {KEYS_SQL}, experiment_mode, q_len,
+@query("seq_valid_tolerant", with_ctes(f"""SELECT {KEYS_OUT_SQL}, experiment_mode, q_len,
   {", ".join(f"{ok_sql(f'least(q_len, {i})')} AS seq_valid_less{i}inc" for i in range(1, N + 1))}
 FROM chk WHERE experiment_mode <> -1"""))
 def seq_valid_tolerant(spark, root):
@@ -122,7 +127,7 @@ def seq_valid_tolerant(spark, root):
     c = frames(spark, root)[3].filter(F.col("experiment_mode") != -1)
     for i in range(1, N + 1):
         c = S.seq_valid_tolerant(c, i)
-    return c.select(*SECTION_KEYS, "experiment_mode", "q_len", *[f"seq_valid_less{i}inc" for i in range(1, N + 1)])
+    return c.select(*keys_out(), "experiment_mode", "q_len", *[f"seq_valid_less{i}inc" for i in range(1, N + 1)])
 
 
 _PREFIX_SQL = f"""SELECT {{by}} i, round(AVG(CASE WHEN {ok_sql('i')} THEN 1.0 ELSE 0.0 END), 6) AS match_ratio
@@ -191,11 +196,12 @@ def modal_conformity_arm3(spark, root):
 
 
 @query("melt_positions", with_ctes(f"""SELECT l.user_id, l.section_id, l.experiment_mode, l.pos AS position,
-  l.is_correct AS value
+  CAST(l.is_correct AS DOUBLE) AS value
 FROM long l JOIN valid_rows v ON l.user_id = v.user_id AND l.gamecharacter_id = v.gamecharacter_id
   AND l.session_id = v.session_id AND l.section_id = v.section_id
 WHERE l.pos IN (1, 10)"""))
 def melt_positions(spark, root):
     """Q-24: q_1_corr and q_10_corr of the valid cohort in long form."""
     v = first_n_long(valid_rows(frames(spark, root)[3]))
-    return S.melt_positions(v, [1, 10], "is_correct", ["user_id", "section_id", "experiment_mode"])
+    out = S.melt_positions(v, [1, 10], "is_correct", ["user_id", "section_id", "experiment_mode"])
+    return out.withColumn("value", F.col("value").cast("double"))

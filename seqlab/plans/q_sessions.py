@@ -25,9 +25,9 @@ def _sql_text(col: str) -> str:
 
 def _script_sessions(spark, root, with_arm: bool, gap_minutes: float):
     ev = PL.events(spark, root)
-    log = adapter.exp_log(ev) if with_arm else adapter.answer_log(ev)
-    log = log.withColumn("created_at", parse_timestamp(F.col("created_at_utc8"), lenient=False))
-    q = adapter.question_structure(ev).select("question_id", "difficulty_level", "subject_name", "section_name")
+    log = PL.exp_log(spark, root) if with_arm else PL.answer_log(spark, root)
+    log = log.withColumn("created_at", parse_timestamp(F.col("created_at_utc8")))
+    q = PL.question_structure(spark, root).select("question_id", "difficulty_level", "subject_name", "section_name")
     u = adapter.user_info(ev).select("user_id", "school_city")
     joined = log.join(q, "question_id", "left").join(u, "user_id", "left")
     s = assign_sessions(joined, gap_seconds=gap_minutes * 60)
@@ -40,14 +40,14 @@ def _script_sessions(spark, root, with_arm: bool, gap_minutes: float):
     return t.select(
         "user_id", "gamecharacter_id", "session_id",
         *[array_text(c).alias(c) for c in arrays],
-        "subject_name", "section_id", "section_name", "school_city",
+        "subject_name", F.col("section_id").cast("double").alias("section_id"), "section_name", "school_city",
         ts_text("start_time").alias("session_start"), ts_text("end_time").alias("session_end"),
         "n_questions", r6(F.col("session_length")).alias("time_elapsed"))
 
 
 def _script_sql(src: str, gap_minutes: float, with_arm: bool, prefix: str) -> str:
     register(f"{prefix}_src", f"""{prefix}_src AS (
-  SELECT l.*, CAST(l.created_at_utc8 AS TIMESTAMP) AS created_at, q.difficulty_level, q.subject_name,
+  SELECT l.*, TRY_CAST(l.created_at_utc8 AS TIMESTAMP) AS created_at, q.difficulty_level, q.subject_name,
          q.section_name, u.school_city
   FROM {src} l LEFT JOIN question_structure q ON l.question_id = q.question_id
   LEFT JOIN user_info u ON l.user_id = u.user_id)""")
@@ -57,7 +57,7 @@ def _script_sql(src: str, gap_minutes: float, with_arm: bool, prefix: str) -> st
   {_sql_text('is_correct')} AS is_corrects, {_sql_text('difficulty_level')} AS difficulties,
   {_sql_text('question_id')} AS question_ids, {arm}
   first(subject_name ORDER BY created_at, id) AS subject_name,
-  first(section_id ORDER BY created_at, id) AS section_id,
+  CAST(first(section_id ORDER BY created_at, id) AS DOUBLE) AS section_id,
   first(section_name ORDER BY created_at, id) AS section_name,
   first(school_city ORDER BY created_at, id) AS school_city,
   strftime(min(created_at), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
@@ -90,20 +90,20 @@ def naive_sessions(spark, root):
 _ENRICHED_COLS = ["id", "user_id", "gamecharacter_id", "question_id", "section_id", "is_correct", "answer",
                   "is_self_selected", "user_grade", "school_city", "experiment_index", "section_name",
                   "difficulty_level", "subject_name", "book_volume_name", "course_id"]
-_ENRICHED_SQL = ", ".join(c if c != "experiment_index" else "CAST(experiment_index AS DOUBLE) AS experiment_index"
-                          for c in _ENRICHED_COLS)
+_NULLABLE = ["experiment_index", "section_id", "is_correct", "difficulty_level"]
+_ENRICHED_SQL = ", ".join(c if c not in _NULLABLE else f"CAST({c} AS DOUBLE) AS {c}" for c in _ENRICHED_COLS)
 
 
 def _enriched_cols():
     # nullable integers are emitted as double on both sides (pandas turns them to float)
-    return [F.col(c).cast("double").alias(c) if c == "experiment_index" else F.col(c) for c in _ENRICHED_COLS]
+    return [F.col(c).cast("double").alias(c) if c in _NULLABLE else F.col(c) for c in _ENRICHED_COLS]
 
 
 @query("enrich_answers", with_ctes(
-    f"SELECT {_ENRICHED_SQL}, strftime(created_at_utc8, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM enriched"))
+    f"SELECT {_ENRICHED_SQL}, created_at_utc8 AS created_at FROM enriched"))
 def enrich_answers(spark, root):
     """J-06: answers with user, first experiment arm, question and course attributes."""
-    return PL.enriched(spark, root).select(*_enriched_cols(), ts_text("created_at_utc8").alias("created_at"))
+    return PL.enriched(spark, root).select(*_enriched_cols(), F.col("created_at_utc8").alias("created_at"))
 
 
 @query("cohort_filter", with_ctes(
@@ -115,28 +115,28 @@ def cohort_filter(spark, root):
 
 
 @query("dedup_experiment_log", with_ctes(
-    "SELECT user_id, gamecharacter_id, section_id, experiment_index FROM exp_dedup"))
+    "SELECT user_id, gamecharacter_id, CAST(section_id AS DOUBLE) AS section_id, experiment_index FROM exp_dedup"))
 def dedup_experiment_log(spark, root):
     """G-01: first experiment arm per (user, character, section)."""
-    return E.dedup_experiment_log(PL.exp_log(spark, root))
+    return E.dedup_experiment_log(PL.exp_log(spark, root)).withColumn("section_id", F.col("section_id").cast("double"))
 
 
 @query("semi_join_users", with_ctes(
-    "SELECT id, user_id, question_id, is_correct FROM answer_log "
+    "SELECT id, user_id, question_id, CAST(is_correct AS DOUBLE) AS is_correct FROM answer_log "
     "WHERE user_id IN (SELECT user_id FROM user_info WHERE user_grade = 5)"))
 def semi_join_users(spark, root):
     """J-07 + F-17: answers of grade-5 users (left-semi join)."""
     ev = PL.events(spark, root)
     users = adapter.user_info(ev).filter(F.col("user_grade") == 5)
-    return E.semi_join_users(adapter.answer_log(ev), users).select("id", "user_id", "question_id", "is_correct")
+    return E.semi_join_users(PL.answer_log(spark, root), users).select(
+        "id", "user_id", "question_id", F.col("is_correct").cast("double").alias("is_correct"))
 
 
 @query("experiment_flag", with_ctes(
     "SELECT id, user_id, user_id IN (SELECT user_id FROM exp_log) AS is_experiment FROM answer_log"))
 def experiment_flag(spark, root):
     """J-08: answer flagged when its user appears in the experiment log."""
-    ev = PL.events(spark, root)
-    return E.experiment_flag(adapter.answer_log(ev), adapter.exp_log(ev)).select("id", "user_id", "is_experiment")
+    return E.experiment_flag(PL.answer_log(spark, root), PL.exp_log(spark, root)).select("id", "user_id", "is_experiment")
 
 
 # --- pandas-pipeline sessions: numbering per user (D-01), modes (G-05) ----------------------------

@@ -36,7 +36,7 @@ def arm_counts(spark, root):
 @query("crosstab_homogeneous", with_ctes("""SELECT a.experiment_mode,
   CAST(SUM(CASE WHEN h.is_homo THEN 1 ELSE 0 END) AS BIGINT) AS homo,
   CAST(SUM(CASE WHEN h.is_homo THEN 0 ELSE 1 END) AS BIGINT) AS mixed
-FROM (SELECT user_id, gamecharacter_id, session_id, COUNT(DISTINCT section_id) <= 1 AS is_homo
+FROM (SELECT user_id, gamecharacter_id, session_id, COUNT(section_id) = 0 OR (COUNT(*) = COUNT(section_id) AND MIN(section_id) = MAX(section_id)) AS is_homo
       FROM in_sessions GROUP BY user_id, gamecharacter_id, session_id) h
 JOIN sess_arm a USING (user_id, gamecharacter_id, session_id) GROUP BY a.experiment_mode"""))
 def crosstab_homogeneous(spark, root):
@@ -179,13 +179,13 @@ def zero_gap_count(spark, root):
 
 
 @query("head_sections", with_ctes(
-    "SELECT user_id, gamecharacter_id, session_id, section_id, q_len, experiment_mode FROM long "
+    "SELECT user_id, gamecharacter_id, session_id, CAST(section_id AS DOUBLE) AS section_id, q_len, experiment_mode FROM long "
     "WHERE session_id = 1 AND pos = 1 ORDER BY created_at, user_id, gamecharacter_id, section_id LIMIT 5"))
 def head_sections(spark, root):
     """T-02 / T-03: the five earliest first-session section rows (a head: the limit is the feature)."""
     r = PL.first_sessions(PL.long_table(spark, root)).filter(F.col("pos") == 1)
     h = M.head(r, ["created_at", "user_id", "gamecharacter_id", "section_id"], 5)
-    return h.select(*SECTION_KEYS, "q_len", "experiment_mode")
+    return h.select(*SECTION_KEYS, "q_len", "experiment_mode").withColumn("section_id", F.col("section_id").cast("double"))
 
 
 @query("distinct_arms", with_ctes("SELECT DISTINCT experiment_mode FROM long WHERE session_id = 1 ORDER BY 1"))
@@ -207,7 +207,7 @@ def union_baseline(spark, root):
     return M.frequency(u, ["experiment_mode"])
 
 
-_PATTERN = {1: 1, 2: 2, 10: 1, 11: 2, 12: 2}
+_PATTERN = C.DIFFICULTY_PATTERN
 
 
 @query("positional_pattern", with_ctes(f"""SELECT experiment_mode, COUNT(*) AS n FROM (

@@ -2,12 +2,13 @@
 
 The library never creates a session on its own inside operators; these
 helpers are for tests, the bench and scripts.  ``checkpoint_dir`` reads the
-cluster's ``spark.checkpoint.dir`` and only sets a scratch folder when the
-session has none (local tests).
+cluster's ``spark.checkpoint.dir`` and only sets a scratch folder when a
+local session has none; on a cluster a missing setting is an error.
 """
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,6 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    if not current and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="seqlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)

@@ -1,7 +1,7 @@
 """Driver contract: entry runs, every query has a builder, SQL oracles agree.
 
-The full oracle sweep over every registered query runs with
-``SEQLAB_FULL_ORACLE=1``; by default a representative subset runs at sf0.001.
+Every registered query is compared with its oracle at sf0.001
+(``SEQLAB_ORACLE_SF`` names another folder).
 """
 import os
 
@@ -9,10 +9,9 @@ import pytest
 
 import __spark_entry__ as E
 from seqlab.plans.check import compare, duck
+from seqlab.plans.registry import ORACLE, QUERIES, load_all
 
-SUBSET = ["exp_sessions", "sessions_user_global", "enrich_answers", "section_split", "seq_valid_tolerant",
-          "prefix_ratio_by_arm", "gap_curve", "box_difficulty", "did_1_10", "adjusted_q12"]
-
+load_all()
 
 def test_entry_runs(spark):
     df = E.entry(spark)
@@ -23,14 +22,14 @@ def test_entry_runs(spark):
 def test_oracle_keys_are_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 60
-    assert set(q) - set(o) == {"gap_twoway_fe", "correct_fe_logit", "did_pvalues", "sample_sessions"}
+    assert set(QUERIES) <= set(q) and len(QUERIES) >= 110
+    assert set(QUERIES) - set(ORACLE) == {"gap_twoway_fe", "correct_fe_logit", "did_pvalues", "sample_sessions"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()) if os.environ.get("SEQLAB_FULL_ORACLE") else SUBSET)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, name):
     sf = os.environ.get("SEQLAB_ORACLE_SF", "/root/testdata/sf0.001")
-    r = compare(spark, duck(sf), name, E.queries()[name], E.oracle_sql().get(name), sf)
+    r = compare(spark, duck(sf), name, QUERIES[name], ORACLE.get(name), sf)
     if r.get("oracle", 1) is None:
         assert r["rows"] >= 0
     else:

@@ -123,3 +123,26 @@ def test_fe_logit_drops_separated_levels(spark):
     df = spark.createDataFrame(rows, "y int, g double, d int, s int, u int")
     out = fe_logit(df, "y", "g", ["d", "s", "u"]).first()
     assert out["n_removed"] >= 30 and out["coef"] < 0
+
+
+def test_separated_levels_are_dropped_to_the_fixed_point(spark):
+    """A chain in which every removed level separates the next one: nothing of it may stay."""
+    from seqlab.operators.fixed_effects import drop_separated
+    rows = []
+    for i in range(36):  # user i holds a 0 of section i and a 1 of section i + 1; the first section has only zeros
+        rows += [(f"s{i}", f"u{i}", 0), (f"s{i + 1}", f"u{i}", 1)]
+    rows += [("a", "v", 0), ("a", "v", 1), ("a", "w", 1), ("a", "w", 0)]
+    df = spark.createDataFrame(rows, "section string, user string, y int")
+    left, removed = drop_separated(df, "y", ["section", "user"])
+    assert removed == 72 and {r["section"] for r in left.collect()} == {"a"}
+
+
+def test_unfinished_iterations_are_errors(spark):
+    import pytest
+    from seqlab.operators.fixed_effects import level_index, twoway_fe
+    rows = [(i % 3, (i * i) % 4, float(i % 5), float(i % 2), float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "s int, u int, y double, x1 double, x2 double")
+    with pytest.raises(RuntimeError):
+        twoway_fe(df, "y", "x1", "x2", "s", "u", tol=0.0, max_rounds=2)
+    ids = sorted(r["i"] for r in level_index(df, "y", "i").collect())
+    assert ids == list(range(5))

@@ -2,6 +2,8 @@
 from datetime import datetime, timedelta
 
 import pytest
+import tempfile
+
 from pyspark.sql import functions as F
 
 from seqlab.operators import curves as C
@@ -114,10 +116,52 @@ def test_exact_quantiles_match_percentile(spark):
            [(2, 7.0)] + [(3, None)]
     df = spark.createDataFrame(rows, "g int, v double")
     got = {r["g"]: (r["a"], r["b"], r["c"]) for r in
-           exact_quantiles(df, "v", ["g"], (0.25, 0.5, 0.9), ["a", "b", "c"], partitions=7).collect()}
+           exact_quantiles(df, "v", ["g"], (0.25, 0.5, 0.9), ["a", "b", "c"]).collect()}
     exp = {r["g"]: tuple(r["q"]) for r in df.groupBy("g").agg(
         F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q")).collect() if r["q"] is not None}
     assert set(got) == {0, 1, 2}
     for k in got:
         assert got[k] == pytest.approx(exp[k])
     assert got[1][1] == 2.5
+
+
+def test_exact_quantiles_do_not_depend_on_the_layout(spark):
+    """200,000 values in three groups, one of them null, without reuse of exchanges."""
+    from seqlab.operators.quantiles import exact_quantiles
+    df = spark.range(200_000, numPartitions=7).selectExpr(
+        "CASE id % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' END AS g", "pow(rand(5), 9) * 1e6 AS v").repartition(5)
+    df = df.withColumn("v", F.when(F.col("g") == "y", F.round("v")).otherwise(F.col("v")))
+    path = tempfile.mkdtemp(prefix="seqlab-q-") + "/t"
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r["g"]: (r["a"], r["b"], r["c"]) for r in exact_quantiles(df, "v", ["g"], (0.25, 0.5, 0.75), ["a", "b", "c"]).collect()}
+        all_rows = exact_quantiles(df, "v", [], (0.5,), ["m"], count_name="n").first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = {r["g"]: tuple(r["q"]) for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()}
+    assert set(got) == {"x", "y", None}
+    for g, q in want.items():
+        assert all(abs(a - b) <= 1e-9 * max(1, abs(b)) for a, b in zip(got[g], q, strict=True))
+    assert all_rows["n"] == 200_000 and abs(all_rows["m"] - df.agg(F.percentile("v", F.lit(0.5))).first()[0]) < 1e-6
+
+
+def test_null_groups_stay_in_summaries(spark):
+    from seqlab.operators import summary as M
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 9.0), (1, 5.0), (1, None)], "g int, v double")
+    d = {r["g"]: (r["count"], r["p50"]) for r in M.describe(df, "v", ["g"]).collect()}
+    assert d == {None: (3, 2.0), 1: (1, 5.0)}
+    assert {r["g"]: r["median"] for r in M.box_summary(df, "v", ["g"]).collect()} == {None: 2.0, 1: 5.0}
+    h = spark.createDataFrame([(1, None), (1, 5), (2, None), (2, None), (3, 4), (3, 4), (4, 4), (4, 5)], "k int, section_id int")
+    assert {r["k"]: r["is_homo"] for r in M.homogeneity(h, ["k"]).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_null_sections_are_numbered(spark):
+    from datetime import datetime, timedelta
+    from seqlab.operators.sections import number_within
+    t = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, None if i % 2 else 7, t + timedelta(minutes=i), i) for i in range(10)],
+                               "u int, section_id int, created_at timestamp_ntz, id int")
+    got = {(r["id"]): (r["pos"], r["q_len"]) for r in number_within(df, ["u", "section_id"]).collect()}
+    assert got == {i: (i // 2 + 1, 5) for i in range(10)}

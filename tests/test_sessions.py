@@ -62,7 +62,8 @@ def test_bucketed_equals_plain_window(spark, flavour, bucket, max_rows):
     also when sessions cross many bucket boundaries (1-hour buckets, 12-hour gap)."""
     from seqlab.sources.adapter import answer_log
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
-    a = answer_log(ev).withColumnRenamed("created_at_utc8", "created_at")
+    # the events' own times, which spread over months, under the derived answers' keys
+    a = answer_log(ev).join(ev.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at")), "id")
     got = assign_sessions(a, gap_seconds=12 * 3600, flavour=flavour, bucket_seconds=bucket, max_bucket_rows=max_rows)
     exp = assign_sessions_plain(a, gap_seconds=12 * 3600, flavour=flavour)
     cols = ["id", "session_id", "new_session", "time_diff"]
@@ -91,9 +92,11 @@ def test_shuffle_partitions_do_not_change_result(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
-        a = PL.in_sessions(spark, "/root/testdata/sf0.001", PL.Params(persist=False)).select("id", "session_id").collect()
+        PL.reset()
+        a = PL.in_sessions(spark, "/root/testdata/sf0.001", PL.Params()).select("id", "session_id").collect()
+        PL.reset()
         spark.conf.set("spark.sql.shuffle.partitions", "11")
-        b = PL.in_sessions(spark, "/root/testdata/sf0.001", PL.Params(persist=False)).select("id", "session_id").collect()
+        b = PL.in_sessions(spark, "/root/testdata/sf0.001", PL.Params()).select("id", "session_id").collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))

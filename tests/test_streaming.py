@@ -3,6 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from seqlab.functions.timecols import parse_timestamp
 from seqlab.operators.sessions import assign_sessions, session_table
 from seqlab.sources.adapter import answer_log
 from seqlab.streaming import session_windows
@@ -10,7 +11,7 @@ from seqlab.streaming import session_windows
 
 def test_batch_session_window_equals_gap_rule(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    a = answer_log(ev).withColumnRenamed("created_at_utc8", "created_at")
+    a = answer_log(ev).withColumn("created_at", parse_timestamp("created_at_utc8")).where("created_at is not null")
     sw = session_windows(a, gap_minutes=30).select("user_id", "gamecharacter_id", "session_start", "n_questions")
     bt = session_table(assign_sessions(a, gap_seconds=1800)).select(
         "user_id", "gamecharacter_id", F.col("start_time").alias("session_start"), "n_questions")
@@ -19,7 +20,7 @@ def test_batch_session_window_equals_gap_rule(spark):
 
 def test_streaming_query_runs(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    a = answer_log(ev).withColumnRenamed("created_at_utc8", "created_at").select(
+    a = answer_log(ev).withColumn("created_at", parse_timestamp("created_at_utc8")).where("created_at is not null").select(
         "user_id", "gamecharacter_id", "is_correct", "created_at")
     src = tempfile.mkdtemp(prefix="seqlab-stream-src-")
     a.write.mode("overwrite").parquet(src)
