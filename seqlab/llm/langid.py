@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm import wordscan
-from seqlab.llm.scratch import written
+from seqlab.llm.scratch import bounded_batches, with_text, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -53,14 +53,6 @@ class Centroids:
     idf: np.ndarray
 
 
-def _slices(offsets: np.ndarray):
-    at = 0
-    while at < len(offsets) - 1:
-        to = min(at + ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1))
-        yield at, to
-        at = to
-
-
 def ngram_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of hashed 2- and 3-byte n-grams, a row for each text; n-grams do not cross texts."""
     rows = len(offsets) - 1
@@ -94,11 +86,21 @@ def _has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def _lowered(column) -> tuple[np.ndarray, np.ndarray]:
+def _parts(column):
+    """Row ranges of a text column with the lower-cased bytes, offsets and has-letter flags of each.
+
+    A range has about ``PIECE`` bytes and ``ROWS`` rows at most, so what is made
+    from it stays small however large the batch.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    raw, offsets, _ = wordscan.text_buffer(pc.utf8_lower(column.cast(pa.large_string())))
-    return raw, offsets
+    _, offsets, _ = wordscan.text_buffer(column)
+    at = 0
+    while at < len(column):
+        to = min(at + ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1))
+        raw, inner, _ = wordscan.text_buffer(pc.utf8_lower(column.slice(at, to - at)))
+        yield at, to, raw, inner, _has_letter(raw, inner)
+        at = to
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -123,6 +125,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str = "text", rows_per_label: int = 1000,
           centroids: int = 4) -> Centroids:
     """Fit centroids on about ``rows_per_label`` of the ``chosen`` rows of each label."""
+    bounded_batches(documents.sparkSession)
     rows = documents.where(chosen & F.col(label).isNotNull() & F.col(text).isNotNull())
     labels = (rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
               .orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect())
@@ -134,16 +137,14 @@ def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str =
 
     def count(batches):
         for batch in batches:
-            raw, offsets = _lowered(batch.column(1))
-            letter = _has_letter(raw, offsets)
-            for lo, hi in _slices(offsets):
-                counts = ngram_counts(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                ok = np.flatnonzero(letter[lo:hi])
+            for lo, hi, raw, offsets, letter in _parts(batch.column(1)):
+                counts = ngram_counts(raw, offsets)
+                ok = np.flatnonzero(letter)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(ok)),
                      pa.array([c.astype(np.int32).tobytes() for c in counts[ok]], pa.binary())], ["label", "counts"])
 
-    counted = written(picked.mapInArrow(count, "label string, counts binary").repartition(8), "ngrams")
+    counted = written(picked.mapInArrow(wordscan.trimmed(count), "label string, counts binary").repartition(8), "ngrams")
 
     def document_counts(batches):
         held, n = np.zeros(DIMS, np.int64), 0
@@ -153,7 +154,7 @@ def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str =
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([held.tobytes()], pa.binary())], ["n", "held"])
 
-    parts = counted.select("counts").coalesce(8).mapInArrow(document_counts, "n long, held binary").collect()  # 8 rows
+    parts = counted.select("counts").coalesce(8).mapInArrow(wordscan.trimmed(document_counts), "n long, held binary").collect()  # 8 rows
     total = sum(p["n"] for p in parts)
     held = sum((np.frombuffer(p["held"], np.int64) for p in parts), np.zeros(DIMS, np.int64))
     idf = (np.log((1 + total) / (1 + held)) + 1).astype(np.float32)
@@ -177,18 +178,18 @@ def classify(documents: DataFrame, model: Centroids, keep: list[str], max_distan
     """The kept columns with ``lang_pred``, ``score`` (the best cosine) and ``rejected``."""
     out = ("lang_pred", "score", "rejected")
     keep = [c for c in keep if c not in out]
+    rows, place = with_text(documents, keep, text)
     held = documents.sparkSession.sparkContext.broadcast(model)  # MAX_LABELS * centroids * DIMS floats at most
 
     def run(batches):
         m = held.value
         for batch in batches:
-            raw, offsets = _lowered(batch.column(len(keep)))
-            letter = _has_letter(raw, offsets)
             best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            for lo, hi in _slices(offsets):
+            letter = np.zeros(batch.num_rows, bool)
+            for lo, hi, raw, offsets, found in _parts(batch.column(place)):
+                letter[lo:hi] = found
                 if m.labels:
-                    counts = ngram_counts(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                    cosine = vectors(counts, m.idf) @ m.center.T
+                    cosine = vectors(ngram_counts(raw, offsets), m.idf) @ m.center.T
                     near = np.argmax(cosine, 1)
                     best[lo:hi], score[lo:hi] = m.owner[near], cosine[np.arange(hi - lo), near]
             sure = letter & bool(m.labels)
@@ -200,4 +201,4 @@ def classify(documents: DataFrame, model: Centroids, keep: list[str], max_distan
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep),
                         "lang_pred string, score double, rejected boolean"])
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(wordscan.trimmed(run), schema)

@@ -5,6 +5,10 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows and bytes of an Arrow batch: rows hold whole texts, and a task keeps a few batches in memory.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +28,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, if they are larger."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The kept columns and the text (once, if it is kept as well), and the text's place among them."""
+    bounded_batches(df.sparkSession)
+    if text in keep:
+        return df.select(*keep), keep.index(text)
+    return df.select(*keep, F.col(text).alias("__text")), len(keep)

@@ -8,6 +8,7 @@ memory does not follow the length of a text.  A word is represented by a
 """
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -23,6 +24,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def trimmed(run):
+    """``run`` over Arrow batches, after which freed memory goes back to the system:
+    Spark keeps Python workers, and what one task has freed should not weigh on the next."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+    return whole
+
+
 def word_bytes(separators: list[tuple[int, int]]) -> np.ndarray:
     """Table of word bytes: all but the given inclusive ranges."""
     table = np.ones(256, bool)
