@@ -20,14 +20,19 @@ from seqlab.llm.secrets import find_secrets, redacted
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The whole row as one struct beside its text, so no column can clash with an operator's outputs."""
-    return docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    """The text beside all other columns in one struct, so none can clash with an operator's outputs."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
+
+
+def _unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    new = {"text": F.col("text")} | new
+    return df.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language identifier rejects: no letter, or far from every language."""
     model = train(docs, F.lit(True))
-    return classify(_packed(docs), model, keep=["doc"]).where("not rejected").select("doc.*")
+    return _unpacked(classify(_packed(docs), model, keep=["doc", "text"]).where("not rejected"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,19 +42,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
-    return contaminated_words(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["doc"]).where("n_hit = 0").select("doc.*")
+    found = contaminated_words(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["doc", "text"])
+    return _unpacked(found.where("n_hit = 0"), docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks the secrets in every text; ``n_chars``, where there is one, follows the text."""
-    found = find_secrets(_packed(docs), keep=["doc"])
-    clean = redacted(F.col("doc.text"), F.col("spans"))
-    changed = found.select("doc", clean.alias("clean"), (F.size("spans") > 0).alias("masked"))
-    new = {"text": F.col("clean")}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("masked"), F.length("clean").cast(kind)).otherwise(F.col("doc.n_chars"))
-    return changed.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    found = find_secrets(_packed(docs), keep=["doc", "text"])
+    found = found.select("doc", redacted(F.col("text"), F.col("spans")).alias("text"), (F.size("spans") > 0).alias("masked"))
+    if "n_chars" not in docs.columns:
+        return _unpacked(found, docs.columns)
+    kind = docs.schema["n_chars"].dataType
+    length = F.when(F.col("masked"), F.length("text").cast(kind)).otherwise(F.col("doc.n_chars"))
+    return _unpacked(found, docs.columns, n_chars=length)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import array
 import base64
 import heapq
+import itertools
 import sys
 
 import numpy as np
@@ -29,15 +30,16 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from seqlab.llm import wordscan
+from seqlab.llm.scratch import bounded_batches, with_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Pieces up to this many bytes go through the recursive query.
 LONG = 256
-#: Entries that a worker keeps; more empty the cache, which changes no result.
-CACHE = 600_000
+#: Pieces that a worker keeps.  Beyond, the later half goes: frequent pieces come early.  This changes no result.
+CACHE = 300_000
 #: Pieces that one recursive query contracts together.
-PIECES = 40_000
+PIECES = 10_000
 VOCABULARY_BYTES = 64 << 20
 
 #: Contracts the leftmost least-ranked pair of every piece, until none merges; the last step of a piece is its result.
@@ -88,7 +90,7 @@ class Codec:
         if max(self.tokens, default=0) >= 1 << 20:
             raise ValueError("ranks must be below 2 ** 20")
         self.byte = [self.ranks.get(bytes([i])) for i in range(256)]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         pairs = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items()
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pair=pa.array([p for p, _ in pairs], pa.int64()),
@@ -175,9 +177,9 @@ class Codec:
         cuts = {s: self._cut(s) for s in segments if s not in self.pieces}
         new = {p for c in cuts.values() for p in c} - self.pieces.keys()
         if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            cuts = {s: cuts.get(s) or self._cut(s) for s in segments}
-            new = {p for c in cuts.values() for p in c}
+            self.pieces = dict(itertools.islice(self.pieces.items(), CACHE // 2))
+            cuts = {s: cuts.get(s) or self._cut(s) for s in segments if s not in self.pieces}
+            new = {p for c in cuts.values() for p in c} - self.pieces.keys()
         self._encode_pieces(list(new))
         get = self.pieces.__getitem__
         # a cached piece stands for its decoded bytes as well: _keep has compared the two
@@ -206,7 +208,7 @@ class Codec:
 
 
 #: Bytes of one group of texts that a task handles together.
-GROUP = 4 << 20
+GROUP = 2 << 20
 #: First bytes of white space beyond ASCII, each with what may follow (fixed values of Unicode's White_Space).
 WIDE_BLANKS = [
     (b"\xc2", [b"\x85", b"\xa0"]),
@@ -295,12 +297,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text:
     ``ids`` or ``decoded`` gives way to the result.
     """
     keep = [c for c in keep if c not in ("ids", "decoded")]
+    rows, place = with_text(df, keep, text)
     held = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
         codec = _codec(held.value, pattern)
         for batch in batches:
-            raw, offsets, _ = wordscan.text_buffer(batch.column(len(keep)))
+            raw, offsets, _ = wordscan.text_buffer(batch.column(place))
             for lo, hi in _groups(offsets, GROUP):
                 ids, ids_at, decoded, decoded_at = codec.texts(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays(
@@ -311,11 +314,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text:
                     [*keep, "ids", "decoded"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>", "decoded binary"])
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(wordscan.trimmed(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The ``keep`` columns with ``decoded``: the bytes of each row's id array; null or empty ids give empty bytes."""
+    bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
@@ -329,4 +333,4 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], ids: s
                     [*keep, "decoded"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "decoded binary"])
-    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, schema)
+    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(wordscan.trimmed(run), schema)

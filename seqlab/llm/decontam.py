@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm import wordscan
+from seqlab.llm.scratch import with_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,7 +43,7 @@ SHIFT_BITS = 18
 #: Cursors that move together over a batch.
 LANES = 2048
 #: Bytes of text that a task searches at a time.
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 
 class Windows:
@@ -147,10 +148,12 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, keep: list[st
         F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     chars = items.agg(F.sum(F.length("text") + 20 * F.size("ids")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{fields}, __text string, __hit binary, n_words long, n_hit long, items array<string>".lstrip(", ")
-    df = documents.select(*keep, F.col(text).alias("__text"), F.lit(None).cast("binary").alias("__hit"),
-                          F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    df, place = with_text(documents, keep, text)
+    carried = df.columns
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
+    schema = f"{fields}, __hit binary, n_words long, n_hit long, items array<string>"
+    df = df.select(*carried, F.lit(None).cast("binary").alias("__hit"), F.lit(0).cast("long").alias("n_words"),
+                   F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about BLOCK_CHARS characters
         held = documents.sparkSession.sparkContext.broadcast(_pattern_block([tuple(r) for r in rows], window))
@@ -158,23 +161,23 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, keep: list[st
         def run(batches, held=held):
             tables = [Windows(size, phrases) for size, phrases, _ in held.value]
             names = [ids for _, _, ids in held.value]
-            k = len(keep)
+            k = len(carried)
             for batch in batches:
-                raw, offsets, _ = wordscan.text_buffer(batch.column(k))
+                raw, offsets, _ = wordscan.text_buffer(batch.column(place))
                 at = 0
                 while at < batch.num_rows:
                     to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP, "right")) - 1)
                     part = batch.slice(at, to - at)
                     n, hits, found = _search(raw[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], tables, names)
-                    before = part.column(k + 1).to_pylist()
+                    before = part.column(k).to_pylist()
                     hits = [h if b is None else (np.frombuffer(h, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
                             for h, b in zip(hits, before, strict=True)]
-                    names_now = [sorted({*old, *new}) for old, new in zip(part.column(k + 4).to_pylist(), found, strict=True)]
+                    names_now = [sorted({*old, *new}) for old, new in zip(part.column(k + 3).to_pylist(), found, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [*(part.column(i) for i in range(k + 1)), pa.array(hits, pa.binary()), pa.array(n.astype(np.int64)),
+                        [*(part.column(i) for i in range(k)), pa.array(hits, pa.binary()), pa.array(n.astype(np.int64)),
                          pa.array([int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in hits], pa.int64()),
-                         pa.array(names_now, pa.list_(pa.string()))], [*keep, "__text", "__hit", "n_words", "n_hit", "items"])
+                         pa.array(names_now, pa.list_(pa.string()))], [*carried, "__hit", "n_words", "n_hit", "items"])
                     at = to
 
-        df = df.mapInArrow(run, schema)
+        df = df.mapInArrow(wordscan.trimmed(run), schema)
     return df.select(*keep, "n_words", "n_hit", "items")
