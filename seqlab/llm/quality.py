@@ -10,9 +10,8 @@ function of the sparse dot product with the weights.
 
 Weights are learned with follow-the-regularised-leader updates, row by row, in
 ``SHARDS`` tasks whose states are averaged after every round and start the
-next one.  Training sees about ``rows`` rows, chosen by hash from all labelled
-rows (a documented bound of the fit); the rarer label weighs more, by the root of
-the ratio.
+next one.  Training sees about ``rows`` labels, chosen by hash from all
+(a documented bound of the fit).
 
 A null text counts as empty; an empty text has no features and is scored by
 the bias alone.  Null labels are not learned from; without any labelled row
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm import wordscan
-from seqlab.llm.scratch import written
+from seqlab.llm.scratch import bounded_batches, with_text, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,11 +96,11 @@ def _sigmoid(x):
 
 
 def ftrl(rows, z: np.ndarray, n: np.ndarray, alpha: float, beta: float, l1: float, l2: float) -> None:
-    """FTRL-proximal over (slots, values, label, weight) rows; updates the state (z, n) in place."""
-    for slot, value, label, factor in rows:
+    """FTRL-proximal over (slots, values, label) rows; updates the state (z, n) in place."""
+    for slot, value, label in rows:
         zi, ni = z[slot], n[slot]
         w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
-        g = (_sigmoid(w @ value) - label) * value * factor
+        g = (_sigmoid(w @ value) - label) * value
         z[slot] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
         n[slot] = ni + g * g
 
@@ -114,17 +113,22 @@ def _slices(offsets: np.ndarray):
         at = to
 
 
-def train(labelled: DataFrame, label: str = "label", text: str = "text", rows: int = 20_000, rounds: int = 4,
-          alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5) -> Weights:
-    """Fit weights on about ``rows`` rows with a 0/1 label."""
-    df = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    counts = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    total = sum(counts.values())
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "label", text: str = "text",
+          rows: int = 20_000, rounds: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5) -> Weights:
+    """Fit weights on the texts of about ``rows`` keys with a 0/1 label.
+
+    The keys are chosen from the labels alone, so the texts of all other documents are never shuffled.
+    """
+    bounded_batches(documents.sparkSession)
+    given = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    total = given.count()
     size = 1 << BITS
     if not total:
         return Weights(np.zeros(size + 1))
-    weight = {k: (total / (2 * n)) ** 0.5 for k, n in counts.items()}
-    picked = df.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < min(1.0, rows / total) * 1_000_000)
+    chosen = given.where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < min(1.0, rows / total) * 1_000_000)
+    if chosen.count() <= 4 * rows + 1000:  # else one key bears a great part of the labels
+        chosen = F.broadcast(chosen)
+    picked = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
 
     def extract(batches):
         for batch in batches:
@@ -139,7 +143,7 @@ def train(labelled: DataFrame, label: str = "label", text: str = "text", rows: i
 
     shard = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(SHARDS)).cast("int").alias("shard")
     made = written(picked.select("label", "text", shard).repartition(SHARDS).mapInArrow(
-        extract, "label int, shard int, slots binary, vals binary"), "features")
+        wordscan.trimmed(extract), "label int, shard int, slots binary, vals binary"), "features")
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
     def learner(z: np.ndarray, n: np.ndarray, turn: int):
@@ -147,7 +151,7 @@ def train(labelled: DataFrame, label: str = "label", text: str = "text", rows: i
             zs, ns = z.copy(), n.copy()
             sample = list(zip(table["label"].to_pylist(), table["slots"].to_pylist(), table["vals"].to_pylist(), strict=True))
             sample.sort(key=lambda r: (zlib.crc32(r[1], turn), r[1], r[0]))
-            ftrl(((np.r_[np.frombuffer(s, np.int32), size], np.r_[np.frombuffer(v, np.float32), 1.0].astype(float), y, weight[y])
+            ftrl(((np.r_[np.frombuffer(s, np.int32), size], np.r_[np.frombuffer(v, np.float32), 1.0].astype(float), y)
                   for y, s, v in sample), zs, ns, alpha, beta, l1, l2)
             return pa.table({"z": pa.array([zs.tobytes()], pa.binary()), "n": pa.array([ns.tobytes()], pa.binary()),
                              "k": pa.array([len(sample)], pa.int64())})
@@ -165,12 +169,13 @@ def train(labelled: DataFrame, label: str = "label", text: str = "text", rows: i
 def score(documents: DataFrame, model: Weights, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with ``score``, the probability of label 1."""
     keep = [c for c in keep if c != "score"]
+    rows, place = with_text(documents, keep, text)
     held = documents.sparkSession.sparkContext.broadcast(model.weight)  # 2 ** BITS + 1 numbers
 
     def run(batches):
         w = held.value
         for batch in batches:
-            raw, offsets, _ = wordscan.text_buffer(batch.column(len(keep)))
+            raw, offsets, _ = wordscan.text_buffer(batch.column(place))
             out = np.zeros(batch.num_rows)
             for lo, hi in _slices(offsets):
                 first, slot, value = features(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
@@ -180,4 +185,4 @@ def score(documents: DataFrame, model: Weights, keep: list[str], text: str = "te
                                              [*keep, "score"])
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(wordscan.trimmed(run), schema)

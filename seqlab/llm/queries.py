@@ -123,7 +123,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(learned(4, 2) & F.col("quality").isNotNull()).select(
         "doc_id", F.col("quality").alias("label"))
-    model = train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = train(docs, labels)
     return (score(docs, model, keep=["doc_id"])
             .select("doc_id", (~learned(4, 2)).alias("held_out"), "score",
                     F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")))

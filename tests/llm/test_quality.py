@@ -18,7 +18,8 @@ def labelled(spark, rnd, n=600):
 
 def test_learns_and_scores_edges(spark):
     rnd = random.Random(8)
-    model = quality.train(labelled(spark, rnd))
+    known = labelled(spark, rnd)
+    model = quality.train(known.drop("label"), known.drop("text"))
     test = labelled(spark, rnd, 300)
     truth = {r.doc_id: r.label for r in test.collect()}
     rows = quality.score(test, model, keep=["doc_id"]).collect()
@@ -31,7 +32,7 @@ def test_learns_and_scores_edges(spark):
 
 def test_without_labels_every_score_is_half(spark):
     none = spark.createDataFrame([(1, "text", None), (2, None, 5)], "doc_id long, text string, label int")
-    model = quality.train(none)
+    model = quality.train(none, none)
     assert {r.score for r in quality.score(none, model, keep=["doc_id"]).collect()} == {0.5}
 
 
@@ -48,11 +49,11 @@ def test_score_does_not_depend_on_the_batch():
 
 def test_ftrl_step_by_hand():
     z, n = np.zeros(3), np.zeros(3)
-    quality.ftrl([(np.array([0, 2]), np.array([1.0, 0.5]), 1, 1.0)], z, n, 0.5, 1.0, 0.0, 0.0)
+    quality.ftrl([(np.array([0, 2]), np.array([1.0, 0.5]), 1)], z, n, 0.5, 1.0, 0.0, 0.0)
     assert np.allclose(z, [-0.5, 0, -0.25]) and np.allclose(n, [0.25, 0, 0.0625])
     # weights now: -z / ((1 + sqrt(n)) / 0.5)
     w = np.array([0.5 / (1.5 / 0.5), 0, 0.25 / (1.25 / 0.5)])
-    quality.ftrl([(np.array([0, 2]), np.array([1.0, 0.5]), 0, 1.0)], z, n, 0.5, 1.0, 0.0, 0.0)
+    quality.ftrl([(np.array([0, 2]), np.array([1.0, 0.5]), 0)], z, n, 0.5, 1.0, 0.0, 0.0)
     p = 1 / (1 + np.exp(-(w[0] + 0.5 * w[2])))
     g = np.array([p, 0, 0.5 * p])
     n0 = np.array([0.25, 0, 0.0625])
