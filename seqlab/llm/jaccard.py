@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from seqlab.llm import wordscan
 from seqlab.llm.components import components
-from seqlab.llm.scratch import written
+from seqlab.llm.scratch import bounded_batches, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -80,7 +80,7 @@ def shingle_sets(raw, offsets, k: int):
     return value, owner, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def _slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """Row slices of a batch with about ``most`` bytes of text each."""
     raw, offsets, null = wordscan.text_buffer(batch.column(text))
     at = 0
@@ -105,7 +105,7 @@ def shingle_weights(texts: DataFrame, k: int) -> np.ndarray:
             part = at[lo:lo + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
 
-    rows = (texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = (texts.select("text").mapInArrow(wordscan.trimmed(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
             .toPandas())  # at most 2 ** WEIGHT_BITS rows
     weights = np.zeros(1 << WEIGHT_BITS, np.int64)
     weights[rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(np.int64)
@@ -141,7 +141,7 @@ def shingle_prefixes(docs: DataFrame, k: int, percent: int, weights: np.ndarray)
                      pa.array(pkey, pa.binary()), prefix], ["doc_id", "n", "sig", "pkey", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(prefixes, f"doc_id {id_type}, n long, sig binary, pkey binary, prefix array<long>")
+    return docs.mapInArrow(wordscan.trimmed(prefixes), f"doc_id {id_type}, n long, sig binary, pkey binary, prefix array<long>")
 
 
 def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +159,11 @@ def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
              .groupBy("gid", "hid").agg(F.count("*").alias("common"), F.first(larger).alias("larger"))
              .where(F.col("common") >= F.least(F.lit(DEPTH), F.ceil(F.col("larger") * percent / 100))))
     many = shared.where(F.col("held") > BUCKET)
-    chains = many.join(many.groupBy("shingle").agg(F.min("gid").alias("hid")), "shingle")
+    # every BUCKET or so groups of a shingle find the one they are chained to under a key of their own
+    lists = F.ceil(F.col("held") / BUCKET).cast("int")
+    hubs = many.groupBy("shingle", "held").agg(F.min("gid").alias("hid")).select(
+        "shingle", "hid", F.explode(F.sequence(F.lit(0), lists - 1)).alias("part"))
+    chains = many.withColumn("part", F.pmod(F.xxhash64("gid"), lists)).join(hubs, ["shingle", "part"])
     return components(pairs.select("gid", "hid").unionByName(chains.select("gid", "hid")), "gid", "hid", "clusters")
 
 
@@ -225,7 +229,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     of the class that stands for its component.
     """
     docs = documents.select("doc_id", "text")
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     weights = shingle_weights(docs, k)
     sets = written(shingle_prefixes(docs, k, percent, weights), "sets")
     full = sets.where("n > 0 and doc_id is not null")
@@ -276,7 +280,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
                          "b": pa.array([ids[y] for _, y in edges], pa.binary())})
 
     blocks = (docs.join(side, "doc_id").select("text", "sig", "cluster", "blocks", "block")
-              .mapInArrow(expand, "cluster long, i int, j int, side int, sig binary, body binary"))
+              .mapInArrow(wordscan.trimmed(expand), "cluster long, i int, j int, side int, sig binary, body binary"))
     edges = blocks.groupBy("cluster", "i", "j").applyInArrow(verify, "a binary, b binary")
     linked = components(edges, "a", "b", "links").withColumnRenamed("vertex", "sig")
     named = member.select("sig", "doc_id").join(linked, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -321,7 +325,7 @@ def one_of_each_group(documents: DataFrame, k: int = 5, percent: int = 80) -> Da
 
     several = documents.join(ids, "doc_id", "left_semi").select(F.struct(*documents.columns).alias("row"), "text")
     row_type = several.schema["row"].dataType.simpleString()
-    several = several.mapInArrow(digests, f"row {row_type}, sig binary").withColumn("doc_id", F.col("row.doc_id"))
+    several = several.mapInArrow(wordscan.trimmed(digests), f"row {row_type}, sig binary").withColumn("doc_id", F.col("row.doc_id"))
     firsts = found.where("first and sig is not null").select("doc_id", "sig").distinct()
     chosen = (several.where("sig is not null").join(firsts, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).select("row.*")
               .unionByName(several.where("sig is null").select("row.*")))
