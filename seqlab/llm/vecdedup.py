@@ -33,6 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.llm import wordscan
 from seqlab.llm.components import components
 from seqlab.llm.scratch import written
 
@@ -40,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Classes of a label from which on it is partitioned, most pivots of a label, and most vectors in a block.
 CELL, PIVOTS, BLOCK = 1024, 64, 2048
+#: Rows up to which the table of large labels is broadcast (under 100 bytes each).
+BROADCAST_ROWS = 100_000
 
 
 def _classes(vectors: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
@@ -64,7 +67,7 @@ def _classes(vectors: DataFrame, vec_id: str, vector: str, label: str) -> DataFr
     kind = vectors.schema[vec_id].dataType.simpleString()
     df = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
     df = df.withColumn("label", F.when(F.col("vec_id").isNotNull(), F.col("label")))
-    return df.mapInArrow(run, f"vec_id {kind}, label string, cls binary, vec binary")
+    return df.mapInArrow(wordscan.trimmed(run), f"vec_id {kind}, label string, cls binary, vec binary")
 
 
 def _unit(bodies: list[bytes]) -> np.ndarray:
@@ -171,7 +174,10 @@ def near_duplicates(vectors: DataFrame, least: float, vec_id: str = "vec_id", ve
         F.count("*").alias("m"), F.min("vec_id").alias("rep"), F.first("vec").alias("vec"))
     classes = written(classes.withColumn("dim", (F.length("vec") / 8).cast("int")), "classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > CELL).withColumn("pivots", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL)).cast("int"))
+    large = written(sizes.where(F.col("n") > CELL).withColumn(
+        "pivots", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL)).cast("int")), "large")
+    if large.count() <= BROADCAST_ROWS:  # else a shuffled join, which AQE can split
+        large = F.broadcast(large)
     here = classes.join(large, ["label", "dim"], "left")
     alone = here.where("n is null").select("label", "dim", F.lit(0).alias("cell"), "cls", "m", "vec", F.lit(True).alias("home"))
     crowd = here.where("n is not null").withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / (2 * BLOCK))))
