@@ -5,8 +5,12 @@ whole text, every ASCII non-letter read as a blank), hashed into ``DIMS``
 places, weighted log(1 + count) * idf and scaled to length 1.  Each language
 has several centroids from spherical k-means, so that registers of one
 language do not average out.  A text gets the language of the centroid with
-the highest cosine; a text further than ``max_distance`` (1 - cosine) from
-every centroid is rejected.
+the highest cosine and is rejected if that cosine is below a floor that depends on
+the text's number of different n-grams: the larger of ``SLACK`` times the
+``QUANTILE`` quantile that the language's own training texts, whole and cut
+short, reach at that length, and of what a text of so many random n-grams
+reaches by chance (mean and ``CHANCE`` deviations).  A ``max_distance``
+(1 - cosine), if given, takes the floors' place.
 
 Training sees about ``rows_per_label`` rows of each label, chosen by hash from
 all labelled rows: a documented bound of the model's fit, not of what it is
@@ -40,6 +44,14 @@ UNDETERMINED = "und"
 #: Bytes of text whose n-grams are counted together, and most texts in one matrix.
 PIECE, ROWS = 1 << 20, 256
 
+#: Bytes after which training texts are cut to learn what short texts reach.
+CUTS = (8, 32, 128, 512)
+#: Floors: the quantile of the training texts' cosines, the share of it that must be reached, the texts that a
+#: quantile needs (the median of the other languages serves below that), and deviations above chance.
+QUANTILE, SLACK, ENOUGH, CHANCE = 0.05, 0.25, 50, 3.0
+#: Classes of length: powers of 4 of the number of different n-grams, which is at most DIMS.
+LEVELS = 7
+
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = True
 _LETTER[0x80:] = True
@@ -51,6 +63,23 @@ class Centroids:
     owner: np.ndarray  # label number of each centroid
     center: np.ndarray  # float32, a row for each centroid, length 1
     idf: np.ndarray
+    low: np.ndarray  # least cosine by label and class of length, 0 where unknown
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Class of length of each row."""
+    n = np.maximum((counts > 0).sum(1), 1)
+    return (np.log2(n) / 2 + 1e-9).astype(int)
+
+
+def floors(counts: np.ndarray, near: np.ndarray, m: Centroids) -> np.ndarray:
+    """The cosine that each row needs to belong to its nearest centroid."""
+    # n random places have the weights idf and meet the centroid's values at them
+    scale = np.sqrt((m.idf.astype(float) ** 2).mean())
+    met = m.center * m.idf
+    mean, deviation = met.mean(1) / scale, met.std(1) / scale
+    chance = np.sqrt((counts > 0).sum(1)) * mean[near] + CHANCE * deviation[near]
+    return np.maximum(chance, m.low[m.owner[near], levels(counts)])
 
 
 def ngram_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -122,6 +151,45 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return center
 
 
+def _cut_counts(raw: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """For each text, the counts of its first bytes up to every cut that it exceeds: places, then counts, as int32 bytes."""
+    out: list[list[bytes]] = [[] for _ in range(len(offsets) - 1)]
+    for size in CUTS:
+        longer = np.flatnonzero(np.diff(offsets) > size)
+        if len(longer):
+            part = np.concatenate([raw[offsets[d]:offsets[d] + size] for d in longer])
+            for d, c in zip(longer, ngram_counts(part, np.arange(len(longer) + 1) * size), strict=True):
+                at = np.flatnonzero(c)
+                out[d].append(np.r_[at, c[at]].astype(np.int32).tobytes())
+    return out
+
+
+def _low(x: np.ndarray, cuts: list[list[bytes]], center: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The least cosine of each class of length, from one label's vectors and cut texts; nan where too few are known."""
+    known = [((x @ center.T).max(1), levels(x))]
+    short = [np.frombuffer(c, np.int32).reshape(2, -1) for row in cuts for c in row]
+    for lo in range(0, len(short), ROWS):
+        counts = np.zeros((len(short[lo:lo + ROWS]), DIMS), np.int64)
+        for row, (at, n) in zip(counts, short[lo:lo + ROWS], strict=True):
+            row[at] = n
+        some = counts.any(1)  # a cut may hold no letter
+        known.append(((vectors(counts, idf) @ center.T).max(1)[some], levels(counts)[some]))
+    cosine, level = (np.concatenate(k) for k in zip(*known, strict=True))
+    return np.array([SLACK * np.quantile(cosine[level == k], QUANTILE) if (level == k).sum() >= ENOUGH else np.nan
+                     for k in range(LEVELS)], float)
+
+
+def _filled(low: np.ndarray) -> np.ndarray:
+    """Unknown values become the median of the other labels' values of that length, or else that of shorter texts; 0 without any."""
+    out, before = low.copy(), np.zeros(len(low))
+    for k in range(LEVELS):
+        known = ~np.isnan(low[:, k])
+        if not known.all():
+            out[~known, k] = np.median(low[known, k]) if known.any() else before[~known]
+        before = out[:, k]
+    return out
+
+
 def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str = "text", rows_per_label: int = 1000,
           centroids: int = 4) -> Centroids:
     """Fit centroids on about ``rows_per_label`` of the ``chosen`` rows of each label."""
@@ -130,7 +198,7 @@ def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str =
     labels = (rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
               .orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect())
     if not labels:
-        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(DIMS, np.float32))
+        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(DIMS, np.float32), np.zeros((0, LEVELS)))
     share = F.create_map(*[F.lit(v) for r in labels for v in (r["label"], min(1.0, rows_per_label / r["n"]))])
     picked = (rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
               .where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000))
@@ -140,11 +208,13 @@ def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str =
             for lo, hi, raw, offsets, letter in _parts(batch.column(1)):
                 counts = ngram_counts(raw, offsets)
                 ok = np.flatnonzero(letter)
+                short = _cut_counts(raw, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(ok)),
-                     pa.array([c.astype(np.int32).tobytes() for c in counts[ok]], pa.binary())], ["label", "counts"])
+                     pa.array([c.astype(np.int32).tobytes() for c in counts[ok]], pa.binary()),
+                     pa.array([short[d] for d in ok], pa.list_(pa.binary()))], ["label", "counts", "cuts"])
 
-    counted = written(picked.mapInArrow(wordscan.trimmed(count), "label string, counts binary").repartition(8), "ngrams")
+    counted = written(picked.mapInArrow(wordscan.trimmed(count), "label string, counts binary, cuts array<binary>").repartition(8), "ngrams")
 
     def document_counts(batches):
         held, n = np.zeros(DIMS, np.int64), 0
@@ -162,18 +232,22 @@ def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str =
     def cluster(table: pa.Table) -> pa.Table:
         x = vectors(np.stack([np.frombuffer(c, np.int32) for c in table["counts"].to_pylist()]), idf)
         center = kmeans(x, centroids).astype(np.float32)
+        low = _low(x, table["cuts"].to_pylist(), center, idf)
         return pa.table({"label": pa.array([table["label"][0].as_py()] * len(center), pa.string()),
-                         "center": pa.array([c.tobytes() for c in center], pa.binary())})
+                         "center": pa.array([c.tobytes() for c in center], pa.binary()),
+                         "low": pa.array([low.tobytes()] * len(center), pa.binary())})
 
-    found = sorted(map(tuple, counted.groupBy("label").applyInArrow(cluster, "label string, center binary").collect()))
+    found = sorted(map(tuple, counted.groupBy("label").applyInArrow(cluster, "label string, center binary, low binary").collect()))
     names = sorted({r[0] for r in found})
     if not found:
-        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), idf)
+        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), idf, np.zeros((0, LEVELS)))
+    lows = {r[0]: np.frombuffer(r[2]) for r in found}
     return Centroids(names, np.array([names.index(r[0]) for r in found]),
-                     np.stack([np.frombuffer(r[1], np.float32) for r in found]), idf)
+                     np.stack([np.frombuffer(r[1], np.float32) for r in found]), idf,
+                     _filled(np.stack([lows[n] for n in names])))
 
 
-def classify(documents: DataFrame, model: Centroids, keep: list[str], max_distance: float = 0.98,
+def classify(documents: DataFrame, model: Centroids, keep: list[str], max_distance: float | None = None,
              text: str = "text") -> DataFrame:
     """The kept columns with ``lang_pred``, ``score`` (the best cosine) and ``rejected``."""
     out = ("lang_pred", "score", "rejected")
@@ -185,19 +259,22 @@ def classify(documents: DataFrame, model: Centroids, keep: list[str], max_distan
         m = held.value
         for batch in batches:
             best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            letter = np.zeros(batch.num_rows, bool)
+            letter, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
             for lo, hi, raw, offsets, found in _parts(batch.column(place)):
                 letter[lo:hi] = found
                 if m.labels:
-                    cosine = vectors(ngram_counts(raw, offsets), m.idf) @ m.center.T
+                    counts = ngram_counts(raw, offsets)
+                    cosine = vectors(counts, m.idf) @ m.center.T
                     near = np.argmax(cosine, 1)
-                    best[lo:hi], score[lo:hi] = m.owner[near], cosine[np.arange(hi - lo), near]
+                    most = cosine[np.arange(hi - lo), near]
+                    far[lo:hi] = most < floors(counts, near, m) if max_distance is None else 1 - most > max_distance
+                    best[lo:hi], score[lo:hi] = m.owner[near], most
             sure = letter & bool(m.labels)
             score = np.where(sure, np.clip(score, 0, 1), 0.0)
             names = [m.labels[b] if s else UNDETERMINED for b, s in zip(best, sure, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(~sure | (1 - score > max_distance))], [*keep, *out])
+                 pa.array(~sure | far)], [*keep, *out])
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep),
                         "lang_pred string, score double, rejected boolean"])
