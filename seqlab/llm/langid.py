@@ -12,8 +12,8 @@ short, reach at that length, and of what a text of so many random n-grams
 reaches by chance (mean and ``CHANCE`` deviations).  A ``max_distance``
 (1 - cosine), if given, takes the floors' place.
 
-Training sees about ``rows_per_label`` rows of each label, chosen by hash from
-all labelled rows: a documented bound of the model's fit, not of what it is
+Training sees about ``rows_per_label`` different texts of each label, chosen by
+hash from all labelled rows, copies counted once: a documented bound of the model's fit, not of what it is
 applied to.  At most ``MAX_LABELS`` labels, the most frequent ones, are learned.
 
 A null text or one without a letter gets ``und`` with score 0 and is rejected.
@@ -192,16 +192,19 @@ def _filled(low: np.ndarray) -> np.ndarray:
 
 def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str = "text", rows_per_label: int = 1000,
           centroids: int = 4) -> Centroids:
-    """Fit centroids on about ``rows_per_label`` of the ``chosen`` rows of each label."""
+    """Fit centroids on about ``rows_per_label`` different texts among the ``chosen`` rows of each label."""
     bounded_batches(documents.sparkSession)
     rows = documents.where(chosen & F.col(label).isNotNull() & F.col(text).isNotNull())
-    labels = (rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    # copies of a text count once, or they would starve the sample or flood it
+    rows = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"),
+                       F.xxhash64(text, F.lit(7)).alias("draw"), F.xxhash64(text).alias("same"))
+    labels = (rows.select("label", "draw", "same").distinct().groupBy("label").agg(F.count("*").alias("n"))
               .orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect())
     if not labels:
         return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(DIMS, np.float32), np.zeros((0, LEVELS)))
     share = F.create_map(*[F.lit(v) for r in labels for v in (r["label"], min(1.0, rows_per_label / r["n"]))])
-    picked = (rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-              .where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000))
+    picked = (rows.where(F.pmod("draw", F.lit(1 << 40)) < share[F.col("label")] * (1 << 40))
+              .dropDuplicates(["label", "draw", "same"]).select("label", "text"))
 
     def count(batches):
         for batch in batches:

@@ -1,4 +1,4 @@
-"""Rejection with the production floors, without a distance given by the caller."""
+"""The training sample, and rejection with the production floors, without a distance given by the caller."""
 import base64
 import random
 
@@ -37,3 +37,14 @@ def test_far_texts_are_rejected_and_clean_ones_kept_by_default(spark):
     own = langid.classify(docs.where("text is not null"), model, keep=["text"]).where("rejected").collect()
     lettered = [r for r in own if any(c.isalpha() for c in r.text)]
     assert len(lettered) <= 0.002 * docs.count(), [(r.text[:60], r.score) for r in lettered]
+
+
+def test_copies_neither_starve_nor_flood_the_sample(spark, monkeypatch):
+    texts = [("en", f"the house number {i} stands there") for i in range(60)]
+    rows = texts + [("en", "a hot text that was copied very often")] * 30_000 + [("de", f"das haus nummer {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    sampled, keep = [], langid.written
+    monkeypatch.setattr(langid, "written", lambda df, name: sampled.append(out := keep(df, name)) or out)
+    model = langid.train(docs, F.lit(True), rows_per_label=30)
+    seen = {r["label"]: r["count"] for r in next(d for d in sampled if "counts" in d.columns).groupBy("label").count().collect()}
+    assert model.labels == ["de", "en"] and seen["de"] == 5 and 10 <= seen["en"] <= 50
