@@ -39,7 +39,9 @@ HEX = r"[0-9a-f]+"
 #: Patterns of the weak kinds.
 USER = r"""(?i)(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
 SECRET = r"[A-Za-z0-9+/=_-]+"
-#: What a run matched by SECRET must be: 40 characters, among them a digit, a capital and a small letter.
+#: Runs in which ``secret`` values are looked for: they end at '=', '_' and '-', so a name and a sign may stand before the value.
+VALUE_RUN = r"[A-Za-z0-9+/]+"
+#: What such a run must be: 40 characters, among them a digit, a capital and a small letter.
 SECRET_FORMS = [r"^[A-Za-z0-9+/]{40}$", "[0-9]", "[A-Z]", "[a-z]"]
 ENDPOINT = r"""(?:https?|s3a?|ftp|ssh|amqps?|redis|mysql|mongodb|postgres(?:ql)?|jdbc:[a-z0-9]+)://[^\x20\x09-\x0D"'<>]+"""
 KINDS = ["assign", "access", "hex", "user", "secret", "endpoint"]
@@ -85,7 +87,7 @@ def weak_spans(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return F.array_sort(F.concat(
         spans(t, 3, USER, t.rlike(USER), _longer(1)),
-        spans(t, 4, SECRET, t.rlike("[A-Za-z0-9+/]{40}"), lambda match, value: reduce(
+        spans(t, 4, VALUE_RUN, t.rlike("[A-Za-z0-9+/]{40}"), lambda match, value: reduce(
             and_, [match.rlike(form) for form in SECRET_FORMS])),
         spans(t, 5, ENDPOINT, t.contains("://"), _longer(1))))
 
