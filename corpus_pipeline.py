@@ -30,8 +30,13 @@ def _unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language identifier rejects: no letter, or far from every language."""
+    """Drops documents that the language identifier rejects: no letter, or far from every language.
+
+    Where no row has a language there is nothing to learn from, and every document stays.
+    """
     model = train(docs, F.lit(True))
+    if not model.labels:
+        return docs
     return _unpacked(classify(_packed(docs), model, keep=["doc", "text"]).where("not rejected"), docs.columns)
 
 

@@ -14,7 +14,8 @@ reaches by chance (mean and ``CHANCE`` deviations).  A ``max_distance``
 
 Training sees about ``rows_per_label`` different texts of each label, chosen by
 hash from all labelled rows, copies counted once: a documented bound of the model's fit, not of what it is
-applied to.  At most ``MAX_LABELS`` labels, the most frequent ones, are learned.
+applied to.  Every label is learned; the centroids are a written table, and
+texts are classified against broadcast blocks of ``BLOCK_LABELS`` labels.
 
 A null text or one without a letter gets ``und`` with score 0 and is rejected.
 Rows with null labels are never learned from.  Without any training row every
@@ -39,7 +40,8 @@ from seqlab.llm.scratch import bounded_batches, with_text, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMS = 4096
-MAX_LABELS = 200
+#: Labels of one broadcast block.
+BLOCK_LABELS = 200
 UNDETERMINED = "und"
 #: Bytes of text whose n-grams are counted together, and most texts in one matrix.
 PIECE, ROWS = 1 << 20, 256
@@ -59,27 +61,44 @@ _LETTER[0x80:] = True
 
 @dataclass
 class Centroids:
-    labels: list[str]
-    owner: np.ndarray  # label number of each centroid
+    """One block of labels, as it is broadcast."""
+
+    labels: np.ndarray  # label of each centroid
     center: np.ndarray  # float32, a row for each centroid, length 1
     idf: np.ndarray
-    low: np.ndarray  # least cosine by label and class of length, 0 where unknown
+    low: np.ndarray  # least cosine by centroid and class of length, 0 where unknown
+
+
+@dataclass
+class Model:
+    labels: list[str]  # in order
+    idf: np.ndarray
+    low: np.ndarray  # by label and class of length
+    table: DataFrame | None  # label, center; None without labels
+
+    def blocks(self):
+        for at in range(0, len(self.labels), BLOCK_LABELS):
+            names = self.labels[at:at + BLOCK_LABELS]
+            found = sorted(tuple(r) for r in self.table.where(
+                F.col("label").between(names[0], names[-1])).select("label", "center").collect())  # a block's centroids
+            place = {n: at + i for i, n in enumerate(names)}
+            yield Centroids(np.array([r[0] for r in found], object), np.stack([np.frombuffer(r[1], np.float32) for r in found]),
+                            self.idf, self.low[[place[r[0]] for r in found]])
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Class of length of each row."""
-    n = np.maximum((counts > 0).sum(1), 1)
-    return (np.log2(n) / 2 + 1e-9).astype(int)
+def levels(n: np.ndarray) -> np.ndarray:
+    """Classes of length of texts with n different n-grams."""
+    return (np.log2(np.maximum(n, 1)) / 2 + 1e-9).astype(int)
 
 
-def floors(counts: np.ndarray, near: np.ndarray, m: Centroids) -> np.ndarray:
-    """The cosine that each row needs to belong to its nearest centroid."""
+def floors(n: np.ndarray, near: np.ndarray, m: Centroids) -> np.ndarray:
+    """The cosine that texts with n different n-grams need to belong to their nearest centroids."""
     # n random places have the weights idf and meet the centroid's values at them
     scale = np.sqrt((m.idf.astype(float) ** 2).mean())
     met = m.center * m.idf
     mean, deviation = met.mean(1) / scale, met.std(1) / scale
-    chance = np.sqrt((counts > 0).sum(1)) * mean[near] + CHANCE * deviation[near]
-    return np.maximum(chance, m.low[m.owner[near], levels(counts)])
+    chance = np.sqrt(n) * mean[near] + CHANCE * deviation[near]
+    return np.maximum(chance, m.low[near, levels(n)])
 
 
 def ngram_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -166,14 +185,14 @@ def _cut_counts(raw: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
 
 def _low(x: np.ndarray, cuts: list[list[bytes]], center: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The least cosine of each class of length, from one label's vectors and cut texts; nan where too few are known."""
-    known = [((x @ center.T).max(1), levels(x))]
+    known = [((x @ center.T).max(1), levels((x > 0).sum(1)))]
     short = [np.frombuffer(c, np.int32).reshape(2, -1) for row in cuts for c in row]
     for lo in range(0, len(short), ROWS):
         counts = np.zeros((len(short[lo:lo + ROWS]), DIMS), np.int64)
         for row, (at, n) in zip(counts, short[lo:lo + ROWS], strict=True):
             row[at] = n
         some = counts.any(1)  # a cut may hold no letter
-        known.append(((vectors(counts, idf) @ center.T).max(1)[some], levels(counts)[some]))
+        known.append(((vectors(counts, idf) @ center.T).max(1)[some], levels((counts > 0).sum(1))[some]))
     cosine, level = (np.concatenate(k) for k in zip(*known, strict=True))
     return np.array([SLACK * np.quantile(cosine[level == k], QUANTILE) if (level == k).sum() >= ENOUGH else np.nan
                      for k in range(LEVELS)], float)
@@ -190,20 +209,23 @@ def _filled(low: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nothing() -> Model:
+    return Model([], np.zeros(DIMS, np.float32), np.zeros((0, LEVELS)), None)
+
+
 def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str = "text", rows_per_label: int = 1000,
-          centroids: int = 4) -> Centroids:
+          centroids: int = 4) -> Model:
     """Fit centroids on about ``rows_per_label`` different texts among the ``chosen`` rows of each label."""
     bounded_batches(documents.sparkSession)
     rows = documents.where(chosen & F.col(label).isNotNull() & F.col(text).isNotNull())
     # copies of a text count once, or they would starve the sample or flood it
     rows = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"),
                        F.xxhash64(text, F.lit(7)).alias("draw"), F.xxhash64(text).alias("same"))
-    labels = (rows.select("label", "draw", "same").distinct().groupBy("label").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect())
-    if not labels:
-        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(DIMS, np.float32), np.zeros((0, LEVELS)))
-    share = F.create_map(*[F.lit(v) for r in labels for v in (r["label"], min(1.0, rows_per_label / r["n"]))])
-    picked = (rows.where(F.pmod("draw", F.lit(1 << 40)) < share[F.col("label")] * (1 << 40))
+    sizes = written(rows.select("label", "draw", "same").distinct().groupBy("label").agg(F.count("*").alias("n")), "labels")
+    n_labels = sizes.count()
+    if not n_labels:
+        return _nothing()
+    picked = (rows.join(sizes, "label").where(F.pmod("draw", F.lit(1 << 40)) < F.least(F.lit(1.0), rows_per_label / F.col("n")) * (1 << 40))
               .dropDuplicates(["label", "draw", "same"]).select("label", "text"))
 
     def count(batches):
@@ -217,7 +239,7 @@ def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str =
                      pa.array([c.astype(np.int32).tobytes() for c in counts[ok]], pa.binary()),
                      pa.array([short[d] for d in ok], pa.list_(pa.binary()))], ["label", "counts", "cuts"])
 
-    counted = written(picked.mapInArrow(wordscan.trimmed(count), "label string, counts binary, cuts array<binary>").repartition(8), "ngrams")
+    counted = written(picked.mapInArrow(wordscan.trimmed(count), "label string, counts binary, cuts array<binary>").repartition(max(8, n_labels // 8)), "ngrams")
 
     def document_counts(batches):
         held, n = np.zeros(DIMS, np.int64), 0
@@ -240,43 +262,48 @@ def train(documents: DataFrame, chosen: Column, label: str = "lang", text: str =
                          "center": pa.array([c.tobytes() for c in center], pa.binary()),
                          "low": pa.array([low.tobytes()] * len(center), pa.binary())})
 
-    found = sorted(map(tuple, counted.groupBy("label").applyInArrow(cluster, "label string, center binary, low binary").collect()))
-    names = sorted({r[0] for r in found})
-    if not found:
-        return Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), idf, np.zeros((0, LEVELS)))
-    lows = {r[0]: np.frombuffer(r[2]) for r in found}
-    return Centroids(names, np.array([names.index(r[0]) for r in found]),
-                     np.stack([np.frombuffer(r[1], np.float32) for r in found]), idf,
-                     _filled(np.stack([lows[n] for n in names])))
+    found = written(counted.groupBy("label").applyInArrow(cluster, "label string, center binary, low binary"), "centroids")
+    lows = sorted(map(tuple, found.select("label", "low").distinct().collect()))  # a few numbers for each label
+    if not lows:
+        return _nothing()
+    return Model([r[0] for r in lows], idf, _filled(np.stack([np.frombuffer(r[1]) for r in lows])), found)
 
 
-def classify(documents: DataFrame, model: Centroids, keep: list[str], max_distance: float | None = None,
+def classify(documents: DataFrame, model: Model, keep: list[str], max_distance: float | None = None,
              text: str = "text") -> DataFrame:
     """The kept columns with ``lang_pred``, ``score`` (the best cosine) and ``rejected``."""
     out = ("lang_pred", "score", "rejected")
     keep = [c for c in keep if c not in out]
     rows, place = with_text(documents, keep, text)
-    held = documents.sparkSession.sparkContext.broadcast(model)  # MAX_LABELS * centroids * DIMS floats at most
+    blocks = [documents.sparkSession.sparkContext.broadcast(b) for b in model.blocks()]
+    idf = documents.sparkSession.sparkContext.broadcast(model.idf)
 
     def run(batches):
-        m = held.value
         for batch in batches:
-            best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            letter, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            rows = batch.num_rows
+            letter, far, score = np.zeros(rows, bool), np.zeros(rows, bool), np.full(rows, -1.0)
+            names = np.full(rows, UNDETERMINED, object)
+            x, n = np.zeros((rows if blocks else 0, DIMS), np.float32), np.zeros(rows, int)
             for lo, hi, raw, offsets, found in _parts(batch.column(place)):
                 letter[lo:hi] = found
-                if m.labels:
+                if blocks:
                     counts = ngram_counts(raw, offsets)
-                    cosine = vectors(counts, m.idf) @ m.center.T
-                    near = np.argmax(cosine, 1)
-                    most = cosine[np.arange(hi - lo), near]
-                    far[lo:hi] = most < floors(counts, near, m) if max_distance is None else 1 - most > max_distance
-                    best[lo:hi], score[lo:hi] = m.owner[near], most
-            sure = letter & bool(m.labels)
+                    x[lo:hi], n[lo:hi] = vectors(counts, idf.value), (counts > 0).sum(1)
+            for block in blocks:
+                m = block.value
+                cosine = x @ m.center.T
+                near = np.argmax(cosine, 1)
+                most = cosine[np.arange(rows), near]
+                below = most < floors(n, near, m) if max_distance is None else 1 - most > max_distance
+                more = most > score
+                names[more], far[more], score[more] = m.labels[near[more]], below[more], most[more]
+                if len(blocks) > 1:
+                    block.__dict__.pop("_value", None)  # a worker holds one block at a time
+            sure = letter & bool(blocks)
             score = np.where(sure, np.clip(score, 0, 1), 0.0)
-            names = [m.labels[b] if s else UNDETERMINED for b, s in zip(best, sure, strict=True)]
+            names[~sure] = UNDETERMINED
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score, pa.float64()),
+                [*(batch.column(i) for i in range(len(keep))), pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64()),
                  pa.array(~sure | far)], [*keep, *out])
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep),

@@ -48,3 +48,34 @@ def test_copies_neither_starve_nor_flood_the_sample(spark, monkeypatch):
     model = langid.train(docs, F.lit(True), rows_per_label=30)
     seen = {r["label"]: r["count"] for r in next(d for d in sampled if "counts" in d.columns).groupBy("label").count().collect()}
     assert model.labels == ["de", "en"] and seen["de"] == 5 and 10 <= seen["en"] <= 50
+
+
+def many(spark, labels):
+    rnd = random.Random(8)
+    words = {f"l{i:03d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(labels)}
+    rows = [(k, " ".join(rnd.choice(w) for _ in range(20))) for k, w in words.items() for _ in range(4)]
+    return spark.createDataFrame(rows, "lang string, text string")
+
+
+def test_every_label_is_learned(spark):
+    docs = many(spark, 230)
+    model = langid.train(docs, F.lit(True))
+    assert len(model.labels) == 230
+    got = langid.classify(docs, model, keep=["lang"]).collect()
+    assert {r.lang for r in got if r.lang_pred == r.lang} == set(model.labels)
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    docs = many(spark, 7)
+    model = langid.train(docs, F.lit(True))
+    found = []
+    for size in (200, 2):
+        monkeypatch.setattr(langid, "BLOCK_LABELS", size)
+        found.append(sorted((r.text, r.lang_pred, round(r.score, 5), r.rejected) for r in langid.classify(docs, model, keep=["text"]).collect()))
+    assert found[0] == found[1]
+
+
+def test_unlabelled_corpus_stays_in_the_pipeline(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "some text", None), (2, "more text", None)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_id(spark, docs, "").count() == 2
