@@ -231,9 +231,9 @@ from placed group by conv_id, perspective, chunk
 
 @query("op3_chat_perspectives", _OP3_SQL)
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seqlab.llm.chat import perspectives
+    from seqlab.llm.chat import dialogues
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return perspectives(table(spark, sf_dir, "conversations")).select(
+    return dialogues(table(spark, sf_dir, "conversations")).select(
         "conv_id", "perspective", "chunk", "n_turns", "rendered", mask.alias("mask"))
 
 
