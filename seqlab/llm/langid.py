@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,8 @@ _LETTER[0x61:0x7B] = True
 _LETTER[0x80:] = True
 
 
-@dataclass
-class Centroids:
-    """One block of labels, as it is broadcast."""
+class Centroids(NamedTuple):
+    """One block of labels; it is broadcast as a plain tuple, which workers read without this module."""
 
     labels: np.ndarray  # label of each centroid
     center: np.ndarray  # float32, a row for each centroid, length 1
@@ -275,7 +275,7 @@ def classify(documents: DataFrame, model: Model, keep: list[str], max_distance:
     out = ("lang_pred", "score", "rejected")
     keep = [c for c in keep if c not in out]
     rows, place = with_text(documents, keep, text)
-    blocks = [documents.sparkSession.sparkContext.broadcast(b) for b in model.blocks()]
+    blocks = [documents.sparkSession.sparkContext.broadcast(tuple(b)) for b in model.blocks()]
     idf = documents.sparkSession.sparkContext.broadcast(model.idf)
 
     def run(batches):
@@ -290,7 +290,7 @@ def classify(documents: DataFrame, model: Model, keep: list[str], max_distance:
                     counts = ngram_counts(raw, offsets)
                     x[lo:hi], n[lo:hi] = vectors(counts, idf.value), (counts > 0).sum(1)
             for block in blocks:
-                m = block.value
+                m = Centroids(*block.value)
                 cosine = x @ m.center.T
                 near = np.argmax(cosine, 1)
                 most = cosine[np.arange(rows), near]
