@@ -268,3 +268,39 @@ from embeddings left join n on n.x = vec_id left join c on c.x = vec_id
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.vecdedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def _op11_sql(k: int = 40, rounds: int = 5, seed: int = 2, dims: int = 64, scale: int = 256) -> str:
+    """Every distance anew in each round, unrolled."""
+    parts = [f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as x from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+vx as materialized (select r, unnest(x) as x, unnest(range({dims})) as i from v),
+c0 as materialized (
+  select j, unnest(x) as c, unnest(range({dims})) as i from (
+    select row_number() over (order by sha256('{seed}:' || vec_id), x) - 1 as j, x from v where vec_id is not null) where j < {k})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+a{n} as materialized (
+  select r, j, d from (
+    select *, row_number() over (partition by r order by d, j) as place from (
+      select r, j, sum((x - c) * (x - c))::bigint as d from vx join c{n} using (i) group by r, j)) where place = 1)""")
+        if n < rounds:
+            parts.append(f"""
+c{n + 1} as materialized (
+  select c.j, c.i, coalesce(m.c, c.c) as c from c{n} c left join (
+    select j, i, (s - ((s % n) + n) % n) // n as c from (
+      select j, i, sum(x)::bigint as s, count(*) as n from a{n} join vx using (r) group by j, i)) m using (j, i))""")
+    return ",".join(parts) + f"""
+select vec_id, j::int as cluster, d as distance, (sum(d) over (partition by j))::bigint as cluster_inertia,
+       (sum(d) over ())::bigint as inertia, centroid_sha256
+from a{rounds} join v using (r) join (
+  select j, sha256(string_agg(c::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by j) using (j)
+"""
+
+
+@query("op11_centroid_clustering", _op11_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.centroids import clustered
+    return clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, dims=64, scale=256)

@@ -22,12 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark).rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; the table as read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
+    return written_at(df, label)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a table made by ``written_at`` that nothing reads any more."""
+    if "/llm-" not in path:
+        raise ValueError(f"not a table of this library: {path}")
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
