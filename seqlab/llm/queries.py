@@ -304,3 +304,44 @@ from a{rounds} join v using (r) join (
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.centroids import clustered
     return clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, dims=64, scale=256)
+
+
+def _op12_sql() -> str:
+    from seqlab.llm.fingerprint import BUCKETS, HASH, LENGTH_MOST, LENGTH_STEP, MOST
+    q = BUCKETS // 4
+    return rf"""
+with docs as materialized (
+  select row_number() over (order by doc_id nulls last, md5(coalesce(text, ''))) as r, doc_id, coalesce(text, '') as t from documents),
+n as (select count(*) as n from docs),
+pairs as materialized (
+  select a.r, a.doc_id, a.t, b.r as s, a.t[:len(a.t) - len(a.t) // 4] || b.t[:len(a.t) // 4] as e
+  from docs a, n join docs b on b.r = a.r % n + 1),
+texts as (select r, 0 as v, t from pairs union all select r, 1, e from pairs),
+hexed as materialized (select r, v, '0000' || hex(encode(t)) || '0000' as h, octet_length(encode(t)) + 1 as m from texts),
+bytes as (
+  select r, v, i, 16 * (strpos('0123456789ABCDEF', p[1]) - 1) + strpos('0123456789ABCDEF', p[2]) - 1 as b
+  from (select r, v, unnest(regexp_extract_all(h, '..')) as p, unnest(range(len(h) // 2)) as i from hexed)),
+triplets as (
+  select r, v, b * 65536 + lead(b) over w * 256 + lead(b, 2) over w as code from bytes window w as (partition by r, v order by i)),
+counted as (select r, v, ((code * {HASH}) & 4294967295) >> 24 as k, count(*) as c from triplets where code is not null group by all),
+counts as (
+  select r, v, k, coalesce(c, 0) as c from (select r, v, unnest(range({BUCKETS})) as k from hexed) left join counted using (r, v, k)),
+quarters as (
+  select r, v, list(((c > a[{q}])::int + (c > a[{2 * q}])::int + (c > a[{3 * q}])::int) order by k) as x
+  from counts join (select r, v, list(c order by c) as a from counts group by r, v) using (r, v) group by r, v),
+found as materialized (
+  select r, v, x, 8 * len(bin(m)) + (((m * 8) >> (len(bin(m)) - 1)) & 7) as step from quarters join hexed using (r, v)),
+spelled as materialized (
+  select *, lower(printf('%03X', step::int)) || array_to_string(list_transform(range({BUCKETS} // 2), lambda i: '0123456789abcdef'[4 * x[2 * i + 1] + x[2 * i + 2] + 1]), '') as f
+  from found)
+select p.doc_id, len(p.t)::bigint as n_chars, sha256(p.e) as edited_sha256, a.f as fingerprint, b.f as edited_fingerprint,
+       1 - least({MOST}, list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))) + least({LENGTH_STEP} * abs(a.step - b.step), {LENGTH_MOST})) / {MOST}.0::double as near_edited,
+       1 - least({MOST}, list_sum(list_transform(list_zip(a.x, c.x), lambda z: abs(z[1] - z[2]))) + least({LENGTH_STEP} * abs(a.step - c.step), {LENGTH_MOST})) / {MOST}.0::double as near_next
+from pairs p join spelled a on a.r = p.r and a.v = 0 join spelled b on b.r = p.r and b.v = 1 join spelled c on c.r = p.s and c.v = 0
+"""
+
+
+@query("op12_document_fingerprints", _op12_sql())
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.fingerprint import edited_fingerprints
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
