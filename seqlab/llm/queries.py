@@ -345,3 +345,49 @@ from pairs p join spelled a on a.r = p.r and a.v = 0 join spelled b on b.r = p.r
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlab.llm.fingerprint import edited_fingerprints
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql(percent: int = 5, least_words: int = 20, seed: int = 42, buckets: int = 10_000) -> str:
+    """crc32 byte by byte, whose table of 256 is an xor of the entries of the 8 bits; every distinct run once."""
+    entry = [0] * 8
+    for k in range(8):
+        c = 1 << k
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
+        entry[k] = c
+    mixed = "(c >> 8)"
+    for k, e in enumerate(entry):
+        mixed = f"xor({mixed}, ((xor(c, b) >> {k}) & 1) * {e})"
+    bytes_ = "list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda p: (16 * (strpos('0123456789ABCDEF', p[1]) - 1) + strpos('0123456789ABCDEF', p[2]) - 1)::bigint)"
+    return rf"""
+with texts as materialized (
+  select 'd' as kind, row_number() over () as r, doc_id, coalesce(regexp_extract_all({LOWER_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) as w from documents
+  union all select 'b', row_number() over (), null, coalesce(regexp_extract_all({LOWER_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) from benchmark),
+runs as (select kind, r, array_to_string(w[i:i + n - 1], ' ') as f
+         from (select kind, r, w, n, unnest(range(1, len(w) - n + 2)) as i from texts, (select unnest([1, 2, 3]) as n) where len(w) >= n)),
+counted as materialized (select kind, r, f, count(*) as n from runs group by all),
+hashed as materialized (
+  select f, xor(list_reduce(list_prepend(4294967295::bigint, {bytes_}), lambda c, b: {mixed}), 4294967295) % {buckets} as k
+  from (select distinct f from counted)),
+per as materialized (select kind, r, k, sum(n)::bigint as n from counted join hashed using (f) group by all),
+totals as (select k, coalesce(sum(n) filter (kind = 'd'), 0)::double as s, coalesce(sum(n) filter (kind = 'b'), 0)::double as t
+           from (select unnest(range({buckets})) as k) left join per using (k) group by k),
+whole as (select sum(s) + {buckets} as s, sum(t) + {buckets} as t from totals),
+gain as (select k, floor(1000 * ln((totals.t + 1) * whole.s / ((totals.s + 1) * whole.t)))::bigint as g from totals, whole),
+weights as (select r, sum(n * g)::bigint as weight from per join gain using (k) where kind = 'd' group by r),
+scored as (
+  select r, doc_id, len(w) as n, (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::bigint as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{seed}:' || doc_id)[1:8])::bigint::double + 0.5::double) / 4294967296::double)))::bigint as score
+  from texts left join weights using (r) where kind = 'd'),
+placed as (select r, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
+           from scored where n >= {least_words} and score is not null)
+select doc_id, n_features, weight, score, case when place <= {percent} * placed.n // 100 then place end as rank
+from scored left join placed using (r)
+"""
+
+
+@query("op13_importance_resampling", _op13_sql())
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlab.llm.resample import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42).select(
+        "doc_id", "n_features", "weight", "score", "rank")
