@@ -1,47 +1,45 @@
-"""Exact quantiles without holding a whole group in one task.
+"""Exact quantiles by radix selection, without holding a whole group in one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation
-buffer; with groups like "arm" that is a quarter of the data.  Here:
-
-1. equal values collapse to (group, value, count) with a partial aggregate;
-2. a histogram of ``BINS`` equal-width bins over the group's exact range gives,
-   by running sums over at most ``BINS`` rows, the bins that hold the
-   interpolation ranks; only their values go on;
-3. a second histogram narrows each of those bins in the same way;
-4. running sums inside a narrow bin give exact ranks.
-
-Bins are values computed from exact minima and maxima, so every branch of the
-plan agrees on them however Spark lays out or recomputes its partitions.  The
-result equals ``percentile`` / ``quantile_cont`` (linear interpolation between
-the order statistics at floor and ceil of (n - 1) q).  Null group keys form
-groups like any other.
+buffer; with groups like "arm" that is a quarter of the data.  Here the 64 bits
+of a double are read as an integer that orders as the doubles do, and the
+wanted ranks of all groups are found digit by digit (``DIGITS`` digits of 16
+bits):
+
+* a pass counts, for all groups and ranks together, the values under each digit
+  below the prefix found so far (one aggregate, combined before the shuffle, of
+  at most 65,536 counts for a prefix);
+* running sums over those counts give the digit that holds each rank.
+
+After the last digit the prefix is the value.  The number of passes is fixed;
+no pass depends on how values are distributed, and no task ever orders values.
+The narrow (group, value) table is written once and read once a pass, with the
+prefixes of the pass before joined on group and prefix.
+
+The result equals ``percentile`` / ``quantile_cont`` (linear interpolation between
+the order statistics at floor and ceil of (n - 1) q).  Null values are ignored,
+null group keys form groups like any other, and NaN orders above all numbers.
 """
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 2048
+from seqlab.session import written
+
+DIGITS, BITS = 4, 16
 
 
-def _any(conditions):
-    return reduce(lambda a, b: a | b, conditions)
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double (0.0 for -0.0) as a signed integer that orders as the doubles do."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits)
 
 
-def _narrow(x: DataFrame, keys: list[str], out: str, ranks) -> DataFrame:
-    """Keep the rows of ``x`` (keys, _v, _c, _off, _n) whose bin holds a rank; ``out`` is the bin."""
-    span = x.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bin_no = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
-    x = x.join(span, keys).withColumn(out, bin_no.cast("int")).drop("_lo", "_hi")
-    before = Window.partitionBy(*keys).orderBy(out).rowsBetween(Window.unboundedPreceding, -1)
-    bins = x.groupBy(*keys, out).agg(F.sum("_c").alias("_k"), F.first("_off").alias("_o"), F.first("_n").alias("_m"))
-    bins = bins.withColumn("_o", F.col("_o") + F.coalesce(F.sum("_k").over(before), F.lit(0)))
-    held = _any([(r(F.col("_m")) > F.col("_o")) & (r(F.col("_m")) <= F.col("_o") + F.col("_k")) for r in ranks])
-    bins = bins.filter(held).select(*keys, out, F.col("_o").alias("_off"))
-    return x.drop("_off").join(bins, [*keys, out])
+def _digit(bits: Column, place: int) -> Column:
+    """Digit ``place`` (0 is the highest, and signed) of ordered bits."""
+    shifted = F.shiftright(bits, BITS * (DIGITS - 1 - place))
+    return (shifted if place == 0 else shifted.bitwiseAND(F.lit((1 << BITS) - 1))).cast("int")
 
 
 def exact_quantiles(df: DataFrame, value: str, by: list[str], qs=(0.5,), names: list[str] | None = None,
@@ -52,31 +50,50 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], qs=(0.5,), names:
     # a struct compares its null fields as equal, so it is a null-safe join key
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
     x = df.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    x = x.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    x = x.join(x.groupBy("_g").agg(F.sum("_c").alias("_n")), "_g").withColumn("_off", F.lit(0).cast("long"))
-
-    def position(q):
-        return lambda n: (n - 1) * float(q) + 1
-
-    ranks = [f for q in qs for f in (lambda n, q=q: F.floor(position(q)(n)), lambda n, q=q: F.ceil(position(q)(n)))]
-    x = _narrow(x, ["_g"], "_b1", ranks)
-    x = _narrow(x, ["_g", "_b1"], "_b2", ranks)
-    run = Window.partitionBy("_g", "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_end", F.col("_off") + F.sum("_c").over(run)).withColumn("_start", F.col("_end") - F.col("_c") + 1)
-
-    def covers(r):
-        return (F.col("_start") <= r) & (r <= F.col("_end"))
-
-    hs = [position(q)(F.col("_n")) for q in qs]
-    x = x.filter(_any([covers(F.floor(h)) | covers(F.ceil(h)) for h in hs]))
-    aggs = []
-    for i, h in enumerate(hs):
-        aggs += [F.max(F.when(covers(F.floor(h)), F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(covers(F.ceil(h)), F.col("_v"))).alias(f"_hi{i}"),
-                 F.max(h).alias(f"_h{i}")]
-    aggs.append(F.max("_n").alias("_count"))
-    g = x.groupBy("_g").agg(*aggs)
-    out = [F.col(f"_lo{i}") + (F.col(f"_h{i}") - F.floor(f"_h{i}")) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-           for i in range(len(qs))]
-    extra = [F.col("_count").cast("long").alias(count_name)] if count_name else []
-    return g.select(*[F.col("_g")[b].alias(b) for b in by], *[c.alias(n) for c, n in zip(out, names)], *extra)
+    x = x.withColumn("_v", F.when(F.col("_v") == 0, F.lit(0.0)).otherwise(F.col("_v")))
+    x = written(x.withColumn("_bits", ordered_bits(F.col("_v"))), "quantile-values")
+
+    def position(q, n):
+        return (n - 1) * float(q) + 1
+
+    prefix: list[str] = []
+    found = None  # the prefixes that hold ranks: _g, digits, values before the prefix, values of the group, ranks
+    for place in range(DIGITS):
+        keys, digit = ["_g", *prefix], f"_d{place}"
+        rows = x.withColumns({f"_d{k}": _digit(F.col("_bits"), k) for k in range(place + 1)})
+        counts = [F.count(F.lit(1)).alias("_c")]
+        if found is not None:
+            rows = rows.join(found, keys)
+            counts += [F.first(c).alias(c) for c in ("_before", "_n", "_ranks")]
+        if place == DIGITS - 1:
+            counts.append(F.first("_v").alias("_value"))  # a full prefix is one value
+        bins = rows.groupBy(*keys, digit).agg(*counts)
+        whole = Window.partitionBy(*keys)
+        below = whole.orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_c").over(below), F.lit(0))
+        if found is None:
+            n = F.sum("_c").over(whole)
+            bins = bins.select("*", before.alias("_before"), n.alias("_n"))
+            ranks = F.array_distinct(F.array(*[f(position(q, F.col("_n"))) for q in qs for f in (F.floor, F.ceil)]))
+            bins = bins.withColumn("_ranks", ranks)
+        else:
+            bins = bins.withColumn("_before", F.col("_before") + before)
+        bins = bins.withColumn("_ranks", F.filter(
+            "_ranks", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_c")))).filter(F.size("_ranks") > 0)
+        prefix.append(digit)
+        found = bins.drop("_c")
+
+    at = found.select("_g", "_n", "_value", F.explode("_ranks").alias("_rank"))
+    picked = []
+    for i, q in enumerate(qs):
+        h = position(q, F.col("_n"))
+        picked += [F.max(F.when(F.col("_rank") == F.floor(h), F.col("_value"))).alias(f"_lo{i}"),
+                   F.max(F.when(F.col("_rank") == F.ceil(h), F.col("_value"))).alias(f"_hi{i}")]
+    g = at.groupBy("_g", "_n").agg(*picked)
+    out = []
+    for i, (q, name) in enumerate(zip(qs, names)):
+        h = position(q, F.col("_n"))
+        share, lo, hi = h - F.floor(h), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append(F.when(share == 0, lo).otherwise(lo + share * (hi - lo)).alias(name))
+    extra = [F.col("_n").cast("long").alias(count_name)] if count_name else []
+    return g.select(*[F.col("_g")[b].alias(b) for b in by], *out, *extra)

@@ -28,6 +28,39 @@ def _fin(rows: str, digits: int = 6) -> str:
             f"dfree FROM ({rows}))")
 
 
+def beta_sql(name: str, src: str, select: str, steps: int = 100) -> str:
+    """``select`` with a table ``name`` (id, p) beside it: p is the regularised incomplete beta function of the rows
+    (id, a, b, x, rest = 1 - x) of ``src``, by its continued fraction in the form of the three-term recurrence of convergents."""
+    register(f"{name}_i", f"""{name}_i AS (
+  SELECT id, swap, CASE WHEN swap THEN b ELSE a END AS a, CASE WHEN swap THEN a ELSE b END AS b, CASE WHEN swap THEN rest ELSE x END AS x,
+         exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(rest)) AS front
+  FROM (SELECT id, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(x AS DOUBLE) AS x, CAST(rest AS DOUBLE) AS rest,
+               x >= (a + 1) / (a + b + 2) AS swap FROM ({src})) WHERE x > 0 AND rest > 0)""")
+    # A_n / B_n -> 1 / (1 + d1 / (1 + d2 / ...)); rescaled every step
+    register(f"{name}_r", f"""{name}_r AS (
+  SELECT id, swap, a, b, x, front, 0 AS n, CAST(0 AS DOUBLE) AS a0, CAST(1 AS DOUBLE) AS a1, CAST(1 AS DOUBLE) AS b0, CAST(1 AS DOUBLE) AS b1 FROM {name}_i
+  UNION ALL
+  SELECT id, swap, a, b, x, front, n + 1, a1 / s, (a1 + d * a0) / s, b1 / s, (b1 + d * b0) / s FROM (
+    SELECT *, b1 + d * b0 AS s FROM (
+      SELECT *, CASE WHEN (n + 1) % 2 = 1 THEN -(a + n // 2) * (a + b + n // 2) * x / ((a + n) * (a + n + 1))
+                     ELSE ((n + 1) // 2) * (b - (n + 1) // 2) * x / ((a + n) * (a + n + 1)) END AS d FROM {name}_r WHERE n < {2 * steps})))""")
+    register(name, f"""{name} AS (
+  SELECT id, CASE WHEN swap THEN 1 - front * a1 / b1 / a ELSE front * a1 / b1 / a END AS p FROM {name}_r WHERE n = {2 * steps}
+  UNION ALL SELECT id, CASE WHEN x <= 0 THEN 0 ELSE 1 END FROM ({src}) WHERE x <= 0 OR rest <= 0)""")
+    return with_ctes(select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def did_p_sql(name: str, source: str) -> str:
+    """The DiD table of ``did_sql(source, ...)`` with p-values."""
+    rows = did_rows(source)
+    register(f"{name}_t", f"""{name}_t AS (SELECT *, CASE WHEN se > 0 THEN coef / se END AS t FROM (
+    SELECT term, coef, sqrt(CASE WHEN dfree > 0 THEN rss / dfree END * vf) AS se, dfree FROM ({rows})))""")
+    return beta_sql(f"{name}_b", f"SELECT term AS id, dfree / 2 AS a, 0.5 AS b, dfree / (dfree + t * t) AS x, t * t / (dfree + t * t) AS rest "
+                                 f"FROM {name}_t WHERE t IS NOT NULL AND dfree > 0",
+                    f"SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 6) AS t, CAST(dfree AS BIGINT) AS df, round(p, 6) AS p "
+                    f"FROM {name}_t LEFT JOIN {name}_b ON id = term")
+
+
 def did_sql(name: str, obs: str, base: str) -> str:
     """Saturated DiD in SQL; ``obs`` yields (arm, t, y); ``base`` is the baseline label."""
     register(f"{name}_o", f"{name}_o AS ({obs})")
@@ -40,14 +73,18 @@ def did_sql(name: str, obs: str, base: str) -> str:
                AVG(y) FILTER (WHERE t = 0) AS m0, AVG(y) FILTER (WHERE t = 1) AS m1,
                var_pop(y) FILTER (WHERE t = 0) AS v0, var_pop(y) FILTER (WHERE t = 1) AS v1
         FROM {name}_o GROUP BY arm))""")
+    return with_ctes(_fin(did_rows(name)))
+
+
+def did_rows(name: str) -> str:
+    """The terms of a registered DiD."""
     c = f"{name}_c"
     lab = "CAST(arm AS VARCHAR)"
-    rows = f"""SELECT 'Intercept' AS term, m0 AS coef, 1.0 / NULLIF(n0, 0) AS vf, rss, dfree FROM {c} WHERE isb
+    return f"""SELECT 'Intercept' AS term, m0 AS coef, 1.0 / NULLIF(n0, 0) AS vf, rss, dfree FROM {c} WHERE isb
   UNION ALL SELECT 'time_binary', m1 - m0, 1.0 / NULLIF(n0, 0) + 1.0 / NULLIF(n1, 0), rss, dfree FROM {c} WHERE isb
   UNION ALL SELECT 'arm[' || {lab} || ']', m0 - b_m0, 1.0 / NULLIF(n0, 0) + 1.0 / NULLIF(b_n0, 0), rss, dfree FROM {c} WHERE NOT isb
   UNION ALL SELECT 'time_binary:arm[' || {lab} || ']', (m1 - m0) - (b_m1 - b_m0),
     1.0 / NULLIF(n0, 0) + 1.0 / NULLIF(n1, 0) + 1.0 / NULLIF(b_n0, 0) + 1.0 / NULLIF(b_n1, 0), rss, dfree FROM {c} WHERE NOT isb"""
-    return with_ctes(_fin(rows))
 
 
 def contrast_sql(name: str, obs: str, base: str) -> str:
@@ -75,10 +112,15 @@ def _within_sql(src: str, group: str) -> str:
 def _pooled_sql(name: str, inner: str) -> None:
     sums = ", ".join(f"SUM({x}) OVER () AS P{x[1:]}" for x in ("s11", "s22", "s12", "s1y", "s2y", "syy"))
     register(f"{name}_p0", f"{name}_p0 AS (SELECT *, {sums}, SUM(n) OVER () AS NN, COUNT(*) OVER () AS GG FROM ({inner}))")
-    det = "NULLIF(P11 * P22 - P12 * P12, 0)"
-    register(f"{name}_p1", f"""{name}_p1 AS (SELECT *, P22 / {det} AS i11, P11 / {det} AS i22, -P12 / {det} AS i12
-    FROM {name}_p0)""")
-    register(f"{name}_p", f"""{name}_p AS (SELECT *, Pyy - b1 * P1y - b2 * P2y AS rss FROM (
+    # a regressor that those before it determine is left out
+    register(f"{name}_p0r", f"""{name}_p0r AS (SELECT *, e > 1e-10 * P22 AS ok2 FROM (
+    SELECT *, P11 > 0 AS ok1, P22 - CASE WHEN P11 > 0 THEN P12 * P12 / P11 ELSE 0 END AS e FROM {name}_p0))""")
+    register(f"{name}_p1", f"""{name}_p1 AS (SELECT *, CAST(ok1 AS INTEGER) + CAST(ok2 AS INTEGER) AS rnk,
+    CASE WHEN ok1 THEN 1 / P11 + CASE WHEN ok2 THEN P12 * P12 / P11 / P11 / e ELSE 0 END ELSE 0 END AS i11,
+    CASE WHEN ok2 THEN 1 / e ELSE 0 END AS i22, CASE WHEN ok1 AND ok2 THEN -P12 / P11 / e ELSE 0 END AS i12 FROM {name}_p0r)""")
+    register(f"{name}_p", f"""{name}_p AS (SELECT *, greatest(Pyy - b1 * P1y - b2 * P2y, 0) AS rss,
+    CASE WHEN ok1 THEN b1 END AS c1, CASE WHEN ok2 THEN b2 END AS c2,
+    CASE WHEN ok1 THEN i11 END AS vf1, CASE WHEN ok2 THEN i22 END AS vf2 FROM (
     SELECT *, i11 * P1y + i12 * P2y AS b1, i12 * P1y + i22 * P2y AS b2 FROM {name}_p1))""")
 
 
@@ -88,13 +130,13 @@ def adjusted_sql(name: str, obs: str, base: str, x1: str, x2: str) -> str:
     _pooled_sql(name, _within_sql(f"{name}_o", "arm"))
     register(f"{name}_a", f"""{name}_a AS (SELECT *, MAX(CASE WHEN isb THEN n END) OVER () AS b_n,
     MAX(CASE WHEN isb THEN a END) OVER () AS b_a, MAX(CASE WHEN isb THEN m1 END) OVER () AS b_m1,
-    MAX(CASE WHEN isb THEN m2 END) OVER () AS b_m2, NN - GG - 2 AS dfree FROM (
+    MAX(CASE WHEN isb THEN m2 END) OVER () AS b_m2, NN - GG - rnk AS dfree FROM (
     SELECT *, my - b1 * m1 - b2 * m2 AS a, CAST(g AS VARCHAR) = '{base}' AS isb FROM {name}_p))""")
     a = f"{name}_a"
     q = "(i11 * {u} * {u} + 2 * i12 * {u} * {v} + i22 * {v} * {v})"
     rows = f"""SELECT 'Intercept' AS term, a AS coef, 1.0 / n + {q.format(u='m1', v='m2')} AS vf, rss, dfree FROM {a} WHERE isb
-  UNION ALL SELECT '{x1}', b1, i11, rss, dfree FROM {a} WHERE isb
-  UNION ALL SELECT '{x2}', b2, i22, rss, dfree FROM {a} WHERE isb
+  UNION ALL SELECT '{x1}', c1, vf1, rss, dfree FROM {a} WHERE isb
+  UNION ALL SELECT '{x2}', c2, vf2, rss, dfree FROM {a} WHERE isb
   UNION ALL SELECT 'arm[' || CAST(g AS VARCHAR) || ']', a - b_a,
     1.0 / n + 1.0 / b_n + {q.format(u='(m1 - b_m1)', v='(m2 - b_m2)')}, rss, dfree FROM {a} WHERE NOT isb"""
     return with_ctes(_fin(rows))
@@ -170,7 +212,7 @@ FROM (SELECT SUM(n) AS N, SUM(s) AS sy, SUM(ss) AS syy, SUM(ss - s * s / n) AS r
 def did_fit_stats(spark, root):
     """I-11: N, residual df, R2, adjusted R2 and F of the questions 1-10 DiD model."""
     obs = I.did_observations(_valid_no0(spark, root), 1, 10)
-    return rounded(I.fit_stats(obs), ("r2", "adj_r2", "f_stat"))
+    return rounded(I.fit_stats(obs).select("n_obs", "df_resid", "r2", "adj_r2", "f_stat"), ("r2", "adj_r2", "f_stat"))
 
 
 def _position_obs(long, pos: int):
@@ -333,15 +375,21 @@ def fe_rows(spark, root, log: bool = True):
                     (F.col("difficulty_level") == 3).cast("double").alias("x2"))
 
 
+def named_levels(out, xs, levels):
+    """The dummy columns' names as ``difficulty[level]``."""
+    names = F.create_map(*[c for x, v in zip(xs, levels) for c in (F.lit(x), F.lit(f"difficulty[{v}]"))])
+    return out.withColumn("term", names[F.col("term")])
+
+
 @query("log_gap_section_fe", with_ctes("SELECT * FROM (" + _fin(
-    "SELECT 'difficulty[2]' AS term, b1 AS coef, i11 AS vf, rss, NN - GG - 2 AS dfree FROM (SELECT * FROM fe1_p LIMIT 1) "
-    "UNION ALL SELECT 'difficulty[3]', b2, i22, rss, NN - GG - 2 FROM (SELECT * FROM fe1_p LIMIT 1)") + ")"))
+    "SELECT 'difficulty[2]' AS term, c1 AS coef, vf1 AS vf, rss, NN - GG - rnk AS dfree FROM (SELECT * FROM fe1_p LIMIT 1) "
+    "UNION ALL SELECT 'difficulty[3]', c2, vf2, rss, NN - GG - rnk FROM (SELECT * FROM fe1_p LIMIT 1)") + ")"))
 def log_gap_section_fe(spark, root):
     """I-07: ln(gap) ~ C(difficulty, ref 1) + C(section): slopes by exact
     within-section demeaning (section effects absorbed)."""
-    out = I.within_two_regressors(fe_rows(spark, root), "section_id", "y", "x1", "x2")
-    out = out.withColumn("term", F.when(F.col("term") == "x1", "difficulty[2]").otherwise("difficulty[3]"))
-    return rounded(out)
+    rows, xs, levels = I.level_dummies(fe_rows(spark, root), "difficulty_level", 1)
+    out = I.within_regressors(rows, "section_id", "y", xs)
+    return rounded(named_levels(out, xs, levels))
 
 
 contrast_sql("lenmin_all", "SELECT experiment_mode AS arm, total_length / 60 AS y FROM len_sess WHERE experiment_mode <> -1", "0")
@@ -355,16 +403,52 @@ def length_contrast_uncapped(spark, root):
     return _length_contrast(spark, root, None)
 
 
-# --- iterative models: no SQL oracle (rows-only check); exactness is covered in tests/ ----------
+# --- several fixed effects -----------------------------------------------------------------------
 
-@query("gap_twoway_fe")
+# The derived log has two sections: users are demeaned exactly, and the second section's dummy is partialled out.
+register("fe_gap", """fe_gap AS (
+  SELECT section_id, user_id, CAST(time_diff AS DOUBLE) AS y, CAST(difficulty_level = 2 AS DOUBLE) AS x1,
+         CAST(difficulty_level = 3 AS DOUBLE) AS x2, CAST(section_id = 1 AS DOUBLE) AS d
+  FROM in_sessions WHERE time_diff <= 1800 AND time_diff <> 0 AND time_diff IS NOT NULL
+    AND difficulty_level IS NOT NULL AND section_id IS NOT NULL)""")
+register("fe_gap_u", """fe_gap_u AS (
+  SELECT section_id, user_id, y AS y0, y - AVG(y) OVER w AS y, x1 - AVG(x1) OVER w AS x1, x2 - AVG(x2) OVER w AS x2, d - AVG(d) OVER w AS d
+  FROM fe_gap WINDOW w AS (PARTITION BY user_id))""")
+register("fe_gap_d", """fe_gap_d AS (
+  SELECT COALESCE(SUM(d * y) / NULLIF(SUM(d * d), 0), 0) AS by_, COALESCE(SUM(d * x1) / NULLIF(SUM(d * d), 0), 0) AS bx1,
+         COALESCE(SUM(d * x2) / NULLIF(SUM(d * d), 0), 0) AS bx2, COUNT(DISTINCT section_id) AS l1, COUNT(DISTINCT user_id) AS l2,
+         CASE WHEN SUM(d * d) > 1e-9 OR COUNT(DISTINCT section_id) = 1 THEN 1 ELSE 2 END AS parts, var_pop(y0) * COUNT(*) AS tss FROM fe_gap_u)""")
+register("fe_gap_s", """fe_gap_s AS (
+  SELECT section_id, y - by_ * d AS y, x1 - bx1 * d AS x1, x2 - bx2 * d AS x2 FROM fe_gap_u, fe_gap_d)""")
+_pooled_sql("fe2", """SELECT COUNT(*) AS n, SUM(x1 * x1) AS s11, SUM(x2 * x2) AS s22, SUM(x1 * x2) AS s12, SUM(x1 * y) AS s1y,
+  SUM(x2 * y) AS s2y, SUM(y * y) AS syy FROM fe_gap_s""")
+register("fe_gap_m", """fe_gap_m AS (
+  SELECT COUNT(*) AS g, SUM(g1 * g1) AS m11, SUM(g1 * g2) AS m12, SUM(g2 * g2) AS m22 FROM (
+    SELECT section_id, SUM(x1 * (y - b1 * x1 - b2 * x2)) AS g1, SUM(x2 * (y - b1 * x1 - b2 * x2)) AS g2
+    FROM fe_gap_s, fe2_p GROUP BY section_id))""")
+register("fe_gap_t", """fe_gap_t AS (
+  SELECT *, coef / NULLIF(se, 0) AS t, coef / NULLIF(sec, 0) AS tc FROM (
+    SELECT term, coef, sqrt(rss / NULLIF(dfree, 0) * vf) AS se, dfree, sqrt(vc * g / NULLIF(g - 1, 0) * (NN - 1) / (NN - rnk - l2)) AS sec, g, NN,
+           1 - rss / tss AS r2, 1 - rss / Pyy AS r2w
+    FROM (SELECT 'difficulty[2]' AS term, c1 AS coef, vf1 AS vf, i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22 AS vc,
+                 rss, NN - rnk - (l1 + l2 - parts) AS dfree, g, NN, rnk, l2, tss, Pyy FROM fe2_p, fe_gap_m, fe_gap_d
+          UNION ALL SELECT 'difficulty[3]', c2, vf2, i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22,
+                 rss, NN - rnk - (l1 + l2 - parts), g, NN, rnk, l2, tss, Pyy FROM fe2_p, fe_gap_m, fe_gap_d)))""")
+_FE_COLS = ("coef", "se", "t", "p", "se_cluster", "t_cluster", "p_cluster", "r2", "r2_within")
+
+
+@query("gap_twoway_fe", beta_sql("fe_gap_b", """SELECT term || '/iid' AS id, dfree / 2 AS a, 0.5 AS b, dfree / (dfree + t * t) AS x, t * t / (dfree + t * t) AS rest
+    FROM fe_gap_t WHERE t IS NOT NULL AND dfree > 0
+  UNION ALL SELECT term || '/cluster', (g - 1) / 2, 0.5, (g - 1) / (g - 1 + tc * tc), tc * tc / (g - 1 + tc * tc) FROM fe_gap_t WHERE tc IS NOT NULL""",
+    """SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 6) AS t, CAST(dfree AS BIGINT) AS df, round(i.p, 6) AS p,
+  round(sec, 6) AS se_cluster, round(tc, 6) AS t_cluster, round(c.p, 6) AS p_cluster, g AS n_clusters, CAST(NN AS BIGINT) AS n_obs,
+  round(r2, 6) AS r2, round(r2w, 6) AS r2_within
+FROM fe_gap_t LEFT JOIN fe_gap_b i ON i.id = term || '/iid' LEFT JOIN fe_gap_b c ON c.id = term || '/cluster'"""))
 def gap_twoway_fe(spark, root):
-    """I-08: gap ~ difficulty | section + user, alternating projections to 1e-8."""
+    """I-08: gap ~ difficulty | section + user, with iid errors and errors clustered by section."""
     from seqlab.operators.fixed_effects import twoway_fe
-    rows = fe_rows(spark, root, log=False)
-    out = twoway_fe(rows, "y", "x1", "x2", "section_id", "user_id")
-    out = out.withColumn("term", F.when(F.col("term") == "x1", "difficulty[2]").otherwise("difficulty[3]"))
-    return rounded(out)
+    rows, xs, levels = I.level_dummies(fe_rows(spark, root, log=False), "difficulty_level", 1)
+    return rounded(named_levels(twoway_fe(rows, "y", xs, "section_id", "user_id"), xs, levels), _FE_COLS)
 
 
 @query("correct_fe_logit")
@@ -372,17 +456,15 @@ def correct_fe_logit(spark, root):
     """I-09: is_correct ~ gap | difficulty + section + user (logit, separated levels dropped)."""
     from seqlab.operators.fixed_effects import fe_logit
     rows = fe_rows(spark, root, log=False)
-    return rounded(fe_logit(rows, "is_correct", "time_diff", ["difficulty_level", "section_id", "user_id"]),
-                   ("coef",))
+    out = fe_logit(rows, "is_correct", "time_diff", ["difficulty_level", "section_id", "user_id"])
+    return rounded(out, ("coef", "se", "z", "p", "se_cluster", "z_cluster", "p_cluster", "deviance")).drop("iterations")
 
 
-@query("did_pvalues")
+@query("did_pvalues", did_p_sql("did110p", "did110"))
 def did_pvalues(spark, root):
     """I-11: the questions 1-10 DiD table with two-sided p-values."""
-    from seqlab.functions.distributions import p_value
     obs = I.did_observations(_valid_no0(spark, root), 1, 10)
-    d = I.did(obs, PL.P.baseline_arm)
-    return rounded(d.withColumn("p", p_value("t", "df")), ("coef", "se", "t", "p"))
+    return rounded(I.with_p(I.did(obs, PL.P.baseline_arm)), ("coef", "se", "t", "p"))
 
 
 register("mf", f"""mf AS (SELECT experiment_mode, total_length / 60 AS minutes, CAST(q_number AS DOUBLE) AS q_number

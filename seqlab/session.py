@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "seqlab") -> SparkSession:
@@ -46,3 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: later passes read it
+    pruned instead of computing it again, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/seqlab-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -70,7 +70,7 @@ def test_within_fe_equals_dummies(spark, data):
     arm, _, y, x1, x2 = data
     rows = spark.createDataFrame([(int(a), float(c), float(d), float(e)) for a, c, d, e in zip(arm, y, x1, x2)],
                                  "g int, y double, x1 double, x2 double")
-    got = {r["term"]: r for r in I.within_two_regressors(rows, "g", "y", "x1", "x2").collect()}
+    got = {r["term"]: r for r in I.within_regressors(rows, "g", "y", ["x1", "x2"]).collect()}
     X = np.column_stack([x1, x2, (arm == 1), (arm == 2), (arm == 3)]).astype(float)
     beta, se, dfree = ols(X, y)
     assert got["x1"]["coef"] == pytest.approx(beta[0], abs=1e-9)
@@ -78,71 +78,138 @@ def test_within_fe_equals_dummies(spark, data):
     assert got["x1"]["df"] == dfree
 
 
-def test_twoway_fe_equals_dummies(spark):
-    from seqlab.operators.fixed_effects import twoway_fe
-    rng = np.random.default_rng(3)
-    n = 300
-    s = rng.integers(0, 4, n)
-    u = rng.integers(0, 15, n)
-    x1 = rng.integers(0, 2, n).astype(float)
-    x2 = ((1 - x1) * (rng.random(n) < 0.5)).astype(float)
-    y = 2 * x1 - x2 + 0.3 * s + 0.1 * u + rng.normal(size=n)
-    df = spark.createDataFrame([(int(a), int(b), float(c), float(d), float(e)) for a, b, c, d, e in zip(s, u, y, x1, x2)],
-                               "s int, u int, y double, x1 double, x2 double")
-    got = {r["term"]: r for r in twoway_fe(df, "y", "x1", "x2", "s", "u", tol=1e-10).collect()}
-    D = np.column_stack([x1, x2] + [(s == k) for k in range(4)] + [(u == k) for k in range(1, 15)]).astype(float)
-    beta, se, dfree = ols(D, y)
-    assert got["x1"]["coef"] == pytest.approx(beta[0], abs=1e-6)
-    assert got["x2"]["coef"] == pytest.approx(beta[1], abs=1e-6)
-    assert got["x1"]["se"] == pytest.approx(se[0], rel=1e-5)
-    assert got["x1"]["df"] == dfree and got["x1"]["converged"]
-
-
 def test_median_contrast(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (1, 10.0), (2, 5.0)], "experiment_mode int, v double")
     got = {r["term"]: r["coef"] for r in I.median_contrast(df, 1, "v").collect()}
     assert got == {"Intercept": 2.5, "arm[2]": 2.5}
 
 
-def test_t_pvalue():
-    from seqlab.functions.distributions import t_two_sided_p
-    assert t_two_sided_p(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
-    assert t_two_sided_p(0.0, 5) == pytest.approx(1.0)
-    assert t_two_sided_p(1.959963985, 1e7) == pytest.approx(0.05, abs=1e-6)
-
-
-def test_fe_logit_drops_separated_levels(spark):
-    from seqlab.operators.fixed_effects import fe_logit
-    rng = np.random.default_rng(5)
-    rows = []
-    for u in range(12):
-        for _ in range(30):
-            g = float(rng.exponential(30))
-            yv = int(rng.random() < 1 / (1 + np.exp(-(0.5 - 0.02 * g)))) if u else 1  # user 0: all ones
-            rows.append((yv, g, int(rng.integers(1, 4)), int(rng.integers(0, 2)), u))
-    df = spark.createDataFrame(rows, "y int, g double, d int, s int, u int")
-    out = fe_logit(df, "y", "g", ["d", "s", "u"]).first()
-    assert out["n_removed"] >= 30 and out["coef"] < 0
-
-
-def test_separated_levels_are_dropped_to_the_fixed_point(spark):
-    """A chain in which every removed level separates the next one: nothing of it may stay."""
-    from seqlab.operators.fixed_effects import drop_separated
-    rows = []
-    for i in range(36):  # user i holds a 0 of section i and a 1 of section i + 1; the first section has only zeros
-        rows += [(f"s{i}", f"u{i}", 0), (f"s{i + 1}", f"u{i}", 1)]
-    rows += [("a", "v", 0), ("a", "v", 1), ("a", "w", 1), ("a", "w", 0)]
-    df = spark.createDataFrame(rows, "section string, user string, y int")
-    left, removed = drop_separated(df, "y", ["section", "user"])
-    assert removed == 72 and {r["section"] for r in left.collect()} == {"a"}
-
-
-def test_unfinished_iterations_are_errors(spark):
-    import pytest
-    from seqlab.operators.fixed_effects import level_index, twoway_fe
-    rows = [(i % 3, (i * i) % 4, float(i % 5), float(i % 2), float(i % 7)) for i in range(60)]
-    df = spark.createDataFrame(rows, "s int, u int, y double, x1 double, x2 double")
-    with pytest.raises(RuntimeError):
-        twoway_fe(df, "y", "x1", "x2", "s", "u", tol=0.0, max_rounds=2)
-    ids = sorted(r["i"] for r in level_index(df, "y", "i").collect())
-    assert ids == list(range(5))
+@pytest.fixture(scope="module")
+def wide():
+    """Three arms and four regressors, the last one a combination of two others."""
+    rng = np.random.default_rng(11)
+    n = 300
+    arm = rng.choice([1, 2, 3], n)
+    x = np.column_stack([rng.normal(100, 1, n), rng.integers(0, 2, n), rng.exponential(1, n)])
+    x = np.column_stack([x, x[:, 0] - 2 * x[:, 2]])
+    y = 0.3 * arm + x @ [0.5, -1, 2, 0] + rng.normal(size=n)
+    return arm, x, y
+
+
+def _wide_rows(spark, wide):
+    arm, x, y = wide
+    return spark.createDataFrame([(int(a), float(c), *map(float, r)) for a, c, r in zip(arm, y, x)],
+                                 "experiment_mode int, y double, x1 double, x2 double, x3 double, x4 double")
+
+
+def test_adjusted_contrast_with_many_regressors_equals_ols(spark, wide):
+    arm, x, y = wide
+    got = {r["term"]: r for r in I.adjusted_contrast(_wide_rows(spark, wide), 1, "y", "x1", "x2", "x3", "x4").collect()}
+    X = np.column_stack([np.ones_like(y), (arm == 2), (arm == 3), x[:, :3]]).astype(float)
+    beta, se, dfree = ols(X, y)
+    for k, nm in enumerate(["Intercept", "arm[2]", "arm[3]", "x1", "x2", "x3"]):
+        assert got[nm]["coef"] == pytest.approx(beta[k], abs=1e-7)
+        assert got[nm]["se"] == pytest.approx(se[k], rel=1e-6)
+        assert got[nm]["df"] == dfree
+    assert got["x4"]["coef"] is None and got["x4"]["se"] is None  # a combination of the others is left out
+
+
+def test_within_regressors_of_a_four_level_factor_equal_dummies(spark):
+    rng = np.random.default_rng(4)
+    n = 400
+    level, group = rng.integers(1, 5, n), rng.integers(0, 6, n)
+    y = 0.4 * level * (level - 2) + group + rng.normal(size=n)
+    rows = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(level, group, y)] + [(None, 0, 1.0)], "level int, g int, y double")
+    rows, xs, levels = I.level_dummies(rows, "level", 1)
+    assert levels == [2, 3, 4]
+    got = {r["term"]: r for r in I.within_regressors(rows, "g", "y", xs).collect()}
+    X = np.column_stack([(level == v) for v in (2, 3, 4)] + [(group == v) for v in range(6)]).astype(float)
+    beta, se, dfree = ols(X, y)
+    for k, nm in enumerate(xs):
+        assert got[nm]["coef"] == pytest.approx(beta[k], abs=1e-9)
+        assert got[nm]["se"] == pytest.approx(se[k], rel=1e-8) and got[nm]["df"] == dfree
+
+
+def test_too_many_regressors_are_an_error(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(40)], "level int, y double")
+    with pytest.raises(ValueError):
+        I.level_dummies(df, "level", 1)
+
+
+def test_summaries_equal_ols(spark, wide, data):
+    arm, x, y = wide
+    X = np.column_stack([np.ones_like(y), (arm == 2), (arm == 3), x[:, :3]]).astype(float)
+    beta, _, dfree = ols(X, y)
+    rss, tss, n, p = ((y - X @ beta) ** 2).sum(), ((y - y.mean()) ** 2).sum(), len(y), X.shape[1]
+    got = I.adjusted_fit_stats(_wide_rows(spark, wide), "y", "x1", "x2", "x3", "x4").first()
+    ll = -n / 2 * (np.log(2 * np.pi * rss / n) + 1)
+    f = (tss - rss) / (p - 1) / (rss / dfree)
+    want = {"n_obs": n, "df_model": p - 1, "df_resid": dfree, "r2": 1 - rss / tss, "adj_r2": 1 - rss / tss * (n - 1) / dfree, "f_stat": f,
+            "log_likelihood": ll, "aic": 2 * p - 2 * ll, "bic": p * np.log(n) - 2 * ll}
+    for name, v in want.items():
+        assert got[name] == pytest.approx(v, rel=1e-7), name
+    arm, t, y, _, _ = data
+    obs = spark.createDataFrame([(m, int(a), int(b), float(c) + m) for m in (0, 5) for a, b, c in zip(arm, t, y)],
+                                "model int, experiment_mode int, time_binary int, y double")
+    X = np.column_stack([np.ones_like(y), t, arm == 2, arm == 3, t * (arm == 2), t * (arm == 3)]).astype(float)
+    beta, _, dfree = ols(X, y)
+    rss, tss = ((y - X @ beta) ** 2).sum(), ((y - y.mean()) ** 2).sum()
+    for r in I.fit_stats(obs, by=["model"]).collect():
+        assert r["r2"] == pytest.approx(1 - rss / tss) and r["df_resid"] == dfree
+        assert r["f_stat"] == pytest.approx((tss - rss) / 5 / (rss / dfree))
+
+
+def test_models_side_by_side_equal_single_ones(spark, data):
+    arm, t, y, _, _ = data
+    obs = spark.createDataFrame([(m, int(a), int(b), float(c) * (m + 1)) for m in (0, 1) for a, b, c in zip(arm, t, y)],
+                                "pair int, experiment_mode int, time_binary int, y double")
+    both = I.did(obs, 1, by=["pair"]).collect()
+    for m in (0, 1):
+        alone = sorted(I.did(obs.filter(f"pair = {m}").drop("pair"), 1).collect())
+        for r, one in zip(sorted(tuple(r)[1:] for r in both if r["pair"] == m), alone, strict=True):
+            assert r[0] == one[0] and r[1:] == pytest.approx(tuple(one)[1:], rel=1e-12)
+
+
+def test_median_regression_errors_equal_the_published_formulas(spark):
+    """Against a direct computation of the kernel estimate with Hall and Sheather's bandwidth."""
+    from statistics import NormalDist
+    rng = np.random.default_rng(2)
+    rows = [(o, int(a), float(rng.exponential(10 + 3 * a)) if o == "e" else float(rng.integers(0, 9))) for o in "ei" for a in rng.choice([1, 2, 3], 151)]
+    df = spark.createDataFrame(rows + [("e", 1, None)], "outcome string, experiment_mode int, v double")
+    got = {(r["outcome"], r["term"]): r for r in I.median_regression(df, 1, "v", by=["outcome"]).collect()}
+    assert len(got) == 6
+    for o in "ei":
+        arm, y = (np.array([r[k] for r in rows if r[0] == o]) for k in (1, 2))
+        med = {a: np.median(y[arm == a]) for a in (1, 2, 3)}
+        e = y - np.array([med[a] for a in arm])
+        n, nd = len(y), NormalDist()
+        h = n ** (-1 / 3) * nd.inv_cdf(0.975) ** (2 / 3) * (1.5 * nd.pdf(0) ** 2) ** (1 / 3)
+        iqr = np.quantile(e, 0.75) - np.quantile(e, 0.25)
+        width = min(y.std(), iqr / 1.34) * (nd.inv_cdf(0.5 + h) - nd.inv_cdf(0.5 - h))
+        u = e / width
+        f = np.where(np.abs(u) <= 1, 0.75 * (1 - u * u), 0).sum() / (n * width)
+        for a in (1, 2, 3):
+            r = got[(o, "Intercept" if a == 1 else f"arm[{a}]")]
+            var = 1 / (arm == a).sum() + (1 / (arm == 1).sum() if a > 1 else 0)
+            assert r["coef"] == pytest.approx(med[a] - (med[1] if a > 1 else 0))
+            assert r["se"] == pytest.approx(0.5 / f * np.sqrt(var), rel=1e-9) and r["df"] == n - 3
+            assert 0 <= r["p"] <= 1
+
+
+def test_probabilities(spark):
+    import math
+    from seqlab.functions import distributions as D
+    rows = [(2.228138852, 10.0), (0.0, 5.0), (1.959963985, 1e7), (-2.0, 1e12), (1.0, 1.0), (None, 3.0), (1.0, 0.0)]
+    got = [r.p for r in spark.createDataFrame(rows, "t double, df double").select(D.p_value("t", "df").alias("p")).collect()]
+    want = [0.05, 1.0, 0.05, math.erfc(2 / math.sqrt(2)), 0.5]
+    assert got[:5] == pytest.approx(want, abs=1e-7) and got[5:] == [None, None]
+    f = spark.createDataFrame([(4.964602744, 1.0, 10.0), (3.0, 2.0, 8.0), (0.0, 3.0, 9.0), (1e4, 2.0, 50.0)], "f double, a double, b double")
+    got = [r.p for r in f.select(D.f_p_value("f", "a", "b").alias("p")).collect()]
+    # with two degrees of freedom above, the tail is (1 + 2 f / b) ** (-b / 2)
+    assert got == pytest.approx([0.05, (1 + 6 / 8) ** -4, 1.0, (1 + 2e4 / 50) ** -25], abs=1e-8)
+    z = [0.0, 0.5, 2.99, 3.01, 8.0, -1.959963985]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in z], "z double").select(D.z_p_value("z").alias("p")).collect()]
+    assert got == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in z], rel=1e-10, abs=1e-15)
+    h = [0.0, 0.1, 0.4, 0.49, 0.4999, 0.5]
+    got = [r.z for r in spark.createDataFrame([(v,) for v in h], "h double").select(D.normal_quantile_middle(F.col("h")).alias("z")).collect()]
+    assert [math.erf(v / math.sqrt(2)) / 2 for v in got[:5]] == pytest.approx(h[:5], abs=1e-12) and got[5] is None
