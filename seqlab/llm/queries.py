@@ -381,7 +381,7 @@ scored as (
   from texts left join weights using (r) where kind = 'd'),
 placed as (select r, row_number() over (order by score desc, doc_id) as place, count(*) over () as n
            from scored where n >= {least_words} and score is not null)
-select doc_id, n_features, weight, score, case when place <= {percent} * placed.n // 100 then place end as rank
+select doc_id, n_features, weight, score, (case when place <= {percent} * placed.n // 100 then place end)::double as rank
 from scored left join placed using (r)
 """
 
