@@ -95,11 +95,14 @@ def contrast_sql(name: str, obs: str, base: str) -> str:
          MAX(CASE WHEN CAST(arm AS VARCHAR) = '{base}' THEN m END) OVER () AS b_m,
          SUM(n) OVER () - COUNT(*) OVER () AS dfree, SUM(n * v) OVER () AS rss, CAST(arm AS VARCHAR) = '{base}' AS isb
   FROM (SELECT arm, COUNT(*) AS n, AVG(y) AS m, var_pop(y) AS v FROM {name}_o WHERE y IS NOT NULL GROUP BY arm))""")
-    c = f"{name}_c"
-    rows = f"""SELECT CASE WHEN isb THEN 'Intercept' ELSE 'arm[' || CAST(arm AS VARCHAR) || ']' END AS term,
+    return with_ctes(_fin(contrast_rows(name)))
+
+
+def contrast_rows(name: str) -> str:
+    """The terms of a registered contrast."""
+    return f"""SELECT CASE WHEN isb THEN 'Intercept' ELSE 'arm[' || CAST(arm AS VARCHAR) || ']' END AS term,
     CASE WHEN isb THEN m ELSE m - b_m END AS coef,
-    CASE WHEN isb THEN 1.0 / NULLIF(n, 0) ELSE 1.0 / NULLIF(n, 0) + 1.0 / NULLIF(b_n, 0) END AS vf, rss, dfree FROM {c}"""
-    return with_ctes(_fin(rows))
+    CASE WHEN isb THEN 1.0 / NULLIF(n, 0) ELSE 1.0 / NULLIF(n, 0) + 1.0 / NULLIF(b_n, 0) END AS vf, rss, dfree FROM {name}_c"""
 
 
 def _within_sql(src: str, group: str) -> str:
@@ -132,14 +135,18 @@ def adjusted_sql(name: str, obs: str, base: str, x1: str, x2: str) -> str:
     MAX(CASE WHEN isb THEN a END) OVER () AS b_a, MAX(CASE WHEN isb THEN m1 END) OVER () AS b_m1,
     MAX(CASE WHEN isb THEN m2 END) OVER () AS b_m2, NN - GG - rnk AS dfree FROM (
     SELECT *, my - b1 * m1 - b2 * m2 AS a, CAST(g AS VARCHAR) = '{base}' AS isb FROM {name}_p))""")
+    return with_ctes(_fin(adjusted_rows(name, x1, x2)))
+
+
+def adjusted_rows(name: str, x1: str, x2: str) -> str:
+    """The terms of a registered adjusted contrast."""
     a = f"{name}_a"
     q = "(i11 * {u} * {u} + 2 * i12 * {u} * {v} + i22 * {v} * {v})"
-    rows = f"""SELECT 'Intercept' AS term, a AS coef, 1.0 / n + {q.format(u='m1', v='m2')} AS vf, rss, dfree FROM {a} WHERE isb
+    return f"""SELECT 'Intercept' AS term, a AS coef, 1.0 / n + {q.format(u='m1', v='m2')} AS vf, rss, dfree FROM {a} WHERE isb
   UNION ALL SELECT '{x1}', c1, vf1, rss, dfree FROM {a} WHERE isb
   UNION ALL SELECT '{x2}', c2, vf2, rss, dfree FROM {a} WHERE isb
   UNION ALL SELECT 'arm[' || CAST(g AS VARCHAR) || ']', a - b_a,
     1.0 / n + 1.0 / b_n + {q.format(u='(m1 - b_m1)', v='(m2 - b_m2)')}, rss, dfree FROM {a} WHERE NOT isb"""
-    return with_ctes(_fin(rows))
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -345,10 +352,7 @@ contrast_sql("lenq", "SELECT experiment_mode AS arm, CAST(q_number AS DOUBLE) AS
 
 
 def _fin_named(name: str, label: str) -> str:
-    c = f"{name}_c"
-    rows = f"""SELECT CASE WHEN isb THEN 'Intercept' ELSE 'arm[' || CAST(arm AS VARCHAR) || ']' END AS term,
-    CASE WHEN isb THEN m ELSE m - b_m END AS coef,
-    CASE WHEN isb THEN 1.0 / NULLIF(n, 0) ELSE 1.0 / NULLIF(n, 0) + 1.0 / NULLIF(b_n, 0) END AS vf, rss, dfree FROM {c}"""
+    rows = contrast_rows(name)
     return f"SELECT '{label}' AS outcome, * FROM ({_fin(rows, 3)})"
 
 
@@ -576,10 +580,13 @@ def scenario_long(spark, root):
     return base.unionByName(arms).select(*keys, F.col("spos").alias("pos"), "is_correct", "lab")
 
 
-def _scenario_obs(long, labels, base, pre, post):
-    rows = long.filter(F.col("lab").isin(*labels, base) & F.col("pos").isin(pre, post) & F.col("is_correct").isNotNull())
-    return rows.select(F.col("lab").alias("experiment_mode"), (F.col("pos") == post).cast("int").alias("time_binary"),
-                       F.col("is_correct").cast("double").alias("y"))
+def _scenario_obs(long, labels, base):
+    """The answers of all question pairs at once: an answer appears in every pair it belongs to."""
+    rows = long.filter(F.col("lab").isin(*labels, base) & F.col("is_correct").isNotNull())
+    pairs = F.array(*[F.when(F.col("pos").isin(a, b), F.struct(F.lit(f"{a}-{b}").alias("pair"), (F.col("pos") == b).cast("int").alias("time_binary")))
+                      for a, b in _PAIRS])
+    return rows.select(F.col("lab").alias("experiment_mode"), F.col("is_correct").cast("double").alias("y"),
+                       F.inline(F.filter(pairs, lambda p: p.isNotNull())))
 
 
 def _scenario_query(labels, base, first_correct: bool = False):
@@ -589,9 +596,8 @@ def _scenario_query(labels, base, first_correct: bool = False):
             keys = ["user_id", "gamecharacter_id", "session_id"]
             right = long.filter("pos = 1 AND is_correct = 1").select(*keys)
             long = long.join(right, keys, "left_semi")
-        parts = [I.did(_scenario_obs(long, labels, base, a, b), base).withColumn("pair", F.lit(f"{a}-{b}")) for a, b in _PAIRS]
-        return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    fn.__doc__ = f"I-02: DiD of arms {', '.join(labels)} against {base}, question pairs 1-10, 2-11 and 2-12."
+        return rounded(I.did(_scenario_obs(long, labels, base), base, by=["pair"]))
+    fn.__doc__ = f"I-02: DiD of arms {', '.join(labels)} against {base}, question pairs 1-10, 2-11 and 2-12 in one aggregate."
     return fn
 
 
