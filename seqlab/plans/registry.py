@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from seqlab.plans import q_sessions, q_summary, q_sequences, q_curves, q_inference, q_models, q_extra, q_more  # noqa: F401
+    from seqlab.plans import q_sessions, q_summary, q_sequences, q_curves, q_inference, q_models, q_extra, q_more, q_sources  # noqa: F401

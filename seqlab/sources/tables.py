@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -34,21 +34,43 @@ def read_distinct_view(spark: SparkSession, path: str, view: str) -> DataFrame:
     return df
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """S-04: CSV with header (a UTF-8 byte-order mark in the header is stripped)."""
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", True)
-    df = reader.csv(path)
-    renamed = [c.lstrip("﻿") for c in df.columns]
-    return df.toDF(*renamed) if renamed != df.columns else df
+def _structure(schema: StructType | str) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
 
+def read_csv_table(spark: SparkSession, path: str, schema: StructType | str | None = None, corrupt: str | None = None) -> DataFrame:
+    """S-04: CSV with header (a UTF-8 byte-order mark in the header is stripped).
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """S-05: JSON-lines scan with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).json(path)
+    With a schema nothing is inferred, and the header must have its names in
+    order (an error otherwise).  A row that does not fit the schema is an error
+    too, unless ``corrupt`` names a column: then its fields that can be read are
+    kept, the others are null, and that column holds the whole line (null in good rows).
+    """
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    if schema is None:
+        df = reader.option("inferSchema", True).csv(path)
+        renamed = [c.lstrip("\ufeff") for c in df.columns]
+        return df.toDF(*renamed) if renamed != df.columns else df
+    schema = _structure(schema)
+    header = [c.lstrip("\ufeff") for c in reader.csv(path).columns]
+    if header != schema.names:
+        raise ValueError(f"the header of {path} is {header}, the schema has {schema.names}")
+    if corrupt is None:
+        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    bad = StructType([*schema.fields, StructField(corrupt, StringType())])
+    return reader.schema(bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).csv(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, corrupt: str | None = None) -> DataFrame:
+    """S-05: JSON-lines scan with an explicit schema (no inference pass).
+
+    A line that is no JSON, or does not fit the schema, is an error, unless ``corrupt`` names a column for it (as in S-04).
+    """
+    schema = _structure(schema)
+    if corrupt is None:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    bad = StructType([*schema.fields, StructField(corrupt, StringType())])
+    return spark.read.schema(bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
