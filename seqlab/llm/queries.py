@@ -143,9 +143,9 @@ def _spans_sql(kind: int, pattern: str, ok: str, value: int = 0) -> str:
 
 
 def _op10_sql(scope: int = 200) -> str:
-    from seqlab.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, SECRET, SECRET_FORMS, USER
+    from seqlab.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, SECRET_FORMS, USER, VALUE_RUN
     kinds = [(0, ASSIGN, "len(v) >= 6", 2), (1, ACCESS, "len(m) >= 20", 0), (2, HEX, "len(m) >= 24", 0), (3, USER, "true", 0),
-             (4, SECRET, " and ".join(f"regexp_matches(m, '{f}')" for f in SECRET_FORMS), 0), (5, ENDPOINT, "true", 0)]
+             (4, VALUE_RUN, " and ".join(f"regexp_matches(m, '{f}')" for f in SECRET_FORMS), 0), (5, ENDPOINT, "true", 0)]
     names = ", ".join(f"'{k}'" for k in KINDS)
     spelled = f"""[{names}][kind + 1] || ':' || start || ':' || "end\""""
     return f"""
@@ -153,7 +153,7 @@ with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t
 parts as materialized ({" union all ".join(_spans_sql(*k) for k in kinds)}),
 roles as (select *, case when kind in (1, 3) then 'id' when kind in (0, 2, 4) then 'secret' else 'endpoint' end as role from parts),
 linked as (
-  select a.r, a.start, a.kind, a."end" from roles a join roles b on a.r = b.r and abs(a.start - b.start) <= {scope}
+  select a.r, a.start, a.kind, a."end" from roles a join roles b on a.r = b.r and greatest(b.start - a."end", a.start - b."end") <= {scope}
     and a.role <> b.role and b.role <> 'endpoint' where a.kind >= 3
   group by a.r, a.start, a.kind, a."end", a.role having count(distinct b.role) >= if(a.role = 'endpoint', 2, 1)),
 shown as (select * from parts where kind < 3 union all select * from linked),
