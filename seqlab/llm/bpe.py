@@ -8,8 +8,9 @@ piece's leftmost pair of least rank, until no pair of a piece merges.
 Decoding: ids join the vocabulary and an ordered aggregation concatenates the
 tokens' bytes.
 
-Each distinct piece is encoded and decoded once per task (a bounded cache
-keeps them, ``CACHE`` entries per worker); texts only look pieces up.  Pieces
+Each distinct piece is encoded once per task, and decoded and compared with
+its bytes (a bounded cache keeps the ids, ``CACHE`` entries per worker); texts only
+look pieces up.  A text's decoded bytes are its tokens' bytes in the order of its ids.  Pieces
 longer than ``LONG`` bytes would need as many recursion steps over as many
 rows; they merge in a small heap-driven loop with the same rule instead.
 
@@ -97,6 +98,11 @@ class Codec:
                     rank=pa.array([r for _, r in pairs], pa.int64()))
         self._table("vocab", tok=pa.array(self.tokens, pa.int64()), hex=pa.array([t.hex() for t in self.tokens.values()]))
         self.pieces: dict[bytes, bytes] = {}
+        size = np.zeros(max(self.tokens, default=0) + 1, np.int64)  # bytes of each token, and where they start
+        for r, t in self.tokens.items():
+            size[r] = len(t)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.flat = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), np.uint8)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("arrow_rows", pa.table(columns))
@@ -172,8 +178,8 @@ class Codec:
     def _cut(self, segment: bytes) -> list[bytes]:
         return [p.encode("utf-8") for p in self.pattern.findall(segment.decode("utf-8"))]
 
-    def _segments(self, segments: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """(ids as int32 bytes, decoded bytes) of every segment, cut by the pattern."""
+    def _segments(self, segments: list[bytes]) -> list[bytes]:
+        """Ids (as int32 bytes) of every segment, cut by the pattern."""
         cuts = {s: self._cut(s) for s in segments if s not in self.pieces}
         new = {p for c in cuts.values() for p in c} - self.pieces.keys()
         if len(self.pieces) + len(new) > CACHE:
@@ -182,29 +188,35 @@ class Codec:
             new = {p for c in cuts.values() for p in c} - self.pieces.keys()
         self._encode_pieces(list(new))
         get = self.pieces.__getitem__
-        # a cached piece stands for its decoded bytes as well: _keep has compared the two
-        return ([b"".join(map(get, cuts[s])) if s in cuts else get(s) for s in segments],
-                [b"".join(cuts[s]) if s in cuts else s for s in segments])
+        return [b"".join(map(get, cuts[s])) if s in cuts else get(s) for s in segments]
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids one after the other, and the offset of each id and of the end."""
+        n = self.size[ids]
+        at = np.r_[0, np.cumsum(n)]
+        return self.flat[np.repeat(self.start[ids] - at[:-1], n) + np.arange(at[-1])], at
 
     def texts(self, raw: np.ndarray, offsets: np.ndarray):
         """Flat ids with offsets and flat decoded bytes with offsets, of all texts of a buffer.
 
         The texts are cut into segments (``segment_starts``), each distinct segment
-        is looked up once, and the results are put together in text order.
+        is looked up once, and the ids are put together in text order; the decoded
+        bytes are those of the ids so put together.
         """
         at = segment_starts(raw, offsets)
         end = np.r_[at[1:], len(raw)]
         first = np.searchsorted(at, offsets, "left")
         _, example, which = np.unique(wordscan.span_hash(raw, at, end), return_index=True, return_inverse=True)
         body = raw.tobytes()
-        ids, decoded = self._segments([body[at[i]:end[i]] for i in example])
-        flat, flat_at = _gather(ids, which, 4)
-        text, text_at = _gather(decoded, which, 1)
+        flat, flat_at = _gather(self._segments([body[at[i]:end[i]] for i in example]), which, 4)
+        flat = flat.view(np.int32)
+        text, text_at = self.bytes_of(flat)
         if not np.array_equal(text, raw):  # two segments with one hash: look up each for itself
-            ids, decoded = self._segments([body[a:e] for a, e in zip(at, end, strict=True)])
-            flat, flat_at = _gather(ids, np.arange(len(ids)), 4)
-            text, text_at = _gather(decoded, np.arange(len(ids)), 1)
-        return flat.view(np.int32), flat_at[first] // 4, text, text_at[first]
+            flat, flat_at = _gather(self._segments([body[a:e] for a, e in zip(at, end, strict=True)]), np.arange(len(at)), 4)
+            flat = flat.view(np.int32)
+            text, text_at = self.bytes_of(flat)
+        ids_at = flat_at[first] // 4
+        return flat, ids_at, text, text_at[ids_at]
 
 
 #: Bytes of one group of texts that a task handles together.

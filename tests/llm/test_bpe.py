@@ -64,6 +64,13 @@ def test_encode_and_decode_tables(spark, library):
     assert bpe.encode(no_documents(spark), RANKS, public_tokenizers.PATTERN, keep=["doc_id"]).count() == 0
 
 
+def test_decoded_bytes_are_those_of_the_ids(codec, monkeypatch):
+    good = run(codec, ["some text", "and more"])
+    monkeypatch.setattr(codec, "_segments", lambda segments: [np.array([codec.ranks[b"x"]], np.int32).tobytes()] * len(segments))
+    (ids, decoded), _ = run(codec, ["some text", "and more"])
+    assert decoded == b"x" * len(ids) and decoded != good[0][1]
+
+
 def test_decode_refuses_unknown_ids(codec):
     assert codec.decode([[], [0, 1]])[0] == b""
     with pytest.raises(ValueError):
