@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from seqlab.functions.timecols import epoch_micros, micros_between, seconds_between
 
@@ -78,6 +79,32 @@ def _running_offset(small: DataFrame, keys: list[str], order: str, value: str, o
     return small.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
+#: Rows without time that a task numbers together.
+UNTIMED_ROWS = 100_000
+
+
+def number_by_id(df: DataFrame, keys: list[str], tiebreak: str, out: str, most: int = UNTIMED_ROWS) -> DataFrame:
+    """Number the rows of each key from 1 in order of an integer id, without one task for one key.
+
+    A key's ids are cut into equal ranges, about one for each ``most`` rows, and each range of more than
+    ``most`` rows once more (ids may come in clusters).  Rows are numbered inside a range (columns ``_h1``,
+    ``_h2``), after the rows of earlier ranges; only the table of ranges is ordered by key.
+    """
+    x, levels = df, []
+    for level in ("_h1", "_h2"):
+        here = [*keys, *levels]
+        span = x.groupBy(*here).agg(F.min(tiebreak).alias("_lo"), F.max(tiebreak).alias("_hi"), F.count(F.lit(1)).alias("_c"))
+        ranges = F.ceil(F.col("_c") / F.lit(most))
+        share = (F.col(tiebreak).cast("double") - F.col("_lo")) / (F.col("_hi").cast("double") - F.col("_lo") + 1)
+        x = x.join(span, here).withColumn(level, F.least(F.floor(share * ranges), ranges - 1).cast("long")).drop("_lo", "_hi", "_c")
+        levels.append(level)
+    counts = x.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(*keys, *levels).orderBy(tiebreak))
+    return x.withColumn("_place", inside).join(counts, [*keys, *levels]).withColumn(out, F.col("_before") + F.col("_place")).drop("_place", "_before")
+
+
 def assign_sessions(
     df: DataFrame,
     gap_seconds: float = 1800,
@@ -160,8 +187,11 @@ def assign_sessions(
     # Null timestamps sort after all timed rows (ascending, nulls last), ordered by id.
     nulls = base.filter(F.col(ts).isNull())
     last = out.groupBy(*num_keys).agg(F.max("session_id").alias("_m"))
-    wn = Window.partitionBy(*num_keys).orderBy(tiebreak)
-    nulls = nulls.withColumn("_r", F.row_number().over(wn)).join(last, on=num_keys, how="left")
+    if isinstance(nulls.schema[tiebreak].dataType, IntegralType):
+        nulls = number_by_id(nulls, num_keys, tiebreak, "_r").drop("_h1", "_h2")
+    else:  # no ranges of ids that are no numbers: one task for one key
+        nulls = nulls.withColumn("_r", F.row_number().over(Window.partitionBy(*num_keys).orderBy(tiebreak)))
+    nulls = nulls.join(last, on=num_keys, how="left")
     m = F.coalesce(F.col("_m"), F.lit(0))
     if null_ts == "new":
         sid = m + F.col("_r")

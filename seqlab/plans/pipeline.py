@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seqlab.functions.scalar import volume_code
 from seqlab.functions.timecols import parse_timestamp
@@ -41,7 +42,7 @@ P = Params()
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, root, "events")
+    return read_table(spark, root, "events", StructType.fromDDL(adapter.EVENTS))
 
 
 def answer_log(spark: SparkSession, root: str) -> DataFrame:
@@ -66,6 +67,16 @@ def enriched(spark: SparkSession, root: str) -> DataFrame:
 _MEMO: dict = {}
 
 
+def clean(spark: SparkSession) -> None:
+    """Forget the written tables and remove the folder of this application's intermediate tables
+    (``seqlab-<application id>`` in ``spark.checkpoint.dir``), once no result made from them is read any more."""
+    from seqlab.session import checkpoint_dir
+    reset()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_dir(spark).rstrip('/')}/seqlab-{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def reset(inputs: bool = True) -> None:
     """Forget the written tables, so that they are made anew (e.g. after the input files
     changed); ``inputs=False`` keeps the derived answer log."""

@@ -135,3 +135,27 @@ def test_chunked_session_arrays(spark):
     assert [len(p["ids"]) for p in parts] == [10, 10, 5]
     assert sum((p["ids"] for p in parts), []) == whole["ids"] and sum((p["vs"] for p in parts), []) == whole["vs"]
     assert all(p["n_questions"] == 25 for p in parts)
+
+
+def test_one_user_with_untimed_answers_only_is_numbered_in_ranges(spark):
+    """Equal to one window over the key, and no range holds more than its bound, also when ids come in clusters."""
+    from pyspark.sql import Window
+
+    from seqlab.operators.sessions import number_by_id
+    ids = [i * 1000 for i in range(2000)] + [10**12 + i for i in range(2000)] + [-5, 2**62]
+    df = spark.createDataFrame([(1, i) for i in ids] + [(2, 7)], "u int, id long")
+    got = number_by_id(df, ["u"], "id", "n", most=100)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy("id")))
+    assert got.select("u", "id", "n").exceptAll(want).count() == 0 and got.count() == want.count()
+    even = number_by_id(spark.range(5000).selectExpr("1 as u", "id * 3 as id"), ["u"], "id", "n", most=100)
+    assert even.groupBy("u", "_h1", "_h2").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_untimed_answers_continue_or_open_sessions_in_order_of_id(spark):
+    import datetime as dt
+    base = dt.datetime(2025, 1, 1)
+    rows = [(1, 1, 10, base), (2, 1, 10, None), (9, 1, 10, None), (5, 1, 10, None), (3, 2, 20, None), (1, 2, 20, None)]
+    df = spark.createDataFrame(rows, "id long, user_id long, gamecharacter_id long, created_at timestamp")
+    for how, want in (("new", {1: [1, 2, 3, 4], 2: [1, 2]}), ("join", {1: [1, 1, 2, 3], 2: [1, 2]})):
+        got = assign_sessions(df, null_ts=how).orderBy("user_id", "id").collect()
+        assert {u: [r.session_id for r in got if r.user_id == u] for u in want} == want
