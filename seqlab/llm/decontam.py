@@ -14,9 +14,11 @@ in all words, compared directly.  The cursors of a batch move together as
 array operations: the batch's words are one sequence with a separator between
 texts, divided into lanes.
 
-Benchmark windows are broadcast in blocks of at most ``BLOCK_CHARS``
-characters; a larger benchmark takes more blocks, through which the documents
-pass one after the other in the same stage, without a shuffle.
+Benchmark windows are broadcast in blocks of about ``BLOCK_CHARS`` characters
+(some 200 MB of tables in a worker); a larger benchmark takes more blocks, through
+which the documents pass one after the other in the same stage, without a shuffle.
+The shift table has four slots or more for each block of two words, up to
+2 ** ``SHIFT_BITS[1]`` bytes, so that it still skips where a block is full.
 
 Null or empty texts have no words.  Items with a null id still mark words, but
 have no id to report; repeated documents give repeated rows; repeated items
@@ -38,8 +40,9 @@ from seqlab.llm.scratch import with_text
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters of benchmark text (and 20 for each id) in one broadcast block.
-BLOCK_CHARS = 16_000_000
-SHIFT_BITS = 18
+BLOCK_CHARS = 4_000_000
+#: Least and greatest logarithm of the size of a shift table.
+SHIFT_BITS = (18, 24)
 #: Cursors that move together over a batch.
 LANES = 2048
 #: Bytes of text that a task searches at a time.
@@ -55,17 +58,22 @@ class Windows:
         self.size, self.phrases = size, phrases
         self.hashes = h.reshape(len(phrases), size)
         self.block = min(2, size)
-        blocks = np.stack([wordscan.run_hash(row, self.block) for row in self.hashes])
         most = size - self.block + 1
-        self.shift = np.full(1 << SHIFT_BITS, most, np.int64)
-        for j in range(blocks.shape[1]):
-            np.minimum.at(self.shift, self._slot(blocks[:, j]), most - 1 - j)
-        order = np.argsort(blocks[:, -1], kind="stable")
-        self.order, self.last = order, blocks[order, -1]
+        self.bits = min(max(SHIFT_BITS[0], (4 * most * len(phrases)).bit_length()), SHIFT_BITS[1])
+        self.shift = np.full(1 << self.bits, min(most, 255), np.uint8)
+        for j in range(most):
+            last = self._block(self.hashes[:, j + self.block - 2] if self.block > 1 else None, self.hashes[:, j + self.block - 1])
+            np.minimum.at(self.shift, self._slot(last), np.uint8(min(most - 1 - j, 255)))
+        self.order = np.argsort(last, kind="stable")
+        self.last = last[self.order]
 
     @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
+    def _block(one: np.ndarray | None, two: np.ndarray) -> np.ndarray:
+        """Hash of a block of two words, or of one."""
+        return two if one is None else wordscan.mix(one * np.uint64(0x9E3779B97F4A7C15) + two)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, h: np.ndarray, body: bytes, start: np.ndarray, end: np.ndarray):
         """(first word, window number) of every occurrence; h holds a 0 between texts."""
@@ -77,8 +85,8 @@ class Windows:
         stop = np.minimum(at + step, n)
         zero = []
         while len(at):
-            block = h[at] if b == 1 else wordscan.mix(h[at - 1] * np.uint64(0x9E3779B97F4A7C15) + h[at])
-            jump = self.shift[self._slot(block)]
+            block = self._block(h[at - 1] if b > 1 else None, h[at])
+            jump = self.shift[self._slot(block)].astype(np.int64)
             zero.append((at[jump == 0], block[jump == 0]))
             at = at + np.maximum(jump, 1)
             go = at < stop
@@ -100,15 +108,17 @@ class Windows:
 
 def _pattern_block(rows, window: int):
     """Window classes and, for each class, the item ids of every window."""
-    classes: dict[int, dict[bytes, set]] = {}
+    classes: dict[int, dict[bytes, tuple]] = {}
     for text, ids in rows:
+        ids = tuple(sorted(ids))  # one tuple for all windows of the item
         raw, offsets, _ = wordscan.text_buffer(pa.array([text], pa.string()))
         start, end, _, _ = wordscan.words(raw, offsets, wordscan.ALNUM, hashed=False)
         body = raw.tobytes()
         words = [body[a:b].lower() for a, b in zip(start, end, strict=True)]
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if size else 0):
-            classes.setdefault(size, {}).setdefault(b" ".join(words[i:i + size]), set()).update(ids)
+            own, phrase = classes.setdefault(size, {}), b" ".join(words[i:i + size])
+            own[phrase] = ids if own.get(phrase, ids) is ids else tuple(sorted({*own[phrase], *ids}))
     return [(size, list(found), list(found.values())) for size, found in sorted(classes.items())]
 
 

@@ -59,3 +59,19 @@ def test_empty_tables(spark):
     assert decontam.contaminated_words(no_documents(spark), bench, keep=["doc_id"]).count() == 0
     none = decontam.contaminated_words(edge_documents(spark), bench.limit(0), keep=["doc_id"]).collect()
     assert len(none) == len(edge_texts()) and not any(r.n_hit for r in none)
+
+
+def test_tables_of_a_full_block_stay_small_and_still_skip():
+    """A tenth of a block: tables in proportion to the windows, and a shift table that is mostly unmarked."""
+    import random
+
+    import numpy as np
+
+    from seqlab.llm import decontam
+    rnd = random.Random(5)
+    text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(decontam.BLOCK_CHARS // 70))
+    (size, phrases, ids), = decontam._pattern_block([(text, ["b", "a"]), (text[:700], ["c"])], 10)
+    assert size == 10 and ids[-1] is ids[-2] and ids[0] == ("a", "b", "c")
+    t = decontam.Windows(size, phrases)
+    held = t.shift.nbytes + t.hashes.nbytes + t.order.nbytes + t.last.nbytes + sum(map(len, phrases)) + 40 * len(phrases)
+    assert held < 50e6 and np.mean(t.shift) > 6
