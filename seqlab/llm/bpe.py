@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import array
 import base64
+import ctypes
 import heapq
 import itertools
 import sys
@@ -79,10 +80,9 @@ def read_ranks(path: str) -> bytes:
 
 
 class Codec:
-    """One worker's DuckDB connection with merge table and vocabulary, and its cache of pieces."""
+    """One worker's vocabulary and cache of pieces, and one task's DuckDB connection with merge table and vocabulary."""
 
     def __init__(self, content: bytes, pattern: str):
-        import duckdb
         import regex
 
         self.pattern = regex.compile(pattern)
@@ -91,12 +91,14 @@ class Codec:
         if max(self.tokens, default=0) >= 1 << 20:
             raise ValueError("ranks must be below 2 ** 20")
         self.byte = [self.ranks.get(bytes([i])) for i in range(256)]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
-        pairs = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items()
-                 for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self._table("merges", pair=pa.array([p for p, _ in pairs], pa.int64()),
-                    rank=pa.array([r for _, r in pairs], pa.int64()))
-        self._table("vocab", tok=pa.array(self.tokens, pa.int64()), hex=pa.array([t.hex() for t in self.tokens.values()]))
+        pair, rank = array.array("q"), array.array("q")  # compact: what building leaves behind stays with the worker
+        for t, r in self.ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in self.ranks and t[i:] in self.ranks:
+                    pair.append(self.ranks[t[:i]] << 20 | self.ranks[t[i:]])
+                    rank.append(r)
+        self.merges = {"pair": pa.array(np.asarray(pair)), "rank": pa.array(np.asarray(rank))}
+        self.connection = None
         self.pieces: dict[bytes, bytes] = {}
         size = np.zeros(max(self.tokens, default=0) + 1, np.int64)  # bytes of each token, and where they start
         for r, t in self.tokens.items():
@@ -104,6 +106,22 @@ class Codec:
         self.size, self.start = size, np.cumsum(size) - size
         self.flat = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), np.uint8)
 
+    @property
+    def db(self):
+        """The connection, opened with merge table and vocabulary when it is needed."""
+        if self.connection is None:
+            import duckdb
+            self.connection = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
+            self._table("merges", **self.merges)
+            self._table("vocab", tok=pa.array(self.tokens, pa.int64()), hex=pa.array([t.hex() for t in self.tokens.values()]))
+        return self.connection
+
+    def rest(self) -> None:
+        """After a task: vocabulary and cache stay with the worker, the connection's memory would weigh on whatever runs there next."""
+        if self.connection is not None:
+            self.connection.close()
+        self.connection = None
+
     def _table(self, name: str, **columns) -> None:
         self.db.register("arrow_rows", pa.table(columns))
         self.db.execute(f"create or replace temp table {name} as select * from arrow_rows")
@@ -192,9 +210,7 @@ class Codec:
 
     def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids one after the other, and the offset of each id and of the end."""
-        n = self.size[ids]
-        at = np.r_[0, np.cumsum(n)]
-        return self.flat[np.repeat(self.start[ids] - at[:-1], n) + np.arange(at[-1])], at
+        return _runs(self.flat, self.start, self.size, ids)
 
     def texts(self, raw: np.ndarray, offsets: np.ndarray):
         """Flat ids with offsets and flat decoded bytes with offsets, of all texts of a buffer.
@@ -271,15 +287,29 @@ def segment_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: Runs that are copied at one time: an index holds eight bytes for each byte of text, so it covers a part only.
+RUNS = 1 << 15
+
+
+def _runs(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``flat`` one after the other, and the offset of each and of the end."""
+    at = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(size[which], out=at[1:])
+    out = np.empty(at[-1], flat.dtype)
+    for lo in range(0, len(which), RUNS):
+        part, here = which[lo:lo + RUNS], at[lo:lo + RUNS + 1]
+        index = np.repeat(start[part] - here[:-1], np.diff(here))
+        index += np.arange(here[0], here[-1])
+        out[here[0]:here[-1]] = flat[index]
+    return out, at
+
+
 def _gather(values: list[bytes], which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of ``values[which]`` one after the other, in units of ``width``, and the offset of each and of the end."""
     size = np.fromiter(map(len, values), np.int64, len(values)) // width
     flat = np.frombuffer(b"".join(values), np.dtype(f"u{width}"))
-    start = np.cumsum(size) - size
-    n = size[which]
-    at = np.r_[0, np.cumsum(n)]
-    index = np.repeat((start[which] - at[:-1]), n) + np.arange(at[-1])
-    return flat[index], at * width
+    out, at = _runs(flat, np.cumsum(size) - size, size, which)
+    return out, at * width
 
 
 def _codec(content: bytes, pattern: str) -> Codec:
@@ -292,6 +322,19 @@ def _codec(content: bytes, pattern: str) -> Codec:
     return held[key]
 
 
+#: glibc's names of two settings; blocks from ``BLOCK`` bytes on go back to the system when they are freed.
+#: ``USUAL`` is what the library comes to by itself, as blocks are freed; other operators run faster with it.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, BLOCK, USUAL = -1, -3, 1 << 20, 32 << 20
+
+
+def _freed_at(size: int) -> None:
+    """Let this process give freed blocks of ``size`` bytes or more back, where the C library has the settings."""
+    setting = getattr(ctypes.CDLL(None), "mallopt", None)
+    if setting:
+        setting(M_MMAP_THRESHOLD, size)
+        setting(M_TRIM_THRESHOLD, 2 * size)
+
+
 def _groups(offsets: np.ndarray, most: int):
     """Ranges of rows with about ``most`` units each, at least one row."""
     at = 0
@@ -314,16 +357,21 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text:
 
     def run(batches):
         codec = _codec(held.value, pattern)
-        for batch in batches:
-            raw, offsets, _ = wordscan.text_buffer(batch.column(place))
-            for lo, hi in _groups(offsets, GROUP):
-                ids, ids_at, decoded, decoded_at = codec.texts(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))),
-                     pa.ListArray.from_arrays(pa.array(ids_at, pa.int32()), pa.array(ids)),
-                     pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [
-                         None, pa.py_buffer(decoded_at.astype(np.int32)), pa.py_buffer(decoded.tobytes())])],
-                    [*keep, "ids", "decoded"])
+        _freed_at(BLOCK)
+        try:
+            for batch in batches:
+                raw, offsets, _ = wordscan.text_buffer(batch.column(place))
+                for lo, hi in _groups(offsets, GROUP):
+                    ids, ids_at, decoded, decoded_at = codec.texts(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))),
+                         pa.ListArray.from_arrays(pa.array(ids_at, pa.int32()), pa.array(ids)),
+                         pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [
+                             None, pa.py_buffer(decoded_at.astype(np.int32)), pa.py_buffer(decoded.tobytes())])],
+                        [*keep, "ids", "decoded"])
+        finally:
+            codec.rest()
+            _freed_at(USUAL)
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>", "decoded binary"])
     return rows.mapInArrow(wordscan.trimmed(run), schema)
@@ -336,13 +384,16 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], ids: s
 
     def run(batches):
         codec = _codec(held.value, pattern)
-        for batch in batches:
-            rows = batch.column(len(keep)).to_pylist()
-            for lo, hi in _groups(np.cumsum([0, *(len(r or ()) for r in rows)]), 200_000):
-                done = codec.decode([r or [] for r in rows[lo:hi]])
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.array(done, pa.binary())],
-                    [*keep, "decoded"])
+        try:
+            for batch in batches:
+                rows = batch.column(len(keep)).to_pylist()
+                for lo, hi in _groups(np.cumsum([0, *(len(r or ()) for r in rows)]), 200_000):
+                    done = codec.decode([r or [] for r in rows[lo:hi]])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).slice(lo, hi - lo) for i in range(len(keep))), pa.array(done, pa.binary())],
+                        [*keep, "decoded"])
+        finally:
+            codec.rest()
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "decoded binary"])
     return df.select(*keep, df[ids].alias("__ids")).mapInArrow(wordscan.trimmed(run), schema)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,32 @@ def test_a_full_cache_changes_nothing(codec, library, monkeypatch):
     assert [i for i, _ in run(codec, texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bytes_of_ids_take_memory_in_proportion_to_the_text(codec, monkeypatch):
+    (ids, decoded), = run(codec, ["some words of a text, and 12345 more! " * 20_000])
+    ids = np.array(ids, np.int32)
+    tracemalloc.start()
+    try:
+        found, at = codec.bytes_of(ids)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.tobytes() == decoded and len(at) == len(ids) + 1
+    assert peak < 12 * len(decoded)
+    monkeypatch.setattr(bpe, "RUNS", 7)
+    assert codec.bytes_of(ids[:100])[0].tobytes() == b"".join(codec.tokens[i] for i in ids[:100])
+    assert [len(x) for x in codec.bytes_of(ids[:0])] == [0, 1]
+
+
+def test_a_resting_codec_holds_no_connection(codec, library):
+    texts = strange(4, 100)
+    want = [library.encode_ordinary(t) for t in texts]
+    assert [i for i, _ in run(codec, texts)] == want and codec.db is not None
+    codec.rest()
+    assert codec.connection is None
+    codec.pieces.clear()
+    assert [i for i, _ in run(codec, texts)] == want
+
+
 def test_encode_and_decode_tables(spark, library):
     rows = edge_texts()
     df = bpe.encode(edge_documents(spark, rows), RANKS, public_tokenizers.PATTERN, keep=["doc_id", "ids", "source"])
