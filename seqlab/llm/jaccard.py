@@ -10,18 +10,24 @@ How it runs:
 1. ``shingle_weights``: how often shingles occur, counted over all documents
    into a table of fixed size.  Rare shingles come first in the global order
    (ties by hash), so passages that many documents share leave the prefixes.
-2. ``shingle_prefixes``: per document the set's size, a 128-bit digest and the
-   prefix: the first ``n - ceil(t*n) + DEPTH`` shingles.  Any two linked sets
-   share at least ``min(DEPTH, ceil(t * larger size))`` shingles of both prefixes.
+2. ``shingle_prefixes``: per document the set's size, a 128-bit digest, a sketch
+   and the prefix: the first ``n - ceil(t*n) + DEPTH`` shingles.  Any two linked
+   sets share at least ``min(DEPTH, ceil(t * larger size))`` shingles of both
+   prefixes.  The sketch has one or two bits a shingle, each the parity of the
+   shingles that fall on it, so two sketches differ in at most as many bits as
+   two sets in shingles.
 3. Equal sets collapse into one class; classes with the same prefix and size
    collapse into one group.  Only groups are joined.
 4. Group pairs that share enough prefix shingles and pass the size bound are
    candidates.  A shingle held by more than ``BUCKET`` groups emits no pairs:
    its groups are chained to one of them instead.  Candidates form clusters.
-5. Clusters are expanded to their classes and verified exactly, in blocks of
-   bounded size, so that a large cluster spreads over many tasks.  Each block
-   emits a spanning forest of its links, never all pairs.
-6. Components of the forest, with the smallest doc_id as the id.
+5. ``near_clusters``: the classes of a cluster are compared by size and sketch,
+   which leaves out pairs that cannot link, so classes that are only chained
+   fall apart before whole sets are copied.  Large clusters are cut by size.
+6. What is left of a cluster is verified exactly, in blocks of bounded size, so
+   that a large cluster spreads over many tasks.  Each block emits a spanning
+   forest of its links, never all pairs.
+7. Components of the forest, with the smallest doc_id as the id.
 
 Shingles are compared as 64-bit hashes.  Null, empty and blank texts have an
 empty set.  A row without a doc_id has a set size, but links with nothing and
@@ -31,6 +37,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 
 import numpy as np
@@ -41,16 +48,20 @@ from pyspark.sql import functions as F
 
 from seqlab.llm import wordscan
 from seqlab.llm.components import components
-from seqlab.llm.scratch import bounded_batches, written
+from seqlab.llm.scratch import bounded_batches, collected, dropped, written, written_at
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Size of the table of shingle counts: 2 ** WEIGHT_BITS entries, whatever the input.
-WEIGHT_BITS = 18
+WEIGHT_BITS = 24
+#: Entries of that table in one row, when the tables of several tasks are added.
+WEIGHT_ROW = 1 << 16
 #: Shared prefix shingles that a candidate pair needs.
 DEPTH = 4
 #: Groups of one shingle up to which pairs are formed; larger buckets are chained and verified in blocks.
 BUCKET = 64
+#: Most sketches, and bytes of sketches, in one block of a cluster.
+BLOCK_SKETCHES, BLOCK_BYTES = 4096, 4 << 20
 #: Most sets and most shingles in one block of a cluster.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Rows up to which the ids of candidate documents are broadcast (some 40 bytes each); beyond, a shuffled join.
@@ -91,35 +102,62 @@ def _slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
 
 
 def shingle_weights(texts: DataFrame, k: int) -> np.ndarray:
-    """Occurrences of shingles over all texts in 2 ** WEIGHT_BITS hash buckets."""
-    shift = np.uint64(64 - WEIGHT_BITS)
+    """How often shingles occur over all texts, on a log scale, in 2 ** WEIGHT_BITS hash buckets of one byte."""
+    shift, length, width = np.uint64(64 - WEIGHT_BITS), 1 << WEIGHT_BITS, min(WEIGHT_ROW, 1 << WEIGHT_BITS)
 
     def count(batches):
-        total = np.zeros(1 << WEIGHT_BITS, np.int64)
+        total = np.zeros(length, np.uint16)
         for batch in batches:
             for _, raw, offsets, _ in _slices(batch, "text"):
                 value, _, _ = shingle_sets(raw, offsets, k)
-                total += np.bincount((value >> shift).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 65536):
-            part = at[lo:lo + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+                np.add.at(total, (value >> shift).astype(np.int64), np.uint16(1))
+        codec = pa.Codec("zstd", compression_level=1)
+        for lo in range(0, length, width):
+            part = total[lo:lo + width]
+            if part.any():
+                body = codec.compress(np.minimum(part, 255).astype(np.uint8), asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lo // width], pa.int32()), pa.array([body], pa.binary())], ["part", "body"])
+
+    def level(batches):
+        totals: dict[int, np.ndarray] = {}
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for part, body in zip(batch.column("part").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                total = totals.setdefault(part, np.zeros(width, np.uint32))
+                total += np.frombuffer(codec.decompress(body, width), np.uint8)
+        for part, total in totals.items():
+            log = np.minimum(255, 12 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([log.tobytes()], pa.binary())], ["part", "body"])
 
-    rows = (texts.select("text").mapInArrow(wordscan.trimmed(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-            .toPandas())  # at most 2 ** WEIGHT_BITS rows
-    weights = np.zeros(1 << WEIGHT_BITS, np.int64)
-    weights[rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(np.int64)
-    return weights
+    rows = (texts.select("text").mapInArrow(wordscan.trimmed(count), "part int, body binary").repartition("part")
+            .mapInArrow(wordscan.trimmed(level), "part int, body binary").collect())  # 2 ** WEIGHT_BITS bytes
+    levels = np.zeros(length, np.uint8)
+    for row in rows:
+        levels[row["part"] * width:(row["part"] + 1) * width] = np.frombuffer(row["body"], np.uint8)
+    return levels
 
 
 def _digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def parity_sketches(value: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The sketch of every set: 64 bits, or as many as the least power of two that is no less than its size.
+
+    A bit is the parity of the shingles whose low hash bits name it.
+    """
+    n = np.diff(first)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.r_[0, np.cumsum(bits)]
+    place = (value & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(at[:-1], n)
+    odd = (np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 8).astype(np.int32)),
+                                                       pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
 def shingle_prefixes(docs: DataFrame, k: int, percent: int, weights: np.ndarray) -> DataFrame:
-    """doc_id, n, sig (digest of the set), pkey (digest of the prefix), prefix (shingle hashes)."""
-    level = np.floor(4 * np.log2(np.maximum(weights, 1))).astype(np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(level.tobytes())  # 2 ** WEIGHT_BITS bytes
+    """doc_id, n, sig (digest of the set), pkey (digest of the prefix), sketch, prefix (shingle hashes)."""
+    held = docs.sparkSession.sparkContext.broadcast(weights.tobytes())  # 2 ** WEIGHT_BITS bytes
     shift = np.uint64(64 - WEIGHT_BITS)
 
     def prefixes(batches):
@@ -138,10 +176,11 @@ def shingle_prefixes(docs: DataFrame, k: int, percent: int, weights: np.ndarray)
                 prefix = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(taken.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sig, pa.binary()),
-                     pa.array(pkey, pa.binary()), prefix], ["doc_id", "n", "sig", "pkey", "prefix"])
+                     pa.array(pkey, pa.binary()), parity_sketches(value, first), prefix],
+                    ["doc_id", "n", "sig", "pkey", "sketch", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(wordscan.trimmed(prefixes), f"doc_id {id_type}, n long, sig binary, pkey binary, prefix array<long>")
+    return docs.mapInArrow(wordscan.trimmed(prefixes), f"doc_id {id_type}, n long, sig binary, pkey binary, sketch binary, prefix array<long>")
 
 
 def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +189,8 @@ def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
         F.xxhash64("n", "pkey").alias("gid"), F.col("n").cast("int").alias("n"), "prefix")
     postings = groups.select("gid", "n", F.explode("prefix").alias("shingle"))
     shared = postings.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    shared = written(postings.join(shared, "shingle"), "postings")
+    shared, path = written_at(postings.join(shared, "shingle"), "postings")
+    collected(sets.sparkSession)
     few = shared.where(F.col("held") <= BUCKET)
     larger, smaller = F.greatest("n", "m"), F.least("n", "m")
     other = few.select("shingle", F.col("gid").alias("hid"), F.col("n").alias("m"))
@@ -164,7 +204,84 @@ def candidate_clusters(sets: DataFrame, percent: int) -> DataFrame:
     hubs = many.groupBy("shingle", "held").agg(F.min("gid").alias("hid")).select(
         "shingle", "hid", F.explode(F.sequence(F.lit(0), lists - 1)).alias("part"))
     chains = many.withColumn("part", F.pmod(F.xxhash64("gid"), lists)).join(hubs, ["shingle", "part"])
-    return components(pairs.select("gid", "hid").unionByName(chains.select("gid", "hid")), "gid", "hid", "clusters")
+    found = components(pairs.select("gid", "hid").unionByName(chains.select("gid", "hid")), "gid", "hid", "clusters")
+    dropped(sets.sparkSession, path)  # components() has written what it needs
+    collected(sets.sparkSession)
+    return found
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (64-bit words along the last axis) as they would be with ``words`` words."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def near_forest(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, percent: int):
+    """Edges (i, j) of a spanning forest of the pairs that sizes and sketches let link, between sides 0 and 1 (or within, if all are side 0)."""
+    words = np.array([len(s) for s in sketches], np.int64)
+    place = np.zeros(len(sketches), np.int64)
+    tables = {}
+    for w in np.unique(words):
+        rows = np.flatnonzero(words == w)
+        place[rows] = np.arange(len(rows))
+        tables[w, w] = np.stack([sketches[i] for i in rows])
+    two = bool(side.any())
+    todo = np.ones(len(sketches), bool)
+    for i in np.flatnonzero(side == 0):
+        if not todo[i]:
+            continue
+        todo[i] = False
+        wave = [i]
+        while wave:  # every vertex is expanded once, and compared with what no other one has reached
+            x = wave.pop()
+            rest = np.flatnonzero(todo & (side != side[x]) if two else todo)
+            rest = rest[100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x])]
+            for w in np.unique(words[rest]):
+                those = rest[words[rest] == w]
+                least = min(w, words[x])
+                if (w, least) not in tables:
+                    tables[w, least] = _folded(tables[w, w], least)
+                differ = np.bitwise_count(tables[w, least][place[those]] ^ _folded(sketches[x], least)).sum(1, dtype=np.int64)
+                found = those[differ * (100 + percent) <= (100 - percent) * (size[those] + size[x])]
+                todo[found] = False
+                for y in found:
+                    yield x, y
+                    wave.append(y)
+
+
+def near_clusters(member: DataFrame, percent: int) -> DataFrame:
+    """(sig, cluster) of the classes of ``member`` that may link with another one of their cluster, by size and sketch.
+
+    Clusters of more than a block are cut into bands of sizes, of which only
+    neighbours can link, and bands into blocks.
+    """
+    width = max(0.01, 1.001 * math.log(100 / percent))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SKETCHES), F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES)).cast("int")
+    size = member.groupBy("cluster").agg(F.count("*").alias("sets"), blocks.alias("whole")).where("sets > 1").select("cluster", "whole")
+    banded = (member.select("sig", "n", "sketch", "cluster").join(size, "cluster")
+              .withColumn("band", F.when(F.col("whole") > 1, F.floor(F.log("n") / width)).otherwise(0).cast("int")))
+    bands = banded.groupBy("cluster", "band").agg(blocks.alias("blocks"))
+    lower = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    upper = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    bands = bands.join(lower, ["cluster", "band"], "left").join(upper, ["cluster", "band"], "left").na.fill(0, ["below", "above"])
+    pairs = """explode(concat(
+        transform(sequence(0, blocks - 1), j -> struct(band as u, least(block, j) as i, band as v, greatest(block, j) as j, int(block > j) as side)),
+        transform(filter(sequence(0, above), j -> j > 0), j -> struct(band as u, block as i, band + 1 as v, j - 1 as j, 0 as side)),
+        transform(filter(sequence(0, below), j -> j > 0), j -> struct(band - 1 as u, j - 1 as i, band as v, block as j, 1 as side))))"""
+    keyed = (banded.join(bands, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+             .select("sig", "n", "sketch", "cluster", F.expr(pairs).alias("at")).select("sig", "n", "sketch", "cluster", "at.*"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        sigs = table["sig"].to_pylist()
+        sketches = [np.frombuffer(s, np.uint64) for s in table["sketch"].to_pylist()]
+        edges = list(near_forest(table["n"].to_numpy(), sketches, table["side"].to_numpy(), percent)) if len(sigs) > 1 else []
+        return pa.table({"a": pa.array([sigs[x] for x, _ in edges], pa.binary()),
+                         "b": pa.array([sigs[y] for _, y in edges], pa.binary())})
+
+    edges = keyed.groupBy("cluster", "u", "i", "v", "j").applyInArrow(compare, "a binary, b binary")
+    return components(edges, "a", "b", "near").select(F.col("vertex").alias("sig"), F.xxhash64("root").alias("cluster"))
 
 
 def verified_forest(ids: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent: int):
@@ -232,21 +349,24 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     bounded_batches(docs.sparkSession)
     weights = shingle_weights(docs, k)
     sets = written(shingle_prefixes(docs, k, percent, weights), "sets")
+    collected(docs.sparkSession)
     full = sets.where("n > 0 and doc_id is not null")
     classes = (full.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
-                                       F.first("pkey").alias("pkey"))
+                                       F.first("pkey").alias("pkey"), F.first("sketch").alias("sketch"))
                .withColumn("gid", F.xxhash64("n", "pkey")))
     clusters = candidate_clusters(full, percent)
     member = (classes.join(clusters.withColumnRenamed("vertex", "gid"), "gid", "left")
-              .select("sig", "doc_id", "n", F.coalesce("root", "gid").alias("cluster")))
+              .select("sig", "doc_id", "n", "sketch", F.coalesce("root", "gid").alias("cluster")))
     member = written(member, "members")
-    size = (member.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    close = written(member.select("sig", "doc_id", "n").join(near_clusters(member, percent), "sig"), "close")
+    size = (close.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
             .select("cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS),
                                           F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    chosen = written(member.join(size, "cluster")
+    chosen = written(close.join(size, "cluster")
                      .select("doc_id", "sig", "cluster", "blocks",
                              F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block")), "chosen")
     wanted = chosen.count()
+    collected(docs.sparkSession)
     side = F.broadcast(chosen) if wanted <= BROADCAST_ROWS else chosen
 
     def expand(batches):
@@ -283,6 +403,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
               .mapInArrow(wordscan.trimmed(expand), "cluster long, i int, j int, side int, sig binary, body binary"))
     edges = blocks.groupBy("cluster", "i", "j").applyInArrow(verify, "a binary, b binary")
     linked = components(edges, "a", "b", "links").withColumnRenamed("vertex", "sig")
+    collected(docs.sparkSession)
     named = member.select("sig", "doc_id").join(linked, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
     component = named.join(first, "root").select("sig", F.col("first.doc_id").alias("component_id"),
@@ -306,6 +427,7 @@ def one_of_each_group(documents: DataFrame, k: int = 5, percent: int = 80) -> Da
     again = written(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n"))
                     .where("n > 1").select("doc_id"), "again")
     gone = written(found.where("not first").select("doc_id").join(again, "doc_id", "left_anti"), "gone")
+    collected(documents.sparkSession)
 
     def side(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

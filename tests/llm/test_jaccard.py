@@ -125,3 +125,87 @@ def test_one_of_each_group(spark):
             want[s] = (i, t)
             out.append((i, t))
     assert kept == sorted(out)
+
+
+def passages(seed=5):
+    """Unrelated documents of much the same size around one passage, and two pairs of near copies."""
+    rnd = random.Random(seed)
+    passage = words(rnd, 25)
+    rows = [(i, words(rnd, 20) + " " + passage + " " + words(rnd, rnd.randint(0, 20))) for i in range(40)]
+    for _ in range(2):
+        text = words(rnd, 90)
+        rows += [(len(rows), text + " one"), (len(rows) + 1, text + " two")]
+    return rows
+
+
+def recorded(monkeypatch):
+    """The tables that the operator writes, by label."""
+    tables, write = {}, jaccard.written
+
+    def written(df, label):
+        tables[label] = write(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(jaccard, "written", written)
+    return tables
+
+
+def test_pipeline_stage_copies_no_document_that_is_only_chained(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 1)
+    monkeypatch.setattr(jaccard, "WEIGHT_BITS", 1)  # as crowded as with a very large table of documents
+    tables, rows = recorded(monkeypatch), passages()
+    kept = jaccard.one_of_each_group(edge_documents(spark, rows), 5, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 40, 42]
+    assert sorted(r.doc_id for r in tables["chosen"].collect()) == [40, 41, 42, 43]
+    members = tables["members"]
+    assert members.groupBy("cluster").count().agg({"count": "max"}).first()[0] >= 20  # they were chained
+
+
+@pytest.mark.parametrize("sketches", [1, 3, 4096])
+def test_sketches_in_bands_and_blocks(spark, monkeypatch, sketches):
+    monkeypatch.setattr(jaccard, "BUCKET", 1)
+    monkeypatch.setattr(jaccard, "WEIGHT_BITS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_SKETCHES", sketches)
+    rows = chains(2)
+    assert got(jaccard.jaccard_components(edge_documents(spark, rows), 5, 80)) == brute(rows, 5, 80)
+
+
+def test_sketches_part_no_link():
+    rnd = np.random.default_rng(4)
+    base = [np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 40, 60, 120, 130, 500, 1000)]
+    sets = [np.sort(rnd.choice(b, int(np.ceil(len(b) * share)), replace=False)) for b in base for share in (1, 0.97, 0.93, 0.85, 0.6)]
+    first = np.r_[0, np.cumsum([len(s) for s in sets])]
+    sketches = [np.frombuffer(s, np.uint64) for s in jaccard.parity_sketches(np.concatenate(sets), first).to_pylist()]
+    assert [64 * len(s) for s in sketches] == [max(64, 1 << (len(s) - 1).bit_length()) for s in sets]
+    for percent in (50, 80, 90, 100):
+        for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+            root = list(range(len(sets)))
+
+            def find(x, root=root):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a, b in jaccard.near_forest(np.diff(first), sketches, side, percent):
+                assert find(a) != find(b)  # a forest
+                assert side[a] != side[b] or not side.any()
+                root[find(a)] = find(b)
+            for a in range(len(sets)):
+                for b in range(a):
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if (side[a] != side[b] or not side.any()) and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                        assert find(a) == find(b)
+            assert percent < 80 or len({find(x) for x in range(len(sets))}) >= len(base)
+
+
+def test_weights_of_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WEIGHT_BITS", 10)
+    monkeypatch.setattr(jaccard, "WEIGHT_ROW", 64)
+    rows = passages()
+    counts = np.zeros(1 << 10, int)
+    for _, text in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        value, _, _ = jaccard.shingle_sets(raw, np.array([0, len(raw)]), 3)
+        np.add.at(counts, (value >> np.uint64(54)).astype(int), 1)
+    found = jaccard.shingle_weights(edge_documents(spark, rows), 3)
+    assert found.tolist() == np.minimum(255, 12 * np.log2(np.maximum(counts, 1))).astype(np.uint8).tolist()
