@@ -42,7 +42,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,9 +155,11 @@ def parity_sketches(value: np.ndarray, first: np.ndarray) -> pa.Array:
                                                        pa.py_buffer(np.packbits(odd, bitorder="little"))])
 
 
-def shingle_prefixes(docs: DataFrame, k: int, percent: int, weights: np.ndarray) -> DataFrame:
-    """doc_id, n, sig (digest of the set), pkey (digest of the prefix), sketch, prefix (shingle hashes)."""
-    held = docs.sparkSession.sparkContext.broadcast(weights.tobytes())  # 2 ** WEIGHT_BITS bytes
+def shingle_prefixes(docs: DataFrame, k: int, percent: int, held: Broadcast[bytes]) -> DataFrame:
+    """doc_id, n, sig (digest of the set), pkey (digest of the prefix), sketch, prefix (shingle hashes).
+
+    ``held`` has the weights of ``shingle_weights``.
+    """
     shift = np.uint64(64 - WEIGHT_BITS)
 
     def prefixes(batches):
@@ -347,8 +349,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     """
     docs = documents.select("doc_id", "text")
     bounded_batches(docs.sparkSession)
-    weights = shingle_weights(docs, k)
-    sets = written(shingle_prefixes(docs, k, percent, weights), "sets")
+    held = docs.sparkSession.sparkContext.broadcast(shingle_weights(docs, k).tobytes())  # 2 ** WEIGHT_BITS bytes
+    sets = written(shingle_prefixes(docs, k, percent, held), "sets")
+    held.unpersist()
     collected(docs.sparkSession)
     full = sets.where("n > 0 and doc_id is not null")
     classes = (full.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from edge import edge_documents, edge_texts, no_documents, words
 
-from seqlab.llm import jaccard
+from seqlab.llm import jaccard, queries
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -161,6 +161,15 @@ def test_pipeline_stage_copies_no_document_that_is_only_chained(spark, monkeypat
     assert members.groupBy("cluster").count().agg({"count": "max"}).first()[0] >= 20  # they were chained
 
 
+def test_operator_copies_no_document_that_is_only_chained(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "BUCKET", 1)
+    monkeypatch.setattr(jaccard, "WEIGHT_BITS", 1)
+    tables, rows = recorded(monkeypatch), passages()
+    edge_documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(queries.op1_ngram_jaccard_join(spark, str(tmp_path))) == brute(rows, 3, 90)
+    assert sorted(r.doc_id for r in tables["chosen"].collect()) == [40, 41, 42, 43]
+
+
 @pytest.mark.parametrize("sketches", [1, 3, 4096])
 def test_sketches_in_bands_and_blocks(spark, monkeypatch, sketches):
     monkeypatch.setattr(jaccard, "BUCKET", 1)
